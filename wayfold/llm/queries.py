@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import linededup, mixing, packing, simhash, toxicity
-from wayfold.llm.common import prepare, table
+from wayfold.llm import chat, langid, linededup, media, mixing, packing, pii, simhash, topk, toxicity
+from wayfold.llm.common import crc_remainder, prepare, table
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,18 +31,44 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    stored = media.store_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = [c.split()[0] for c in media.READ_SCHEMA.split(", ")]
+    return media.read_media(stored).select("doc_id", "n_bytes", *names)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(chat.calls_from_turns(table(spark, sf_dir, "conversations")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_line_dedup, op6_mixing, op8_simhash)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs, langid.learn(docs))
+    return out.select("doc_id", (crc_remainder(F.col("doc_id"), langid.FOLDS) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_pii, op2_toxicity, op3_best_fit_packing, op4_line_dedup, op5_media, op6_mixing, op7_chat_format, op8_simhash, op9_language_id, op10_top_k)
+}
 
 #: A page's lines and the share of a host's pages that hold each, as the operator defines them.
 ORACLES = {
