@@ -1,5 +1,6 @@
 """All registered queries of the travel-time engine and their SQL."""
 
-FLAGSHIP = "r01_reverse_search"
-QUERIES = {}
-ORACLES = {}
+from wayfold.plans import columns, journeys, search, stream, timetable  # noqa: F401  registered on import
+from wayfold.plans.base import ORACLES, QUERIES  # noqa: F401
+
+FLAGSHIP = "r10_arrive_by"
