@@ -69,8 +69,9 @@ def reverse_search(stop_time: DataFrame, transfer: DataFrame, start: DataFrame,
         return both.groupBy(*one).agg(F.max(F.struct("v", (-F.col("rides")).alias("r"), *more)).alias("x")).select(*one, "x.v", (-F.col("x.r")).alias("rides"), *(f"x.{c}" for c in more))
 
     first = start.groupBy(*one).agg(F.max("v").alias("v"))
-    first = settle(first.select(*one, "v", F.lit(0).alias("rides"), *_via(traced, kind=F.lit("egress"), dep_s=F.col("v"))), "seed")
-    foot = settle(better(hop(first, 0), first), "foot")
+    keep = settle if traced else lambda df, _: df  # untraced, these are read once
+    first = keep(first.select(*one, "v", F.lit(0).alias("rides"), *_via(traced, kind=F.lit("egress"), dep_s=F.col("v"))), "seed")
+    foot = keep(better(hop(first, 0), first), "foot")
     best = settle(merged(first, foot), "best")
     frontier, history = best, [(first, 0), (foot, 1)]
     for k in range(1, rounds + 1):
@@ -85,7 +86,7 @@ def reverse_search(stop_time: DataFrame, transfer: DataFrame, start: DataFrame,
         else:
             cand = board.groupBy(*one).agg(F.max("dep_s").alias("v")).withColumn("rides", F.lit(k))
         newly = settle(better(cand, best), "newly")
-        foot = settle(better(hop(newly, k), merged(best, newly)), "foot")
+        foot = keep(better(hop(newly, k), merged(best, newly)), "foot")
         frontier = settle(merged(newly, foot), "frontier")
         if frontier.isEmpty():
             break
@@ -138,7 +139,8 @@ def arrival_profile(profile: DataFrame, departures: list[int], keys: tuple[str,
     first = F.greatest(F.coalesce(F.floor((F.col("prev") - lo) / step) + 1, F.lit(0)), F.lit(0))
     last = F.least(F.floor((F.col("latest_s") - lo) / step), F.lit(n - 1))
     held = spans.withColumn("a", first.cast("long")).withColumn("b", last.cast("long")).where("b >= a")
-    return held.select(*keys, "stop_id", (lo + F.explode(F.sequence("a", "b")) * step).cast("long").alias("dep_s"), F.col("deadline_s").alias("arr_w_s"))
+    slots = held.select(*keys, "stop_id", F.explode(F.sequence("a", "b")).alias("k"), F.col("deadline_s").alias("arr_w_s"))
+    return slots.select(*keys, "stop_id", (lo + F.col("k") * step).cast("long").alias("dep_s"), "arr_w_s")
 
 
 def percentile_lower(values, p: int):

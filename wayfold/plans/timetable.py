@@ -184,11 +184,11 @@ def _(n):
 
 @query("a22_service_date", """WITH d AS (SELECT CAST(s_suppkey%4 AS BIGINT) AS feed, CAST(o_orderdate AS DATE) AS day FROM (SELECT o_orderdate, o_custkey AS s_suppkey FROM orders) t WHERE extract(isodow from o_orderdate)=3),
     lo AS (SELECT max(s)+INTERVAL 7 DAY AS s FROM (SELECT feed, min(day) AS s FROM d GROUP BY feed) f)
-    SELECT min(day) AS service_date FROM (SELECT day FROM d, lo WHERE day>=s GROUP BY day HAVING count(DISTINCT feed)=4) g""")
+    SELECT CAST(min(day) AS VARCHAR) AS service_date FROM (SELECT day FROM d, lo WHERE day>=s GROUP BY day HAVING count(DISTINCT feed)=4) g""")
 def _(n):
     d = n.table("orders").where("weekday(o_orderdate)+1 = 3").select((F.col("o_custkey") % 4).alias("feed"), F.to_date("o_orderdate").alias("day"))
     first = d.groupBy("feed").agg(F.min("day").alias("s")).agg(F.date_add(F.max("s"), 7)).first()[0]
-    return d.where(F.col("day") >= F.lit(first)).groupBy("day").agg(F.countDistinct("feed").alias("n")).where("n = 4").agg(F.min("day").alias("service_date"))
+    return d.where(F.col("day") >= F.lit(first)).groupBy("day").agg(F.countDistinct("feed").alias("n")).where("n = 4").agg(F.min("day").cast("string").alias("service_date"))
 
 
 @query("w01_monotone_profile", "SELECT stop_id, pattern_id, trip_id, dep_s, max(arr_s) OVER (PARTITION BY stop_id, pattern_id ORDER BY dep_s, trip_id ROWS UNBOUNDED PRECEDING) AS high FROM tn_stop_time")
@@ -287,10 +287,10 @@ def _(n):
     return n.view("gt_calendar_dates").groupBy("service_id").agg((kind("1") & kind("2")).alias("contradictory"), F.count(F.lit(1)).alias("exceptions"))
 
 
-@query("v03_modeled_wednesday", "SELECT event_id, CAST(d+CAST(((3-isodow(d)+7)%7) AS INT) AS DATE) AS wednesday FROM (SELECT event_id, CAST(ts-INTERVAL 8 HOUR AS DATE) AS d FROM events) t")
+@query("v03_modeled_wednesday", "SELECT event_id, CAST(CAST(d+CAST(((3-isodow(d)+7)%7) AS INT) AS DATE) AS VARCHAR) AS wednesday FROM (SELECT event_id, CAST(ts-INTERVAL 8 HOUR AS DATE) AS d FROM events) t")
 def _(n):
     local = F.to_date(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "America/Los_Angeles"))
-    return n.table("events").select("event_id", F.next_day(F.date_sub(local, 1), "Wed").alias("wednesday"))
+    return n.table("events").select("event_id", F.next_day(F.date_sub(local, 1), "Wed").cast("string").alias("wednesday"))
 
 
 @query("v04_timetable_invariants", """SELECT 'negative' AS code, count(*) AS violations FROM tn_stop_time WHERE arr_s<0 OR dep_s<arr_s

@@ -61,8 +61,8 @@ VIEWS = {
         CAST(l_quantity AS BIGINT) AS minutes, l_partkey%20 AS walk_min, CAST(l_linenumber%4 AS BIGINT) AS transfers, CAST(l_discount*100 AS BIGINT) AS frag_min,
         l_suppkey%5 AS family, l_suppkey%3 AS branch, l_suppkey%50 AS line_id, l_partkey%6 AS final_walk FROM lineitem""",
     # delay draws: two uniforms a trip and draw from its numbers, and the sum of two exponentials
-    "mc_draw": """SELECT t.pattern_id, t.trip_id, t.run_s, d.draw_id, CAST(floor(round(-(m.mean_s/2.0)*ln(u1*u2),6)) AS BIGINT) AS delta_s FROM (
-        SELECT trip.*, d AS draw_id, (((trip_id*7919+pattern_id*31+d*104729+13)%1000003)+0.5)/1000003.0 AS u1, (((trip_id*15485863+pattern_id*17+d*32452843+29)%1000003)+0.5)/1000003.0 AS u2
+    "mc_draw": """SELECT t.pattern_id, t.trip_id, t.run_s, d.draw_id, CAST(floor(round(-(m.mean_s/2e0)*ln(u1*u2),6)) AS BIGINT) AS delta_s FROM (
+        SELECT trip.*, d AS draw_id, (((trip_id*7919+pattern_id*31+d*104729+13)%1000003)+0.5e0)/1000003e0 AS u1, (((trip_id*15485863+pattern_id*17+d*32452843+29)%1000003)+0.5e0)/1000003e0 AS u2
         FROM tn_trip trip CROSS JOIN (SELECT CAST(0 AS BIGINT) AS d UNION ALL SELECT 1 UNION ALL SELECT 2) x) t
         JOIN (SELECT pattern_id, CASE WHEN mode='bart' THEN 25 WHEN mode='cable' THEN 40 WHEN mode='metro' THEN 45 ELSE 70 END AS mean_s FROM tn_line) m ON m.pattern_id=t.pattern_id
         JOIN (SELECT CAST(0 AS BIGINT) AS draw_id UNION ALL SELECT 1 UNION ALL SELECT 2) d ON d.draw_id=t.draw_id""",
