@@ -98,7 +98,8 @@ def _leaves(classes: DataFrame, bits: int, leaf: int) -> DataFrame:
 
 def forest(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within or between two leaves, thinned to one per member: each to the smallest rep it reaches here."""
-    near = np.bitwise_count(a[:, None] ^ b[None, :]) <= distance
+    differ = (a[:, None] ^ b[None, :]).view(np.uint64)  # signed numbers would be counted by their absolute value
+    near = np.bitwise_count(differ) <= distance
     rows, cols = near.any(1), near.any(0)
     if not rows.any():
         return ra[:0], ra[:0]
