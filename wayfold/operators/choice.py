@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,51 +55,76 @@ def family_names(options: DataFrame, shown: int = 3) -> DataFrame:
     return lines.select("cell_id", "family", F.concat(F.array_join(F.slice(names, 1, shown), " / "), more).alias("name"))
 
 
+def _cells(options: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """One row per cell: its options in rank order, a column of arrays for each field."""
+    own = F.sort_array(F.collect_list(F.struct(*RANK, *(f for f in fields if f not in RANK))))
+    rows = options.groupBy("cell_id").agg(own.alias("x"))
+    return rows.select("cell_id", *(F.col(f"x.{f}").alias(f) for f in fields))
+
+
+def _picked(cells: pd.Series, options: list[list], numbers: list[list], name: str) -> pd.DataFrame:
+    sizes = [len(o) for o in options]
+    return pd.DataFrame({"cell_id": np.repeat(cells.to_numpy(), sizes), "option_id": list(chain.from_iterable(options)), name: list(chain.from_iterable(numbers))})
+
+
+def choose(options: list[int], family: list[int], branch: list[int], k: int) -> list[int]:
+    """The options, in rank order, that diverse() takes."""
+    queues: dict[int, list[int]] = {}
+    for n, f in enumerate(family):
+        queues.setdefault(f, []).append(n)
+    picked = [q.pop(0) for q in list(queues.values())[:k]]
+    if picked and len(picked) < k:
+        best = picked[0]
+        sibling = next((n for n in queues[family[best]] if branch[n] != branch[best]), None)
+        if sibling is not None:
+            queues[family[best]].remove(sibling)
+            picked.append(sibling)
+    while len(picked) < k and any(queues.values()):
+        for q in queues.values():
+            if q and len(picked) < k:
+                picked.append(q.pop(0))
+    return [options[n] for n in picked]
+
+
 def diverse(options: DataFrame, k: int = 4) -> DataFrame:
     """(cell_id, option_id, slot): one option of each family first, a sibling branch of the best family, then round-robin.
 
-    Each choice depends on those before, so a cell's options go through one Python group; a cell has a few dozen.
+    Each choice depends on those before, so a cell's options, a few dozen, are one row for Python.
     """
 
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(list(RANK), kind="stable")
-        queues: dict[int, list] = {}
-        for r in part.itertuples():
-            queues.setdefault(r.family, []).append(r)
-        picked = [q.pop(0) for q in list(queues.values())[:k]]
-        if picked and len(picked) < k:
-            best = picked[0]
-            sibling = next((r for r in queues[best.family] if r.branch != best.branch), None)
-            if sibling is not None:
-                queues[best.family].remove(sibling)
-                picked.append(sibling)
-        while len(picked) < k and any(queues.values()):
-            for q in queues.values():
-                if q and len(picked) < k:
-                    picked.append(q.pop(0))
-        return pd.DataFrame({"cell_id": [r.cell_id for r in picked], "option_id": [r.option_id for r in picked], "slot": range(len(picked))})
-
-    return options.select("cell_id", "family", "branch", *RANK).groupBy("cell_id").applyInPandas(choose, "cell_id long, option_id long, slot long")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [choose(o.tolist(), f.tolist(), b.tolist(), k) for o, f, b in zip(part["option_id"], part["family"], part["branch"], strict=True)]
+            yield _picked(part["cell_id"], found, [list(range(len(o))) for o in found], "slot")
+
+    return _cells(options, ("option_id", "family", "branch")).mapInPandas(run, "cell_id long, option_id long, slot long")
+
+
+def cluster(walk: list[int], minutes: list[int], reach: int) -> list[int]:
+    """The cluster of each option, in rank order: the first all of whose members are near."""
+    clusters: list[list[int]] = []
+    out = []
+    for n, (w, m) in enumerate(zip(walk, minutes, strict=True)):
+        for c, own in enumerate(clusters):
+            if all(abs(w - walk[o]) <= reach and abs(m - minutes[o]) <= 4 * reach for o in own):
+                own.append(n)
+                break
+        else:
+            c = len(clusters)
+            clusters.append([n])
+        out.append(c)
+    return out
 
 
 def families(options: DataFrame, reach: int = 3) -> DataFrame:
-    """(cell_id, option_id, cluster): greedy complete-link clusters of lines of like walk and minutes, in rank order.
+    """(cell_id, option_id, cluster): greedy complete-link clusters of options of like walk and minutes, in rank order.
 
-    Greedy clustering is not transitive, so it isn't a component of a graph; a cell's options go through one Python group.
+    Greedy clustering is not transitive, so it isn't a component of a graph; a cell's options are one row for Python.
     """
 
-    def cluster(part: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[list] = []
-        out = []
-        for r in part.sort_values(list(RANK), kind="stable").itertuples():
-            for n, own in enumerate(clusters):
-                if all(abs(r.walk_min - o.walk_min) <= reach and abs(r.minutes - o.minutes) <= 4 * reach for o in own):
-                    own.append(r)
-                    break
-            else:
-                n = len(clusters)
-                clusters.append([r])
-            out.append((r.cell_id, r.option_id, n))
-        return pd.DataFrame(out, columns=["cell_id", "option_id", "cluster"])
-
-    return options.select("cell_id", *RANK).groupBy("cell_id").applyInPandas(cluster, "cell_id long, option_id long, cluster long")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [cluster(w.tolist(), m.tolist(), reach) for w, m in zip(part["walk_min"], part["minutes"], strict=True)]
+            yield _picked(part["cell_id"], [o.tolist() for o in part["option_id"]], found, "cluster")
+
+    return _cells(options, ("option_id", "walk_min", "minutes")).mapInPandas(run, "cell_id long, option_id long, cluster long")
