@@ -62,3 +62,11 @@ def components(edges: DataFrame) -> DataFrame:
         if new.join(labels, ["node", "component"], "left_anti").isEmpty():
             return new
         labels = new
+
+
+def predecessors(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """(root, node, sec, pred): the smallest node from which an edge completes the shortest path; roots have none."""
+    back = edges.select(F.col("src").alias("pred"), F.col("dst").alias("node"), "w_s")
+    before = paths.select("root", F.col("node").alias("pred"), F.col("sec").alias("had"))
+    hit = paths.join(back, "node").join(before, ["root", "pred"]).where(F.col("had") + F.col("w_s") == F.col("sec"))
+    return hit.groupBy("root", "node", "sec").agg(F.min("pred").alias("pred"))
