@@ -413,6 +413,12 @@ def test_language_held_out(spark):
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97
 
 
+def test_language_model_keeps_its_bound(spark, docs):
+    whole, small = langid.learn(docs), langid.learn(docs, max_ngrams=300)
+    assert len(whole.probs[0].hashes) > 300 * len(whole.langs) >= len(small.probs[0].hashes) > 0
+    assert small.langs == whole.langs
+
+
 def test_language_odd_rows(odd, none):
     model = langid.learn(odd)
     rows = langid.identify(odd, model).collect()
