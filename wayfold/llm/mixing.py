@@ -23,10 +23,16 @@ from wayfold.llm.common import materialize
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_000
+BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _small(df: DataFrame, n_sources: int) -> DataFrame:
+    """A table of one row per source: broadcast while the sources are few, else joined like any other."""
+    return F.broadcast(df) if n_sources <= BROADCAST_SOURCES else df
+
+
 def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -80,7 +86,7 @@ def _solve(sizes: DataFrame, targets: DataFrame, cap: float, rounds: int) -> Dat
         z = F.col("h.size") / F.col("l.mean")
         raw = F.exp(F.least(F.col("l.lam") * z, F.lit(50.0)))
         step = (
-            hist.alias("h").join(F.broadcast(state()).alias("l"), F.col("h.source").eqNullSafe(F.col("l.source")))
+            hist.alias("h").join(_small(state(), len(lam)).alias("l"), F.col("h.source").eqNullSafe(F.col("l.source")))
             .groupBy(F.col("l.source").alias("source"))
             .agg(
                 F.sum(F.col("n") * F.col("size") * F.least(raw, F.lit(cap))).alias("got"),
@@ -120,8 +126,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
         .when(F.col("lam").isNull(), 0.0)
         .otherwise(F.least(F.lit(cap), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0)))))
     )
-    # one row per source, and sources are as many as the mixture has targets: the bounded side of this join
-    rated = sizes.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", F.round(rate, 6))
+    rated = sizes.join(_small(known, targets.count()), F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", F.round(rate, 6))
     bucket = F.pmod(F.xxhash64("doc_id", "size"), F.greatest(F.ceil(F.col("n_docs") / bucket_rows), F.lit(1)))
     within = Window.partitionBy("source", "bucket").orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.round(F.sum("rate").over(within), 6) + 0.5
