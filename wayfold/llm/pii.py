@@ -82,7 +82,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("rid"))
     every = [_matches(F.col("text"), PATTERNS[k], n) for n, k in enumerate(KINDS)] + [_matches(F.col("text"), TOKEN, 4)]
-    marks = rows.select("rid", "doc_id", F.explode_outer(F.concat(*every)).alias("m")).select("rid", "doc_id", "m.*")
+    needs = {0: "@", 3: "+"}  # what any match of the kind holds; all others hold a digit
+    none_ = F.array().cast("array<struct<kind:int,ord:int,gap:bigint,hit:string,left:string,right:string>>")
+    every = [F.when(F.contains("text", F.lit(needs[n])), m).otherwise(none_) if n in needs else m for n, m in enumerate(every)]
+    marks = rows.where(F.col("text").rlike("[0-9@]")).select("rid", "doc_id", F.explode(F.concat(*every)).alias("m")).select("rid", "doc_id", "m.*")
     upto = F.sum(F.col("gap") + F.length("hit")).over(Window.partitionBy("rid", "kind").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
     marks = marks.withColumn("end", upto).withColumn("start", F.col("end") - F.length("hit"))
     seen = F.col("kind").isNotNull()
@@ -117,13 +120,15 @@ def bootstrap(docs: DataFrame, marks: DataFrame, rounds: int = ROUNDS, confidenc
     edges = materialize(_contexts(marks), "pii-edges")
     known = edges.where("kind < 4").select("hit", F.col("kind").alias("as_kind"), F.lit(1.0).alias("belief")).distinct()
     found, had = None, 0
-    words = F.explode(F.split(F.lower("text"), r"\s+"))
-    context = edges.where("kind < 4").select(F.substring("pattern", 3, 2 * CONTEXT).alias("w")).distinct()
-    often = docs.select(words.alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("often")).join(context, "w", "left_semi")
-    often = materialize(often, "pii-words")
+    key = lambda word: F.xxhash64(word).alias("w")
+    words = F.explode(F.split(F.translate(F.lower("text"), "\n\t\r\f", "    "), " ")).alias("word")
+    context = edges.where("kind < 4").select(key(F.substring("pattern", 3, 2 * CONTEXT))).distinct()
+    counted = docs.select(words).select(key(F.col("word"))).groupBy("w").agg(F.count(F.lit(1)).alias("often"))  # 8 bytes a word
+    # an inner join, since Spark would push a semi-join below the aggregation and then shuffle every word by itself
+    often = materialize(counted.join(context, "w"), "pii-words")
     for _ in range(rounds):
         support = edges.join(known, "hit").groupBy("pattern", "as_kind").agg(F.sum(F.col("n") * F.col("belief")).alias("mass"), F.countDistinct("hit").alias("support"))
-        support = support.where(F.col("support") >= min_support).withColumn("w", F.substring("pattern", 3, 2 * CONTEXT)).join(often, "w")
+        support = support.where(F.col("support") >= min_support).withColumn("w", key(F.substring("pattern", 3, 2 * CONTEXT))).join(often, "w")
         sure = support.select("pattern", "as_kind", F.least(F.col("mass") / F.col("often"), F.lit(0.999)).alias("c")).where(F.col("c") >= confidence)
         open_ = edges.where("kind = 4").select("hit", "pattern").distinct()
         scored = open_.join(sure, "pattern").where(_shape(F.col("as_kind"), F.col("hit")))
