@@ -3,7 +3,8 @@
 A line is boilerplate for a host when the pages of the host that contain it, divided by all its pages, exceed `ratio`
 and number at least `min_pages`. Pages are counted per (host, line key) with partial aggregation, so neither a hot host
 nor a hot line meets in one task before it is summed. A host has at most lines-per-page / ratio such lines, so they are
-carried to its pages as one array per host; only that table, one row per host with boilerplate, is joined.
+carried to its pages as one array per host; only that table, one row per host with boilerplate, is joined: by broadcast
+while it is small, else by a sort-merge join whose hot partitions Spark splits.
 
 A line's key is its xxhash64 with its length. Lines are compared after trimming spaces and tabs; blank lines stay.
 
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.common import materialize
+
 RATIO = 0.5
 MIN_PAGES = 3
 
@@ -44,7 +47,8 @@ def dedup_lines(pages: DataFrame, text: str = "text", host: str = "host", ratio:
     counts = own.groupBy("_h", "_k").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= min_pages)
     totals = pages.groupBy(F.col(host).alias("_h2")).agg(F.count(F.lit(1)).alias("_t"))
     common = counts.join(totals, F.col("_h").eqNullSafe(F.col("_h2"))).where(F.col("_c") > ratio * F.col("_t"))
-    per_host = common.groupBy(F.col("_h").alias("_site")).agg(F.collect_list("_k").alias("_drop"))
+    # once written, the table's size is known: Spark broadcasts it under its threshold and pages stay where they are
+    per_host = materialize(common.groupBy(F.col("_h").alias("_site")).agg(F.collect_list("_k").alias("_drop")), "lines-common")
     joined = pages.join(per_host, F.col(host).eqNullSafe(F.col("_site")), "left")
     lines = F.split(F.col(text), "\n")
     kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), _key(x))))
