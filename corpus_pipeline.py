@@ -26,8 +26,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that most documents of their source hold go; n_chars follows the text."""
-    out = linededup.dedup_lines(docs.select(*DOCUMENT_COLUMNS), host="source")
+    """Lines common in their source (linededup.SOURCE_RULES) go; n_chars follows the text."""
+    out = linededup.dedup_lines(docs.select(*DOCUMENT_COLUMNS), host="source", site_rules=linededup.SOURCE_RULES)
     return out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*DOCUMENT_COLUMNS)
 
 

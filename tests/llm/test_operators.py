@@ -192,6 +192,18 @@ def test_line_dedup_equals_brute_force(spark):
     assert linededup.dedup_lines(frame.limit(0)).count() == 0
 
 
+def test_lines_of_a_large_source(spark):
+    passage, copied = " ".join(f"planted{k}" for k in range(60)), "copied one\ncopied two"
+    docs = []
+    for k in range(3000):
+        lines = [f"own {k} {j}" for j in range(4)] + [passage] * (k % 20 == 0) + ["notice"] * (k % 25 == 1) + ["seldom"] * (k % 200 == 2)
+        docs.append((k, "\n".join(lines), "en", "big", 0))
+    docs += [(k, copied, "en", "big", 0) for k in range(3000, 3300)]  # copies are left to the near-dedup stage
+    out = corpus_pipeline.drop_boilerplate(spark, spark.createDataFrame(docs, DOCS), SMALL)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got == {d: "\n".join(x for x in t.split("\n") if x not in (passage, "notice")) for d, t, *_ in docs}
+
+
 # media
 
 

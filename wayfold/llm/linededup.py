@@ -6,6 +6,11 @@ nor a hot line meets in one task before it is summed. A host has at most lines-p
 carried to its pages as one array per host; only that table, one row per host with boilerplate, is joined: by broadcast
 while it is small, else by a sort-merge join whose hot partitions Spark splits.
 
+Sources of documents are large sites of unlike texts, where no line comes near half of them. For these, `site_rules` add
+to the rule above: (chars, ratio, least) drops a line of at least `chars` characters that stands in more than `ratio` of
+the site's unlike documents and in `least` of them or more. Documents with the same least and the same greatest line key,
+such as copies, are alike and count once, so that copies don't lose their text. The ratios don't depend on a site's size.
+
 A line's key is its xxhash64 with its length. Lines are compared after trimming spaces and tabs; blank lines stay.
 
 Defined cases: null text has no lines and stays null; null hosts form one host; repeated rows count as pages of their
@@ -21,6 +26,9 @@ from wayfold.llm.common import materialize
 
 RATIO = 0.5
 MIN_PAGES = 3
+#: For sources as sites: any line in over 2 % of the unlike documents, 20 at least; passages (250 characters, some 50
+#: words, which hardly repeat by chance) in over 0.1 %, 100 at least.
+SOURCE_RULES = ((0, 0.02, 20), (250, 0.001, 100))
 
 #: Fixed patterns that turn a page into lines; applied in this order.
 SCRIPT = r"(?is)<(script|style)[^>]*>.*?</(script|style)>"
@@ -40,13 +48,24 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(shown).alias("h"), F.length(shown).alias("n"))
 
 
-def dedup_lines(pages: DataFrame, text: str = "text", host: str = "host", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def dedup_lines(pages: DataFrame, text: str = "text", host: str = "host", ratio: float = RATIO, min_pages: int = MIN_PAGES, site_rules: tuple = ()) -> DataFrame:
     """pages with `text` reduced, and _n_lines, _n_dropped (non-blank lines seen and dropped)."""
     keys = F.array_distinct(F.transform(F.split(F.col(text), "\n"), _key))
-    own = pages.select(F.col(host).alias("_h"), F.explode(keys).alias("_k")).where("_k.n > 0")
-    counts = own.groupBy("_h", "_k").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= min_pages)
-    totals = pages.groupBy(F.col(host).alias("_h2")).agg(F.count(F.lit(1)).alias("_t"))
-    common = counts.join(totals, F.col("_h").eqNullSafe(F.col("_h2"))).where(F.col("_c") > ratio * F.col("_t"))
+    if site_rules:
+        shown = F.filter(keys, lambda k: k["n"] > 0)
+        hashes = F.transform(shown, lambda k: k["h"])
+        alike = F.xxhash64(F.array_min(hashes), F.array_max(hashes)).alias("_m")
+        own = pages.select(F.col(host).alias("_h"), alike, F.explode(shown).alias("_k"))
+        counts = own.groupBy("_h", "_k").agg(F.count(F.lit(1)).alias("_c"), F.count_distinct("_m").alias("_u")).where(F.col("_c") >= min(min_pages, *(r[2] for r in site_rules)))
+        totals = pages.select(F.col(host).alias("_h2"), alike).groupBy("_h2").agg(F.count(F.lit(1)).alias("_t"), F.count_distinct("_m").alias("_ut"))
+    else:
+        own = pages.select(F.col(host).alias("_h"), F.explode(keys).alias("_k")).where("_k.n > 0")
+        counts = own.groupBy("_h", "_k").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= min_pages)
+        totals = pages.groupBy(F.col(host).alias("_h2")).agg(F.count(F.lit(1)).alias("_t"))
+    over = (F.col("_c") >= min_pages) & (F.col("_c") > ratio * F.col("_t"))
+    for chars, share, least in site_rules:
+        over = over | ((F.col("_k.n") >= chars) & (F.col("_u") >= least) & (F.col("_u") > share * F.col("_ut")))
+    common = counts.join(totals, F.col("_h").eqNullSafe(F.col("_h2"))).where(over)
     # once written, the table's size is known: Spark broadcasts it under its threshold and pages stay where they are
     per_host = materialize(common.groupBy(F.col("_h").alias("_site")).agg(F.collect_list("_k").alias("_drop")), "lines-common")
     joined = pages.join(per_host, F.col(host).eqNullSafe(F.col("_site")), "left")
