@@ -343,6 +343,26 @@ def test_chat_query_keeps_every_turn(spark):
             assert body["arguments"] == {"prompt": text[r.conv_id, r.turn], "turn": r.turn}
 
 
+def test_chat_levels_have_no_limit(spark):
+    calls = [(f"c{k}", [f"c{k - 1}"] if k else []) for k in range(200)]
+    rng = random.Random(7)
+    calls += [(f"d{k}", sorted({f"d{rng.randrange(k)}" for _ in range(3)}) if k else []) for k in range(40)]
+    calls += [("e", ["g", "c150"]), ("f", ["e"]), ("g", ["f"]), ("h", ["g", "c3"]), ("i", ["i"]), ("j", ["gone"])]
+    want = {}
+    for c, needs in calls:
+        own = [want.get(n) for n in needs if n != "gone"]
+        want[c] = None if c in "efghi" else max([x + 1 for x in own], default=0)
+    got = chat.call_levels(spark.createDataFrame(calls, "call_id string, depends_on array<string>"))
+    assert {r.call_id: r.level for r in got.collect()} == want
+
+
+def test_turns_depend_on_the_call_before(spark):
+    turns = [(1, t, "user" if t % 2 == 0 else "assistant", "x") for t in range(140)] + [(2, 5, "user", "x"), (None, 0, "user", "x"), (2, None, "user", "x")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.status, r.level) for r in chat.link(chat.calls_from_turns(frame)).collect()}
+    assert got == {(1, t): ("linked", t // 2 + t % 2) for t in range(140)} | {(2, 5): ("unanswered", 0), (None, 0): ("message", 0), (2, None): ("message", 0)}
+
+
 # SimHash
 
 

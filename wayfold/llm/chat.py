@@ -1,8 +1,9 @@
 """Chat formatting with linked tool calls (DataFrame operations only).
 
 Calls and results meet in a hash join on their identifier. Calls name the calls they depend on; a call's level is one more
-than the highest level of these, found by relaxing all calls at once, round by round, with a table per round in the
-shared folder. Calls that never settle are in a cycle. Arguments are validated as variants against the schema of
+than the highest level of these, found for all calls at once, round by round, with a table per round in the shared
+folder. A round also replaces a dependency that waits for one other call by that one, so a chain of n calls takes about
+log2(n) rounds, and rounds end only when nothing settles any more: what is left is in a cycle or behind one. Arguments are validated as variants against the schema of
 the tool: required fields, types, and no fields beyond. Each message is one row with canonical JSON: keys in
 alphabetical order, no white space; arguments are re-serialised the same way.
 
@@ -17,14 +18,13 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import materialize
 
 #: Tools of the conversations table: field name, type, whether it is required.
 SCHEMAS = {"reply": (("prompt", "STRING", True), ("turn", "BIGINT", True)), "configure": (("prompt", "STRING", True), ("turn", "BIGINT", True))}
-MAX_LEVELS = 64
 
 
 def validate(tool: Column, arguments: Column, schemas: dict = SCHEMAS) -> Column:
@@ -50,25 +50,32 @@ def canonical(arguments: Column) -> Column:
     return F.to_json(F.try_parse_json(arguments))
 
 
-def call_levels(calls: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
+def call_levels(calls: DataFrame) -> DataFrame:
     """(call_id, level) of unique calls (call_id, depends_on array<string>); level null in or behind a cycle."""
     needs = calls.select("call_id", F.explode("depends_on").alias("need")).distinct()
     needs = needs.join(calls.select(F.col("call_id").alias("need")), "need", "left_semi")
     if needs.isEmpty():
         return calls.select("call_id", F.lit(0).cast("long").alias("level"))
-    needs = materialize(needs, "chat-needs")
-    waiting = needs.select("call_id").distinct()
+    # edges: a call's level is the greatest w plus the level of its need, or plus nothing where need is null
+    edges = materialize(needs.select("call_id", "need", F.lit(1).cast("long").alias("w")), "chat-needs")
+    waiting = edges.select("call_id").distinct()
     done = materialize(calls.join(waiting, "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level")), "chat-levels")
-    left = waiting.count()
-    for _ in range(max_levels):
-        known = done.select(F.col("call_id").alias("need"), "level")
-        ready = needs.join(known, "need", "left").groupBy("call_id").agg(F.count(F.when(F.col("level").isNull(), 1)).alias("open"), F.max("level").alias("top"))
-        ready = ready.where("open = 0").join(done.select("call_id"), "call_id", "left_anti")
-        done = materialize(done.union(ready.select("call_id", (F.col("top") + 1).alias("level"))), "chat-levels")
-        now = waiting.join(done, "call_id", "left_anti").count()
-        if now in (0, left):
+    most = calls.count()  # no level is higher; only cycles reach it
+    while True:
+        single = edges.groupBy("call_id").agg(F.count("need").alias("n")).where("n = 1").select("call_id")
+        hops = edges.join(single, "call_id", "left_semi").union(done.select("call_id", F.lit(None).cast("string"), "level"))
+        hops = hops.toDF("_at", "_to", "_plus")
+        met = F.col("_at").isNotNull()
+        stepped = edges.join(hops, (F.col("need") == F.col("_at")) & (F.col("need") != F.col("call_id")), "left").select(
+            "call_id", F.when(met, F.col("_to")).otherwise(F.col("need")).alias("need"), F.least(F.col("w") + F.coalesce("_plus", F.lit(0)), F.lit(most)).alias("w")
+        )
+        stepped = materialize(stepped.groupBy("call_id", "need").agg(F.max("w").alias("w")), "chat-needs")
+        state = stepped.groupBy("call_id").agg(F.count("need").alias("open"), F.max("w").alias("level"))
+        new = materialize(state.where("open = 0").select("call_id", "level"), "chat-new")
+        if new.isEmpty():
             break
-        left = now
+        done = materialize(done.union(new), "chat-levels")
+        edges = stepped.join(new, "call_id", "left_anti")
     return calls.select("call_id").join(done, "call_id", "left")
 
 
@@ -118,13 +125,17 @@ def calls_from_turns(conversations: DataFrame) -> DataFrame:
     """Messages of a table without tool calls: each user or system turn calls a tool, the next turn answers it.
 
     A user turn is a call of `reply`, a system turn one of `configure`, with the text as argument; an assistant turn is
-    the result of the turn before it. Null turns or conversations have no identifier and stay plain messages.
+    the result of the turn before it. A call depends on the call before it in its conversation. Null turns or conversations have no identifier and stay plain messages.
     """
     name = lambda turn: F.concat(F.lit("call_"), F.col("conv_id"), F.lit("_"), turn)
     asks = F.col("role").isin("user", "system")
     tool = F.when(asks & F.col("turn").isNotNull() & F.col("conv_id").isNotNull(), F.when(F.col("role") == "user", "reply").otherwise("configure"))
     call = F.when(tool.isNotNull(), name(F.col("turn"))).when(F.col("role") == "assistant", name(F.col("turn") - 1))
     arguments = F.when(tool.isNotNull(), F.to_json(F.struct(F.col("turn"), F.coalesce("text", F.lit("")).alias("prompt"))))
-    return conversations.select("conv_id", "turn", "role", "text").select(
-        "conv_id", "turn", "role", "text", call.alias("call_id"), tool.alias("tool"), arguments.alias("arguments"), F.array().cast("array<string>").alias("depends_on")
-    )
+    # only numbers pass the window, so a long conversation is a light sort
+    turns = conversations.where(tool.isNotNull()).select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t")).distinct()
+    turns = turns.withColumn("_p", F.lag("_t").over(Window.partitionBy("_c").orderBy("_t"))).where("_p is not null")
+    asked = conversations.select("conv_id", "turn", "role", "text")
+    asked = asked.join(turns, tool.isNotNull() & (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left")
+    needs = F.when(F.col("_p").isNotNull(), F.array(name(F.col("_p")))).otherwise(F.array().cast("array<string>"))
+    return asked.select("conv_id", "turn", "role", "text", call.alias("call_id"), tool.alias("tool"), arguments.alias("arguments"), needs.alias("depends_on"))
