@@ -89,6 +89,16 @@ def test_pii_bootstrapping_finds_unseen_identifiers(spark):
     assert got[101].spans == ""
 
 
+def test_pii_bootstrapping_follows_long_chains_and_long_words(spark):
+    word = lambda k: "w" * 60 + "abcdef"[k]
+    token = lambda k, j: f"+49 30 123400{j}" if k == 0 else f"030{k}5550{j}"
+    texts = [f"{word(k)} {token(k, j)} u{k}x{'y' * i}z{'q' * j}" for k in range(6) for j in range(3) for i in range(30)]
+    texts += [f"{word(k)} {token(k + 1, j)} v{'k' * k}n{'q' * j}" for k in range(5) for j in range(3)]
+    texts = [t.rsplit(" ", 1)[0] + " " + "".join(c for c in t.rsplit(" ", 1)[1] if c.isalpha()) + "abcdef"[n % 6] for n, t in enumerate(texts)]
+    got = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.spans.startswith("phone:61:") or r.spans.startswith("phone:62:") for r in got), [r for r in got if not r.spans][:3]
+
+
 def test_pii_odd_rows(odd, none):
     got = pii.find(odd).collect()
     assert len(got) == len(ODD) and all(r.base_sha256 == digest([]) and r.spans == "" for r in got)

@@ -11,6 +11,7 @@ graph of context patterns and instances. In rounds,
     different instances;
   - an unlabelled instance of a compatible shape gets 1 - prod(1 - confidence) over its patterns, and joins the kind when
     that reaches `accept`.
+Rounds end when no instance joins and beliefs have settled; they only rise. A context is the whole neighbouring word.
 Accepted instances add their occurrences to the spans; base spans stay, and added spans never overlap a base span.
 
 All tables after the scan hold spans, not texts. The scan's table is written to the shared folder once; the rounds work
@@ -35,8 +36,7 @@ PATTERNS = {
 }
 #: Identifier-shaped tokens: candidates for the bootstrapping.
 TOKEN = r"(?<![A-Za-z0-9._%+@-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9._%+@-]*+"
-CONTEXT = 48
-ROUNDS = 3
+SETTLED = 1e-6
 CONFIDENCE = 0.5
 ACCEPT = 0.75
 MIN_SUPPORT = 3
@@ -49,7 +49,7 @@ def _matches(text: Column, pattern: str, kind: int) -> Column:
     rows = F.arrays_zip(gaps.alias("g"), hits.alias("h"), F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(1))).alias("r"))
     one = lambda x, i: F.struct(
         F.lit(kind).alias("kind"), i.alias("ord"), F.length(x["g"]).cast("long").alias("gap"), x["h"].alias("hit"),
-        F.substring(x["g"], -CONTEXT, CONTEXT).alias("left"), F.substring(x["r"], 1, CONTEXT).alias("right"),
+        F.regexp_extract(x["g"], r"(?<!\S)(\S++)\s*+$", 1).alias("left"), F.regexp_extract(x["r"], r"^\s*+(\S++)", 1).alias("right"),
     )
     return F.filter(F.transform(rows, one), lambda x: x["hit"].isNotNull())
 
@@ -103,8 +103,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def _contexts(marks: DataFrame) -> DataFrame:
     """(hit, kind, pattern, n): aggregated edges between instances and their left and right words."""
-    left = F.lower(F.regexp_extract("left", r"(\S+)\s*$", 1))
-    right = F.lower(F.regexp_extract("right", r"^\s*(\S+)", 1))
+    left, right = F.lower("left"), F.lower("right")
     sides = F.explode(F.array(F.concat(F.lit("L:"), left), F.concat(F.lit("R:"), right)))
     return marks.where("kind is not null").select("hit", "kind", sides.alias("pattern")).where(F.length("pattern") > 2).groupBy("hit", "kind", "pattern").agg(F.count(F.lit(1)).alias("n"))
 
@@ -115,29 +114,29 @@ def _shape(kind: Column, hit: Column) -> Column:
     return F.when(kind == 0, hit.contains("@")).when(kind == 1, (digits >= 4) & hit.contains(".")).when(kind == 2, digits >= 12).otherwise(digits >= 7)
 
 
-def bootstrap(docs: DataFrame, marks: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, accept: float = ACCEPT, min_support: int = MIN_SUPPORT) -> DataFrame | None:
+def bootstrap(docs: DataFrame, marks: DataFrame, confidence: float = CONFIDENCE, accept: float = ACCEPT, min_support: int = MIN_SUPPORT) -> DataFrame | None:
     """(hit, as_kind): instances that the patterns' contexts reveal; None if there are none to find."""
     edges = materialize(_contexts(marks), "pii-edges")
     known = edges.where("kind < 4").select("hit", F.col("kind").alias("as_kind"), F.lit(1.0).alias("belief")).distinct()
-    found, had = None, 0
+    found, had, sum_ = None, 0, 0.0
     key = lambda word: F.xxhash64(word).alias("w")
     words = F.explode(F.split(F.translate(F.lower("text"), "\n\t\r\f", "    "), " ")).alias("word")
-    context = edges.where("kind < 4").select(key(F.substring("pattern", 3, 2 * CONTEXT))).distinct()
+    context = edges.select(key(F.expr("substring(pattern, 3)"))).distinct()
     counted = docs.select(words).select(key(F.col("word"))).groupBy("w").agg(F.count(F.lit(1)).alias("often"))  # 8 bytes a word
     # an inner join, since Spark would push a semi-join below the aggregation and then shuffle every word by itself
     often = materialize(counted.join(context, "w"), "pii-words")
-    for _ in range(rounds):
+    while True:
         support = edges.join(known, "hit").groupBy("pattern", "as_kind").agg(F.sum(F.col("n") * F.col("belief")).alias("mass"), F.countDistinct("hit").alias("support"))
-        support = support.where(F.col("support") >= min_support).withColumn("w", key(F.substring("pattern", 3, 2 * CONTEXT))).join(often, "w")
+        support = support.where(F.col("support") >= min_support).withColumn("w", key(F.expr("substring(pattern, 3)"))).join(often, "w")
         sure = support.select("pattern", "as_kind", F.least(F.col("mass") / F.col("often"), F.lit(0.999)).alias("c")).where(F.col("c") >= confidence)
         open_ = edges.where("kind = 4").select("hit", "pattern").distinct()
         scored = open_.join(sure, "pattern").where(_shape(F.col("as_kind"), F.col("hit")))
         scored = scored.groupBy("hit", "as_kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("c"))))).alias("belief")).where(F.col("belief") >= accept)
         found = materialize(scored, "pii-found")
-        n = found.count()
-        if n == had:
+        n, total = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("belief"), F.lit(0.0))).first()
+        if n == had and total - sum_ <= SETTLED:  # beliefs only rise from round to round, so their sum tells of any change
             break
-        had = n
+        had, sum_ = n, total
         known = edges.where("kind < 4").select("hit", F.col("kind").alias("as_kind"), F.lit(1.0).alias("belief")).distinct().unionByName(found)
     return found if had else None
 
