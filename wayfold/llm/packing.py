@@ -13,10 +13,14 @@ length keep their order of arrival; an empty table gives an empty result. Extra
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -32,72 +36,74 @@ SLACKS = (8, 32, 96)
 FIELDS = ("doc_id", "piece", "start", "length", "ids_crc32")
 BIN_SCHEMA = "sequence_id long, fill long, done boolean, " + ", ".join(f"{c} array<long>" for c in FIELDS)
 CACHE_WORDS = 400_000
+WINDOW = 1 << 20
+SPACE = re.compile(rb"[\t-\r ]")
+TASK_PIECES = 1_000_000
+BATCH_BINS = 4096
 
 _tokenizers: dict = {}
 
 
-def _byte_letters() -> dict[int, int]:
+def _byte_letters() -> dict[str, int]:
     """The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on, in order."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = [b for b in range(256) if b not in plain]
-    return {b: 256 + k for k, b in enumerate(rest)}
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class WordCache:
-    """Ids of a text, word by word: this tokenizer never joins across ASCII white space, so words are encoded once.
+class WordCache(dict):
+    """Words (bytes) and their ids: this tokenizer never joins across ASCII white space, so each word is encoded once.
 
-    Words are lower-cased (A-Z; the tokenizer would do the same) and full stops and commas behind an ASCII letter or
-    digit, always a piece of their own, are encoded apart. Words of Latin letters alone need no normalizer and no pattern, so
-    they go straight to the merges; all others go through the whole tokenizer. The cache is emptied when it holds
-    CACHE_WORDS words, which bounds its memory and changes no result.
+    Words of ASCII and Latin letters are cut by the tokenizer's own pattern and go straight to its merges, which run on
+    bytes: the vocabulary's numbers rise in the order of its merges, so merging the pair with the lowest number first is
+    the same; END, a byte that no text has, stands for the mark of a word's end. All other words go through the whole
+    tokenizer. The cache is emptied when it holds CACHE_WORDS words, which bounds its memory and changes no result.
     """
 
-    LETTERS = _byte_letters()
+    END = b"\xff"
+    LATIN = "".join(c for c in map(chr, range(0x80, 0x250)) if c.isalpha() and c != "\u0130")
+    KNOWN = re.compile(rf"[!-~{LATIN}]+")
+    PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[a-z{LATIN}]+|[0-9]|[^a-z0-9{LATIN}]+")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-        self.whole, self.merges, self.known = Tokenizer.from_file(path), Tokenizer.from_file(path), {}
-        self.whole.encode_special_tokens = self.merges.encode_special_tokens = True
-        self.merges.normalizer = normalizers.Sequence([])
-        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-
-    def _learn(self, words: list[bytes]) -> None:
-        latin, other = [], []
-        for w in words:
-            shown = w.decode()
-            (latin if shown.isalpha() and max(shown) < "\u0250" and "\u0130" not in shown else other).append((w, shown))
-        for k in range(0, len(latin), 2048):
-            part = latin[k : k + 2048]
-            spelt = " ".join([s if s.isascii() else s.lower().encode().decode("latin-1").translate(self.LETTERS) for _, s in part])
-            done = self.merges.encode(spelt, add_special_tokens=False)
-            self._keep([w for w, _ in part], done.ids, np.array(done.word_ids, np.int64))
-        for k in range(0, len(other), 2048):
-            part = other[k : k + 2048]
-            done = self.whole.encode(" ".join([s for _, s in part]), add_special_tokens=False)
-            begin = np.cumsum([0, *(len(s) + 1 for _, s in part)])
-            own = np.searchsorted(begin, np.fromiter((o[0] for o in done.offsets), np.int64, len(done.ids)), "right") - 1
-            self._keep([w for w, _ in part], done.ids, own)
-
-    def _keep(self, words: list[bytes], ids: list[int], own: np.ndarray) -> None:
-        upto = (4 * np.cumsum(np.bincount(own, minlength=len(words)))).tolist()
-        raw = np.array(ids, "<u4").tobytes()
-        self.known.update(zip(words, [raw[a:b] for a, b in zip([0, *upto], upto, strict=False)], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.encode("utf-8", "replace").lower().split() for t in texts]
-        known, words = self.known, set(chain.from_iterable(split))
-        if len(known) + len(words) > CACHE_WORDS:
-            known.clear()
-        new = words - known.keys()
-        ended = {w: core for w in new if w[-1] in b".," and (core := w.rstrip(b".,")) and core[-1:].isalnum()}
-        parts = {p for w, core in ended.items() for p in (core, w[len(core) :])}
-        self._learn([w for w in (new - ended.keys()) | parts if w not in known])
-        for w, core in ended.items():
-            known[w] = known[core] + known[w[len(core) :]]
-        get = known.__getitem__
-        return [b"".join(map(get, own)) for own in split]
+        from tiktoken import _tiktoken
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        letters, ranks, mark = _byte_letters(), {}, "</w>"
+        for token, n in json.loads(Path(path).read_text())["model"]["vocab"].items():
+            ended = token.endswith(mark)
+            raw = bytes(letters[c] for c in (token[: -len(mark)] if ended else token))
+            if self.END not in raw or not ended:
+                ranks[raw + (self.END if ended else b"")] = n
+        self.merged = _tiktoken.CoreBPE(ranks, {}, r"\S+").encode_single_piece
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        shown = word.decode()
+        if self.KNOWN.fullmatch(shown):
+            ids = []
+            for p in self.PIECE.findall(shown.lower()):
+                ids += self.merged(p.encode() + self.END)
+        else:
+            ids = self.whole.encode(shown, add_special_tokens=False).ids
+        out = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+    def encode(self, text: str) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of a text, window by window; windows end at white space."""
+        raw, get = text.encode("utf-8", "replace").lower(), self.__getitem__  # bytes.lower changes A-Z alone, as the tokenizer would
+        at = 0
+        while at < len(raw):
+            end = at + WINDOW
+            if end < len(raw):
+                space = SPACE.search(raw, end)
+                end = space.start() if space else len(raw)
+            yield b"".join(map(get, raw[at:end].split()))
+            at = end
 
 
 def default_tokenizer() -> str:
@@ -110,17 +116,22 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     """One row per piece: FIELDS. The path of the tokenizer file must exist on every executor."""
     path = tokenizer or default_tokenizer()
 
+    def cut(coder: WordCache, doc: int, text: str) -> Iterator[tuple]:
+        held, k = b"", 0
+        for ids in chain(coder.encode(text), (b"\0\0\0\0",)):
+            held += ids
+            while len(held) > 4 * capacity:
+                own, held = held[: 4 * capacity], held[4 * capacity :]
+                yield doc, k, k * capacity, capacity, zlib.crc32(own)
+                k += 1
+        yield doc, k, k * capacity, len(held) // 4, zlib.crc32(held)
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = _tokenizers.get(path) or WordCache(path)
         _tokenizers[path] = coder
         for part in parts:
-            out = []
-            for doc, ids in zip(part["doc_id"], coder.encode(part["text"].fillna("").tolist()), strict=True):
-                ids += b"\0\0\0\0"
-                for k, a in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[a : a + 4 * capacity]
-                    out.append((doc, k, a // 4, len(own) // 4, zlib.crc32(own)))
-            yield pd.DataFrame(out, columns=list(FIELDS))
+            out = chain.from_iterable(cut(coder, d, t) for d, t in zip(part["doc_id"], part["text"].fillna(""), strict=True))
+            yield pd.DataFrame(list(out), columns=list(FIELDS))
 
     return docs.select(solid_id(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(run, ", ".join(f"{c} long" for c in FIELDS))
 
@@ -148,23 +159,29 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _packed(lengths: np.ndarray, fields: list[list], level: int, slack: int, capacity: int) -> pd.DataFrame:
-    """Bins over items, whose fields hold arrays of pieces."""
+def _packed(lengths: np.ndarray, sizes: np.ndarray, flat: list[np.ndarray], level: int, slack: int, capacity: int) -> Iterator[pd.DataFrame]:
+    """Bins over items of the given lengths; an item is the next `sizes` pieces of the flat fields."""
     found = best_fit(lengths, capacity)
-    fill = np.array([int(lengths[b].sum()) for b in found], np.int64)
     base = (level << 56) | (TaskContext.get().partitionId() << 32)
-    out = {"sequence_id": base + np.arange(len(found)), "fill": fill, "done": fill >= capacity - slack}
-    for c, values in zip(FIELDS, fields, strict=True):
-        out[c] = [values[b[0]] if len(b) == 1 else np.concatenate([values[k] for k in b]) for b in found]
-    return pd.DataFrame(out)
+    starts = np.cumsum(sizes) - sizes
+    for first in range(0, len(found), BATCH_BINS):
+        own = found[first : first + BATCH_BINS]
+        items = np.fromiter(chain.from_iterable(own), np.int64)
+        ends = np.cumsum([len(b) for b in own])
+        n = sizes[items]
+        upto = np.cumsum(n)
+        at = np.repeat(starts[items] - upto + n, n) + np.arange(upto[-1])
+        fill = np.add.reduceat(lengths[items], np.concatenate(([0], ends[:-1])))
+        out = {"sequence_id": base + first + np.arange(len(own)), "fill": fill, "done": fill >= capacity - slack}
+        yield pd.DataFrame(out | {c: np.split(f[at], upto[ends[:-1] - 1]) for c, f in zip(FIELDS, flat, strict=True)})
 
 
 def _first_round(all_pieces: DataFrame, slack: int, capacity: int) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = pd.concat(list(parts) or [pd.DataFrame(columns=list(FIELDS))])
         if len(part):
-            fields = [list(part[c].to_numpy(np.int64).reshape(-1, 1)) for c in FIELDS]
-            yield _packed(part["length"].to_numpy(np.int64), fields, 1, slack, capacity)
+            flat = [part[c].to_numpy(np.int64) for c in FIELDS]
+            yield from _packed(flat[FIELDS.index("length")], np.ones(len(part), np.int64), flat, 1, slack, capacity)
 
     return all_pieces.mapInPandas(run, BIN_SCHEMA)
 
@@ -173,7 +190,9 @@ def _next_round(open_bins: DataFrame, level: int, slack: int, capacity: int) ->
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = pd.concat(list(parts) or [pd.DataFrame({"fill": []})])
         if len(part):
-            yield _packed(part["fill"].to_numpy(np.int64), [list(part[c]) for c in FIELDS], level, slack, capacity)
+            sizes = np.fromiter(map(len, part["length"]), np.int64, len(part))
+            flat = [np.concatenate(part[c].to_numpy()) for c in FIELDS]
+            yield from _packed(part["fill"].to_numpy(np.int64), sizes, flat, level, slack, capacity)
 
     return open_bins.mapInPandas(run, BIN_SCHEMA)
 
@@ -181,6 +200,9 @@ def _next_round(open_bins: DataFrame, level: int, slack: int, capacity: int) ->
 def pack(all_pieces: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN, slacks=SLACKS) -> DataFrame:
     """FIELDS plus sequence_id and offset, one row per piece; input: FIELDS, lengths from 1 to capacity."""
     pieces_ = materialize(all_pieces, "pack-pieces")  # tokenizing and packing then never share a task's memory
+    n = -(-pieces_.count() // TASK_PIECES)
+    if n > pieces_.rdd.getNumPartitions():  # pieces are small, so one task may read those of many
+        pieces_ = pieces_.repartition(n)
     level = materialize(_first_round(pieces_, slacks[0], capacity), "pack-1")
     levels = [level.where("done")]
     for k, slack in enumerate((*slacks[1:], capacity), 2):
