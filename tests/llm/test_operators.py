@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -142,8 +143,32 @@ def test_word_cache_equals_the_tokenizer():
     rng = random.Random(1)
     texts = ["".join(rng.choice("aé.,'sSßÀ İΣς́­…“”)\t\n  123²ªµǅ中文Ж-_") for _ in range(rng.randrange(60))) for _ in range(800)]
     texts += ["it's. I'LL, 'RE.. <|endoftext|>.", "", "..", "a.,b., c.)"]
-    for t, raw in zip(texts, coder.encode(texts), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == coder.whole.encode(t, add_special_tokens=False).ids
+    for t in texts:
+        assert np.frombuffer(b"".join(coder.encode(t)), "<u4").tolist() == coder.whole.encode(t, add_special_tokens=False).ids
+
+
+def test_every_token_is_what_the_tokenizer_makes_of_it():
+    """Merging by number equals merging by rank if each token is the result of its own merges."""
+    coder = packing.WordCache(packing.default_tokenizer())
+    raw_of = packing._byte_letters()
+    vocab = {t: n for t, n in coder.whole.get_vocab().items() if t.endswith("</w>") and not t.startswith("<|")}
+    tried = 0
+    for token, n in vocab.items():
+        raw = bytes(raw_of[c] for c in token[:-4])
+        word = raw.decode("utf-8", "replace")
+        if "\ufffd" not in word and word.isalpha() and coder.whole.encode(word, add_special_tokens=False).ids == [n]:
+            assert coder.merged(raw + coder.END) == [n]
+            tried += 1
+    assert tried > 30_000
+
+
+def test_long_texts_are_cut_into_windows(spark, monkeypatch):
+    rng = random.Random(8)
+    text = "".join(rng.choice("ab. é\t\n中") for _ in range(5000))
+    monkeypatch.setattr(packing, "WINDOW", 64)
+    coder = packing.WordCache(packing.default_tokenizer())
+    windows = list(coder.encode(text))
+    assert len(windows) > 50 and np.frombuffer(b"".join(windows), "<u4").tolist() == coder.whole.encode(text, add_special_tokens=False).ids
 
 
 def check_packing(texts, rows):
@@ -473,23 +498,56 @@ def test_language_odd_rows(odd, none):
 # top-k
 
 
-def test_top_k_equals_brute_force(spark):
-    rng = np.random.default_rng(1)
-    x = np.round(rng.normal(size=(600, 20)), 2).astype(np.float32)
-    x[100:400] = x[7]  # one vector on many rows: ties
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [None] * 20), (1002, [float("nan")] * 20), (1003, [float("inf")] * 20), (1100, [1.0] * 3), (5, x[5].tolist())]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).repartition(5)
+def brute_top(rows, every):
+    whole = lambda v: [int(x) * 1024 if abs(x) >= 2**52 else math.floor(1024 * x) for x in v]
+    good = [(i, whole([float(x) for x in v])) for i, v in rows if v and None not in v and np.isfinite(v).all()]
+    want = {}
+    for q, v in good:
+        if q % every == 0:
+            dot = lambda w: sum(a * b for a, b in zip(v, w, strict=True))  # noqa: B023, E731
+            clamp = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+            want[q] = sorted(((clamp(dot(w)), i) for i, w in good if i != q and len(w) == len(v)), key=lambda s: (-s[0], s[1]))[:10]
+    return want
+
+
+def check_top(rows, want):
     got = {}
-    for r in topk.top_k(frame, every=50, block=5).collect():
+    for r in rows:
         got.setdefault(r.query_id, {})[r.rank] = (r.score, r.vec_id)
-    good = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if v and None not in v and np.isfinite(v).all()]
-    for q, v in good:
-        if q % 50 == 0:
-            want = sorted(((int(v @ w), i) for i, w in good if i != q and len(w) == len(v)), key=lambda s: (-s[0], s[1]))[:10]
-            assert [got.get(q, {}).get(k) for k in range(1, len(want) + 1)] == want
+    assert got == {q: dict(enumerate(w, 1)) for q, w in want.items() if w}
+
+
+@pytest.mark.parametrize("settings", [{}, {"part_mb": 0.01, "least_rows": 50}])
+def test_top_k_equals_brute_force(spark, settings):
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(600, 20)) * rng.choice([0.1, 1, 30], (600, 1)), 2).astype(np.float32)
+    x[100:400] = x[7]  # one vector on many rows: ties
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [None] * 20), (1002, [float("nan")] * 20), (1003, [float("inf")] * 20), (1100, [1.0] * 3), (5, x[5].tolist()), (1200, [])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("part", F.lit("x")).repartition(5)
+    check_top(topk.top_k(frame, every=50, **settings).collect(), brute_top(rows, 50))
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(4)
+    size = 10.0 ** rng.choice([-3, 0, 3, 4, 6, 9, 15, 30, 200, 307], (300, 1))
+    x = rng.normal(size=(300, 6)) * size
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, [5000.0, 1.0]), (401, [4096.0, -3.0]), (500, [0.5, 9000.25])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    check_top(topk.top_k(frame, every=10, part_mb=0.002).collect(), brute_top(rows, 10))
+
+
+def test_top_k_survivors_only():
+    """A coarse bound that rules a pair out keeps it from every finer one, and no bound is below the score."""
+    rng = np.random.default_rng(2)
+    x, q = np.floor(rng.normal(size=(500, 64)) * 1000), np.floor(rng.normal(size=(30, 64)) * 1000)
+    for mine, theirs in zip(topk.bound_factors(q, True), topk.bound_factors(x, False), strict=True):
+        assert (mine @ theirs.T + 1e-3 >= q @ x.T).all()
+    part = topk.Part(np.arange(500), x / 1024)
+    best = part.search(np.arange(1000, 1030), q / 1024, np.full(30, -np.inf), 10)
+    assert (np.sort(part.x @ q.T, axis=0)[-10:].T[:, ::-1] == np.stack([s for s, _ in best.found])).all()
+
+
 # pipeline
 
 
