@@ -112,20 +112,53 @@ def test_pii_odd_rows(odd, none):
 def test_grammar_scores_clauses():
     s = toxicity.Grammar({"idiot": 4.0, "blork*": 4.0}).compiled()
     assert s.evidence("The weather is fine. Nice day") == 0
-    plain, aimed = s.evidence("idiot"), s.evidence("you are an idiot")
-    assert aimed > plain > s.evidence("not an idiot") > 0
-    assert s.evidence("he said idiot") < aimed
-    assert s.evidence("blorkish") == 4 and s.evidence("blork") == 0 and s.evidence("xidiot") == 0
-    assert s.evidence("i will kill you") == 0 < s.evidence("you they kill")
-    assert s.evidence("idiot. idiot\nidiot") == 12
+    assert s.evidence("idiot") == s.evidence("idiot table") == s.evidence("blorkish") == 0  # a word alone is no clause
+    assert s.evidence("you are an idiot") == s.evidence("idiot that you are") == s.evidence("this blorkish thing") == 4
+    assert s.evidence("blork you") == s.evidence("you xidiot") == 0
+    assert s.evidence("idiot blorkish") == 8  # piled up
+    assert s.evidence("you are not an idiot") == pytest.approx(1.2)
+    assert s.evidence("he said you are an idiot") == pytest.approx(2.4)
+    assert s.evidence("he said you are not an idiot") == pytest.approx(0.72)
+    assert s.evidence("i will kill you") == s.evidence("you they kill") == s.evidence("kill them") == 3
+    assert s.evidence("kill the process") == s.evidence("kill") == 0
+    assert s.evidence("never kill you") == pytest.approx(0.9)
+    assert s.evidence("you idiot. you idiot\nidiot you; idiot") == 12
+
+
+def paths(machines, symbol, states):
+    """All ways through the cascade for one word: (states, factor)."""
+    ways = [((), symbol, 1.0)]
+    for machine, state in zip(machines, states, strict=True):
+        ways = [((*to, nxt), out, f * g) for to, sym, f in ways for nxt, out, g in machine.arcs[state].get(sym, ())]
+    return [(to, f) for to, _, f in ways]
+
+
+def test_composed_machines_equal_all_paths_of_the_cascade():
+    rng = random.Random(6)
+    first = [toxicity.negation(2, 0.3), toxicity.report(0.6)]
+    fork = toxicity.Transducer([{x: [(0, x, 1.0), (1, x, 0.5)] for x in toxicity.SYMBOLS}, {x: [(1, x, 2.0)] for x in "IPO"}], {0, 1})  # more than one path
+    for last in (toxicity.aimed("I", "PT", True), toxicity.aimed("H", "P", False)):
+        for machines in ([*first, last], [fork, *first, last]):
+            whole = machines[0]
+            for m in machines[1:]:
+                whole = whole.compose(m)
+            for _ in range(150):
+                text = "".join(rng.choice(toxicity.SYMBOLS) for _ in range(rng.randrange(9)))
+                weights = [float(rng.randrange(5)) for _ in text]
+                at = [((0,) * len(machines), 0.0)]
+                for symbol, w in zip(text, weights, strict=True):
+                    at = [(to, had + w * f) for states, had in at for to, f in paths(machines, symbol, states)]
+                ends = [had for states, had in at if all(s in m.final for s, m in zip(states, machines, strict=True))]
+                assert whole.best(text, weights) == pytest.approx(max(ends, default=0.0))
 
 
 def test_toxicity_held_out(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"
     got = toxicity.classify(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
     rows = got.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").select("toxic", "predicted", "score").collect()
-    right = sum(r.toxic == r.predicted for r in rows)
-    assert right / len(rows) > 0.9 and all(0 <= r.score <= 1 for r in rows)
+    toxic = [r.predicted for r in rows if r.toxic]
+    clean = [r.predicted for r in rows if not r.toxic]
+    assert sum(toxic) / len(toxic) > 0.9 and sum(clean) / len(clean) < 0.03 and all(0 <= r.score <= 1 for r in rows)
 
 
 def test_toxicity_odd_rows(spark, odd, none):
