@@ -497,14 +497,55 @@ def test_simhash_odd_rows(odd, none):
 # language id
 
 
-def test_kneser_ney_sums_to_one():
-    grams, n = np.unique(langid.keys_of(["the cat sat on the mat", "a cat that sat"])[0], return_counts=True)
-    model = langid.build(["x"], [grams], [n])
-    chars = sorted({int(g & np.uint64(0xFFFF)) for g in grams})
-    for context in {int(g >> np.uint64(16)) for g in grams}:
-        keys = np.array([context << 16 | c for c in chars], np.uint64)
-        total = np.exp(model.log_probs(keys)).sum()
-        assert 0.9 < total <= 1.0 + 1e-6  # the rest is left to unseen characters
+def brute_kneser_ney(texts):
+    """Probability of a character after up to three others, by the definition, for one language."""
+    counts = {k: {} for k in range(1, 5)}
+    for t in texts:
+        chars = [0, 0, 0, *re.sub("[^a-zà-ÿ]+", " ", f" {t}")]
+        chars = ["\0" if c in (0, " ") else c for c in chars]
+        for i in range(3, len(chars)):
+            g = tuple(chars[i - 3 : i + 1])
+            counts[4][g] = counts[4].get(g, 0) + 1
+    for k in (3, 2, 1):
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        own = {h: c for h, c in counts[len(g)].items() if h[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        return max(own.get(g, 0) - 0.75, 0) / sum(own.values()) + 0.75 * len(own) / sum(own.values()) * p(g[1:])
+
+    return p, sorted({g[0] for g in counts[1]})
+
+
+def test_kneser_ney_equals_its_definition(spark):
+    prepare(spark)
+    texts = ["the cat sat on the mat", "a cat that sat", "été là"]
+    frame = spark.createDataFrame([(t, "x") for t in texts] + [("xyz der die das", "y")], "text string, lang string")
+    model = langid.kneser_ney(langid.count_ngrams(frame), ["x", "y"])
+    arrays = langid.fetched(model)
+    p, chars = brute_kneser_ney(texts)
+    rng = random.Random(2)
+    some = [tuple(rng.choice([*chars, "q"]) for _ in range(4)) for _ in range(400)]
+    keys = np.array([sum(ord(c) << (16 * (3 - i)) for i, c in enumerate(g)) for g in some], np.uint64)
+    got = arrays.log_probs(keys)[:, 0] / langid.UNIT
+    assert np.allclose(got, [math.log(p(g)) for g in some], atol=1e-4)
+    for context in {g[:3] for g in some[:40]}:
+        assert sum(p((*context, c)) for c in chars) == pytest.approx(1 - 0, abs=0.2) and sum(p((*context, c)) for c in chars) <= 1 + 1e-9
+
+
+def test_windows_of_long_texts_give_the_same_keys():
+    rng = random.Random(3)
+    for block in (1, 2, 3, 7, 1000):
+        text = "".join(rng.choice("ab  é#\U0001f600中\U00010400") for _ in range(300))
+        assert np.concatenate(list(langid.long_keys(text, block))).tolist() == langid.keys_of([text])[0].tolist()
+    texts = ["ab", "x" * 50, "", "cd ef" * 30, "#", "q"]
+    keys, owner = langid.keys_of(texts)
+    got = list(langid.key_blocks(texts, 20))
+    assert np.concatenate([k for k, _ in got]).tolist() == keys.tolist() and np.concatenate([o for _, o in got]).tolist() == owner.tolist()
 
 
 def test_language_held_out(spark):
@@ -513,10 +554,18 @@ def test_language_held_out(spark):
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97
 
 
-def test_language_model_keeps_its_bound(spark, docs):
-    whole, small = langid.learn(docs), langid.learn(docs, max_ngrams=300)
-    assert len(whole.probs[0].hashes) > 300 * len(whole.langs) >= len(small.probs[0].hashes) > 0
-    assert small.langs == whole.langs
+def test_language_by_joins_equals_by_arrays(spark, docs, odd):
+    own = docs.select("doc_id", "text", "lang").union(odd.select("doc_id", "text", "lang"))
+    small, large = langid.learn(own), langid.learn(own, model_mb=0)
+    assert small.arrays is not None and large.arrays is None and (small.limit, small.sharpness) == (large.limit, large.sharpness)
+    key = lambda r: (str(r.doc_id), r.lang_pred, r.score, r.cross_entropy, r.rejected)
+    assert sorted(map(str, map(key, langid.identify(own, small).collect()))) == sorted(map(str, map(key, langid.identify(own, large).collect())))
+
+
+def test_language_without_letters(spark, docs):
+    rows = spark.createDataFrame([(1, "\U0001f600\U0001f680"), (2, "\U0001d7ce\U0001d7cf 123"), (3, "..."), (4, "\U00010400"), (5, "\u4e2d")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(rows, langid.learn(docs)).collect()}
+    assert got[1] == got[2] == got[3] == "und" and got[4] != "und" and got[5] != "und"
 
 
 def test_language_odd_rows(odd, none):
