@@ -382,6 +382,10 @@ def test_chat_links_orders_and_validates(spark):
         message(4, 0, "assistant", None, "k", "reply", ok),
         message(4, 1, "assistant", None, "k", "reply", ok),
         message(None, None, None, None),
+        message(5, 0, "assistant", None, "b", "reply", '{"prompt":"' + "x" * 1001 + '","turn":0}'),
+        message(6, 0, "assistant", None, "b", "reply", ok, ["a"]),
+        message(6, 1, "tool", "answer", "b"),
+        message(None, 0, "assistant", None, "b", "reply", ok),
     ]
     frame = spark.createDataFrame(rows, CHAT).withColumn("level", F.lit("x")).withColumn("uses", F.lit(1))
     got = {(r.conv_id, r.turn): r for r in chat.link(frame).collect()}
@@ -391,24 +395,34 @@ def test_chat_links_orders_and_validates(spark):
     assert got[2, 0].status == got[2, 1].status == "cycle"
     assert [got[3, t].status for t in range(6)] == ["invalid:type:prompt", "invalid:not_object", "invalid:missing:prompt", "invalid:unknown_tool", "invalid:extra", "unanswered"]
     assert got[4, 0].status == got[4, 1].status == "duplicate"
+    # one identifier in four conversations: four calls
+    assert (got[5, 0].status, got[6, 0].status, got[6, 0].level, got[6, 1].level, got[None, 0].status) == ("invalid:length:prompt", "linked", 0, 1, "unanswered")
     assert got[1, 1].json == '{"arguments":{"prompt":"x","turn":1},"id":"b","name":"reply","role":"assistant","turn":1}'
     assert json.loads(got[1, 0].json)["content"] == 'say "hi"\n'
     assert chat.link(frame.limit(0)).count() == 0
 
 
-def test_chat_query_keeps_every_turn(spark):
-    rows = queries.op7_chat_format(spark, SMALL).collect()
-    source = spark.read.parquet(f"{SMALL}/conversations.parquet").collect()
-    assert len(rows) == len(source)
-    asked = {(r.conv_id, r.turn) for r in source if r.role in ("user", "system")}
-    text = {(r.conv_id, r.turn): r.text for r in source}
-    for r in rows:
-        body = json.loads(r.json)
-        assert list(body) == sorted(body)
-        if r.role == "assistant":
-            assert (r.status == "linked") == ((r.conv_id, r.turn - 1) in asked) and body["content"] == text[r.conv_id, r.turn]
+def test_chat_query_equals_brute_force(spark):
+    rows = {(r.conv_id, r.turn): r for r in queries.op7_chat_format(spark, SMALL).collect()}
+    source = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{SMALL}/conversations.parquet").collect()}
+    assert rows.keys() == source.keys()
+    calls = {}
+    for c, t in sorted(k for k, r in source.items() if r.role in ("user", "system")):
+        calls.setdefault(c, []).append(t)
+    seen = set()
+    for (c, t), r in rows.items():
+        text, role, body = source[c, t].text, source[c, t].role, json.loads(r.json)
+        assert r.json == json.dumps(body, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+        if role == "assistant":
+            asked = t - 1 in calls.get(c, ())
+            assert (r.status, r.level) == (("linked", calls[c].index(t - 1) + 1) if asked else ("orphan", 0)) and body["content"] == text
         else:
-            assert body["arguments"] == {"prompt": text[r.conv_id, r.turn], "turn": r.turn}
+            answered = (c, t + 1) in source and source[c, t + 1].role == "assistant"
+            want = "invalid:length:prompt" if len(text) > chat.MAX_PROMPT else "linked" if answered else "unanswered"
+            assert (r.status, r.level, r.call_id) == (want, calls[c].index(t), f"call_{t}")
+            assert body["arguments"] == {"prompt": text, "turn": t}
+        seen.add(r.status)
+    assert {"linked", "unanswered", "invalid:length:prompt"} <= seen
 
 
 def test_chat_levels_have_no_limit(spark):

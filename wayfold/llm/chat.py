@@ -1,19 +1,20 @@
 """Chat formatting with linked tool calls (DataFrame operations only).
 
-Calls and results meet in a hash join on their identifier. Calls name the calls they depend on; a call's level is one more
+Calls and results meet in a hash join on their conversation and identifier; equal identifiers of two conversations are two calls.
+Calls name the calls of their conversation that they depend on; a call's level is one more
 than the highest level of these, found for all calls at once, round by round, with a table per round in the shared
 folder. A round also replaces a dependency that waits for one other call by that one, so a chain of n calls takes about
-log2(n) rounds, and rounds end only when nothing settles any more: what is left is in a cycle or behind one. Arguments are validated as variants against the schema of
-the tool: required fields, types, and no fields beyond. Each message is one row with canonical JSON: keys in
-alphabetical order, no white space; arguments are re-serialised the same way.
+log2(n) rounds, and rounds end only when nothing settles any more: what is left is in a cycle or behind one. Arguments are
+validated as variants against the schema of the tool: required fields, types, greatest lengths, and no fields beyond. Each message
+is one row with canonical JSON: keys in alphabetical order, no white space; arguments are re-serialised the same way.
 
 A row per message, not per conversation: `(anchor, level, turn)` orders a conversation topologically, each result after
 its call, and a conversation of any length spreads over all tasks.
 
-Defined cases: null texts are empty; a call id used twice counts as one call, the one with the smallest row, and both
-rows are marked `duplicate`; a result without its call is an `orphan`; a call without a result is `unanswered`; arguments
-that aren't a JSON object, or don't fit, are `invalid`; a dependency that doesn't exist is ignored; repeated rows stay;
-an empty table gives an empty result; extra columns are ignored.
+Defined cases: null texts are empty; a null conversation is one of its own; a call id used twice in a conversation counts as one
+call, the one with the smallest row, and both rows are marked `duplicate`; a result without its call is an `orphan`; a call
+without a result is `unanswered`; arguments that aren't a JSON object, or don't fit, are `invalid`; a dependency that doesn't exist
+is ignored; repeated rows stay; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,23 +24,30 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import materialize
 
-#: Tools of the conversations table: field name, type, whether it is required.
-SCHEMAS = {"reply": (("prompt", "STRING", True), ("turn", "BIGINT", True)), "configure": (("prompt", "STRING", True), ("turn", "BIGINT", True))}
+#: The greatest length of a prompt that the tools of the conversations table take.
+MAX_PROMPT = 350
+#: Tools of the conversations table: field name, type, whether it is required, greatest length of a string or None.
+SCHEMAS = {
+    "reply": (("prompt", "STRING", True, MAX_PROMPT), ("turn", "BIGINT", True, None)),
+    "configure": (("prompt", "STRING", True, MAX_PROMPT), ("turn", "BIGINT", True, None)),
+}
 
 
 def validate(tool: Column, arguments: Column, schemas: dict = SCHEMAS) -> Column:
-    """'ok', or the first fault of the arguments: unknown_tool, not_object, missing:x, type:x, extra."""
+    """'ok', or the first fault of the arguments: unknown_tool, not_object, missing:x, type:x, length:x, extra."""
     v = F.try_parse_json(arguments)
     keys = F.json_object_keys(arguments)
     out = F.lit("unknown_tool")
     for name, fields in schemas.items():
         fault = F.when(keys.isNull() | v.isNull(), "not_object")
-        for field, kind, required in fields:
+        for field, kind, required, longest in fields:
             has = F.array_contains(keys, field)
             value = F.try_variant_get(v, f"$.{field}", "variant")
             if required:
                 fault = fault.when(~has, f"missing:{field}")
             fault = fault.when(has & (F.schema_of_variant(value) != kind), f"type:{field}")
+            if longest is not None:
+                fault = fault.when(has & (F.length(F.try_variant_get(v, f"$.{field}", "string")) > longest), f"length:{field}")
         fault = fault.when(F.size(F.array_except(keys, F.array(*(F.lit(f[0]) for f in fields)))) > 0, "extra").otherwise("ok")
         out = F.when(tool == name, fault).otherwise(out)
     return F.when(tool.isNull(), None).otherwise(out)
@@ -85,17 +93,19 @@ def link(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     messages: conv_id, turn, role, text, call_id (set on calls and results), tool (set on calls), arguments (JSON text of
     calls), depends_on (array of call ids, on calls).
     """
-    m = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), "call_id", "tool", "arguments", "depends_on")
+    conversation = F.coalesce(F.concat(F.col("conv_id").cast("string"), F.lit(":")), F.lit(":"))
+    key = lambda call: F.concat(conversation, call)
+    m = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), "call_id", "tool", "arguments", F.transform("depends_on", key).alias("needs"), key(F.col("call_id")).alias("key"))
     is_call = F.col("tool").isNotNull() & F.col("call_id").isNotNull()
-    calls = m.where(is_call).groupBy("call_id").agg(
-        F.min(F.struct("turn", "tool", "arguments", "depends_on")).alias("c"), F.count(F.lit(1)).alias("uses")
+    calls = m.where(is_call).groupBy("key").agg(
+        F.min(F.struct("turn", "tool", "arguments", "needs")).alias("c"), F.count(F.lit(1)).alias("uses")
     )
-    answered = m.where(~is_call & F.col("call_id").isNotNull()).select("call_id").distinct().withColumn("answered", F.lit(True))
-    levels = call_levels(calls.select("call_id", F.col("c.depends_on").alias("depends_on")))
-    info = calls.join(answered, "call_id", "left").join(levels, "call_id", "left").select(
-        F.col("call_id").alias("_id"), F.col("c.turn").alias("call_turn"), F.col("c.tool").alias("call_tool"), "uses", "answered", "level"
+    answered = m.where(~is_call & F.col("call_id").isNotNull()).select("key").distinct().withColumn("answered", F.lit(True))
+    levels = call_levels(calls.select(F.col("key").alias("call_id"), F.col("c.needs").alias("depends_on"))).withColumnRenamed("call_id", "key")
+    info = calls.join(answered, "key", "left").join(levels, "key", "left").select(
+        F.col("key").alias("_id"), F.col("c.turn").alias("call_turn"), F.col("c.tool").alias("call_tool"), "uses", "answered", "level"
     )
-    both = m.join(info, m["call_id"] == info["_id"], "left")
+    both = m.join(info, m["key"] == info["_id"], "left")
     fault = validate(F.col("tool"), F.col("arguments"), schemas)
     status = (
         F.when(F.col("call_id").isNull(), "message")
@@ -125,9 +135,10 @@ def calls_from_turns(conversations: DataFrame) -> DataFrame:
     """Messages of a table without tool calls: each user or system turn calls a tool, the next turn answers it.
 
     A user turn is a call of `reply`, a system turn one of `configure`, with the text as argument; an assistant turn is
-    the result of the turn before it. A call depends on the call before it in its conversation. Null turns or conversations have no identifier and stay plain messages.
+    the result of the turn before it. A call depends on the call before it in its conversation. Null turns or conversations have
+    no identifier and stay plain messages. Prompts beyond the schemas' length don't validate; calls that no turn answers stay so.
     """
-    name = lambda turn: F.concat(F.lit("call_"), F.col("conv_id"), F.lit("_"), turn)
+    name = lambda turn: F.when(F.col("conv_id").isNotNull(), F.concat(F.lit("call_"), turn))
     asks = F.col("role").isin("user", "system")
     tool = F.when(asks & F.col("turn").isNotNull() & F.col("conv_id").isNotNull(), F.when(F.col("role") == "user", "reply").otherwise("configure"))
     call = F.when(tool.isNotNull(), name(F.col("turn"))).when(F.col("role") == "assistant", name(F.col("turn") - 1))

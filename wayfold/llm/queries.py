@@ -70,8 +70,24 @@ QUERIES = {
     for f in (op1_pii, op2_toxicity, op3_best_fit_packing, op4_line_dedup, op5_media, op6_mixing, op7_chat_format, op8_simhash, op9_language_id, op10_top_k)
 }
 
-#: A page's lines and the share of a host's pages that hold each, as the operator defines them.
+#: op4: a page's lines and the share of a host's pages that hold each, as the operator defines them. op7: calls
+#: are a conversation's user and system turns in order, so a call's level is its place among them.
 ORACLES = {
+    "op7_chat_format": f"""
+WITH m AS (SELECT *, role IN ('user','system') AND turn IS NOT NULL AND conv_id IS NOT NULL AS asks FROM
+    (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, coalesce(text,'') AS text FROM conversations)),
+c AS (SELECT conv_id, turn, count(*) AS uses, row_number() OVER (PARTITION BY conv_id ORDER BY turn)-1 AS level FROM m WHERE asks GROUP BY conv_id, turn),
+i AS (SELECT m.*, CASE WHEN asks THEN turn WHEN role='assistant' AND conv_id IS NOT NULL THEN turn-1 END AS ref FROM m),
+j AS (SELECT i.*, c.uses, c.level, c.turn AS called, EXISTS (SELECT 1 FROM m a WHERE a.role='assistant' AND a.conv_id=i.conv_id AND a.turn=i.turn+1) AS answered FROM i LEFT JOIN c ON c.conv_id=i.conv_id AND c.turn=i.ref)
+SELECT conv_id, CAST(turn AS INTEGER) AS turn, role, CASE WHEN ref IS NOT NULL THEN concat('call_',CAST(ref AS VARCHAR)) END AS call_id,
+  CASE WHEN ref IS NULL THEN 'message' WHEN asks AND uses>1 THEN 'duplicate' WHEN asks AND length(text)>{chat.MAX_PROMPT} THEN 'invalid:length:prompt' WHEN asks AND NOT answered THEN 'unanswered'
+    WHEN asks THEN 'linked' WHEN called IS NULL THEN 'orphan' ELSE 'linked' END AS status,
+  coalesce(called, turn) AS anchor, CAST(CASE WHEN asks THEN level WHEN called IS NOT NULL THEN level+1 ELSE 0 END AS BIGINT) AS level,
+  CASE WHEN asks THEN concat('{{"arguments":{{"prompt":', CAST(to_json(text) AS VARCHAR), ',"turn":', CAST(turn AS VARCHAR), '}},"id":"call_', CAST(ref AS VARCHAR), '","name":"', CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END, '","role":"', role, '","turn":', CAST(turn AS VARCHAR), '}}')
+    ELSE concat('{{"content":', CAST(to_json(text) AS VARCHAR), CASE WHEN role IS NOT NULL THEN concat(',"role":', CAST(to_json(role) AS VARCHAR)) ELSE '' END,
+      CASE WHEN ref IS NOT NULL THEN concat(',"tool_call_id":"call_', CAST(ref AS VARCHAR), '"') ELSE '' END, CASE WHEN turn IS NOT NULL THEN concat(',"turn":', CAST(turn AS VARCHAR)) ELSE '' END, '}}') END AS json
+FROM j
+""",
     "op4_line_dedup": r"""
 WITH p AS (
   SELECT page_id, row_number() OVER () AS rid, regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1) AS host,
