@@ -486,6 +486,42 @@ def test_simhash_equals_brute_force(spark, docs):
     assert {r.doc_id: r.component_id for r in got} == brute_components(fps)
 
 
+def test_simhash_of_long_texts_in_windows():
+    rng = random.Random(5)
+    text = "".join(rng.choice("aB \n\té1\x0b") for _ in range(3000))
+    want = brute_fingerprint(text)
+    assert all(simhash.fingerprint_of(text, w) & (1 << 64) - 1 == want for w in (1, 2, 7, 100, 10**6))
+
+
+def test_simhash_hot_fingerprint(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 5)
+    rows = [(i, "the same text again" if i % 3 else f"own text number {i} here") for i in range(60)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components({d: brute_fingerprint(t) for d, t in rows})
+
+
+def test_simhash_many_random_fingerprints(spark):
+    """Long prefixes: pairs planted at 0 to 3 bits among random fingerprints; all links up to 2 bits are found, no other."""
+    rng = random.Random(12)
+    made = set()
+    while len(made) < 6000:
+        x = rng.getrandbits(64)
+        made.add(x)
+        if rng.random() < 0.3:
+            for k in rng.sample(range(64), rng.choice((1, 2, 3))):
+                x ^= 1 << k
+            made.add(x)
+    fps = sorted(made)
+    arr = np.array(fps, np.uint64)
+    want = {(i, int(j)) for i in range(len(arr)) for j in np.flatnonzero(np.bitwise_count(arr[i] ^ arr) <= 2) if i < j}
+    signed = [(x - (1 << 64) if x >> 63 else x, d) for d, x in enumerate(fps)]
+    frame = spark.createDataFrame(signed, "fp long, rep long")
+    got = {tuple(sorted((r.u, r.v))) for r in simhash.links(frame).collect()}
+    label = {r.node: r.label for r in simhash.components(spark.createDataFrame(sorted(want), "u long, v long")).collect()}
+    mine = {r.node: r.label for r in simhash.components(spark.createDataFrame(sorted(got), "u long, v long")).collect()}
+    assert got <= want and mine == label
+
+
 def test_simhash_dense_ball_with_small_leaves(spark):
     rng = random.Random(9)
     made = {0}

@@ -1,15 +1,19 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
-1. fingerprint: 64 majority bits over the XXH64 of every 3-word shingle (repeats included).
+1. fingerprint: 64 majority bits over the XXH64 of every 3-word shingle (repeats included), window by window of a text.
 2. Distinct fingerprints are range-partitioned and sorted by Gray rank, so that neighbours share bit patterns. Runs of
-   at most `leaf` fingerprints with a common prefix form a leaf, which stores the bits all its members agree on (mask,
-   pattern); the prefix is its upper node.
-3. Upper nodes meet through an equi-join on the prefixes that differ in at most `distance` bits; a pair of leaves is
-   pruned whole when its masked patterns already differ in more. Survivors are compared exactly, leaf by leaf, and each
-   comparison emits a spanning forest of its links, at most one row per member.
+   at most `leaf` fingerprints with a common prefix form a leaf, which knows the bits all its members agree on (those where the
+   AND and the OR of its members are alike). Leaves with the same first half of the prefix form an upper node, which factors out
+   the bits that all of them share.
+3. Upper nodes meet through an equi-join on half prefixes that differ in at most `distance` bits. A pair of nodes is pruned
+   whole when its shared patterns differ in more. What survives goes down with the differences it has used up: leaves
+   meet through an equi-join on the second half, which may only differ in the bits that are left, and are pruned by their own
+   shared patterns. So far all rows are numbers; only surviving pairs of leaves fetch their members, which are compared exactly, and
+   each comparison emits a spanning forest of its links, at most one row per member.
 4. Components: minimum labels with pointer jumping over the links, each round written to the shared folder.
 
-No step holds more than two leaves at a time and no candidate is capped. Exact copies meet in step 2's aggregation, so a
+Prefixes grow with the logarithm of the number of fingerprints, so leaves stay small at any size. No step holds more than two
+leaves at a time and no candidate is capped. Exact copies meet in an aggregation before the index, so a
 group of copies of any size is one fingerprint. Fingerprints are kept as signed longs with the same bits.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; fewer than three words hash the
@@ -19,13 +23,14 @@ whole sequence; repeated rows stay separate rows; an empty table gives an empty
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import loose_id, materialize, solid_id
@@ -34,25 +39,45 @@ DISTANCE = 2
 LEAF = 256
 SHINGLE = 3
 SEED = 42
+WINDOW = 1 << 19
+SPACE = re.compile(rb"[\t-\r ]")
+PER_PREFIX = 64
+HOT_ROWS = 100_000
 
 
-def fingerprint_of(text: str | None) -> int:
+def word_windows(raw: bytes, window: int) -> Iterator[list[bytes]]:
+    """The words of a text, some at a time; windows end at white space."""
+    at = 0
+    while at < len(raw):
+        end = at + window
+        if end < len(raw):
+            space = SPACE.search(raw, end)
+            end = space.start() if space else len(raw)
+        yield raw[at:end].split()  # bytes split at \x20 and \x09-\x0D, and nowhere else
+        at = end
+
+
+def fingerprint_of(text: str | None, window: int = WINDOW) -> int:
     """Signed 64-bit SimHash of one text."""
-    raw = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes.lower changes A-Z only; split cuts at \\x20\\x09-\\x0D
-    words = raw.split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) < SHINGLE:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        spans = zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes.lower changes A-Z only
+    ones, total, held, digest = np.zeros(64, np.int64), 0, [], xxhash.xxh64_intdigest
+    for new in word_windows(raw, window):
+        words = held + new
+        if len(words) >= SHINGLE:
+            joined = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            starts = np.concatenate(([0], ends[:-1] + 1))
+            spans = zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)
+            hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+            ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            total += len(hashes)
+        held = words[1 - SHINGLE :]
+    if not total:
+        if not held:
+            return 0
+        hashes = np.array([digest(b" ".join(held), SEED)], np.uint64)
+        ones, total = np.unpackbits(hashes.view(np.uint8), bitorder="little").astype(np.int64), 1
+    return int(np.packbits(ones * 2 > total, bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -86,14 +111,14 @@ def _leaves(classes: DataFrame, bits: int, leaf: int) -> DataFrame:
         cut = np.concatenate([np.arange(a, a + n, leaf) for a, n in zip(cut, size, strict=True)])
         both, any_ = np.bitwise_and.reduceat(fp, cut), np.bitwise_or.reduceat(fp, cut)
         at = np.split(np.arange(len(fp)), cut[1:])
-        return pd.DataFrame({"prefix": prefix[cut].astype(np.int64), "leaf": rank[cut], "mask": ~(both ^ any_), "pattern": both, "fps": [fp[i] for i in at], "reps": [rep[i] for i in at]})
+        return pd.DataFrame({"prefix": prefix[cut].astype(np.int64), "leaf": rank[cut], "all_": both, "any_": any_, "fps": [fp[i] for i in at], "reps": [rep[i] for i in at]})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             if len(part):
                 yield rows(*(part[c].to_numpy(np.int64) for c in ("fp", "rep", "rank")))
 
-    return ordered.select("fp", "rep", "rank").mapInPandas(run, "prefix long, leaf long, mask long, pattern long, fps array<long>, reps array<long>")
+    return ordered.select("fp", "rep", "rank").mapInPandas(run, "prefix long, leaf long, all_ long, any_ long, fps array<long>, reps array<long>")
 
 
 def forest(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,26 +141,52 @@ def forest(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, distanc
     return u[u != v], v[u != v]
 
 
+def _flips(bits: int, distance: int) -> Column:
+    """array<long>: every choice of at most `distance` of the lowest bits."""
+    return F.array(*(F.lit(sum(1 << k for k in c)).cast("long") for d in range(distance + 1) for c in combinations(range(bits), d)))
+
+
+def _accumulated(a: str, b: str) -> Column:
+    """Bits in which all members of one group differ from all members of the other."""
+    x = lambda c, side: F.col(f"{c}_{side}")
+    shared = F.bitwise_not(x("all", a).bitwiseXOR(x("any", a))).bitwiseAND(F.bitwise_not(x("all", b).bitwiseXOR(x("any", b))))
+    return F.bit_count(x("all", a).bitwiseXOR(x("all", b)).bitwiseAND(shared))
+
+
+def leaf_pairs(leaves: DataFrame, bits: int, distance: int) -> DataFrame:
+    """(leaf_a, leaf_b): pairs of leaves that may hold a link, each once, a leaf with itself included."""
+    low = bits - bits // 2
+    heads = leaves.select("prefix", "leaf", F.col("all_").alias("all"), F.col("any_").alias("any"), F.shiftright("prefix", low).alias("node"))
+    nodes = materialize(heads.groupBy("node").agg(F.bit_and("all").alias("all"), F.bit_or("any").alias("any")), "simhash-nodes")
+    side = lambda df, x: df.select(*(F.col(c).alias(f"{c}_{x}") for c in df.columns))
+    up = side(nodes, "a").withColumn("flip", F.explode(_flips(bits - low, distance))).withColumn("node_b", F.col("node_a").bitwiseXOR(F.col("flip"))).where("node_a <= node_b")
+    met = up.join(side(nodes, "b"), "node_b").where(_accumulated("a", "b") <= distance)
+    met = met.select("node_a", "node_b", F.bit_count(F.col("node_a").bitwiseXOR(F.col("node_b"))).alias("used"))
+    left = F.element_at(F.array(*(_flips(low, distance - d) for d in range(distance + 1))), F.col("used") + 1)
+    down = side(heads, "a").join(met, "node_a").select("prefix_a", "leaf_a", "all_a", "any_a", "node_a", "node_b", F.explode(left).alias("flip"))
+    second = F.col("prefix_a").bitwiseAND(F.lit((1 << low) - 1)).bitwiseXOR(F.col("flip"))
+    down = down.withColumn("prefix_b", F.shiftleft("node_b", low).bitwiseOR(second)).where("prefix_a <= prefix_b")
+    hit = down.drop("node_b").join(side(heads, "b"), "prefix_b").where((_accumulated("a", "b") <= distance) & ((F.col("prefix_a") != F.col("prefix_b")) | (F.col("leaf_a") <= F.col("leaf_b"))))
+    return hit.select("leaf_a", "leaf_b")
+
+
 def links(classes: DataFrame, distance: int = DISTANCE, leaf: int = LEAF) -> DataFrame:
     """(u, v): reps of fingerprints connected within `distance` bits; enough of them to span every component."""
     n = classes.count()
-    bits = min(22, max(2, round(math.log2(max(n, 1) / 64))))
+    bits = max(2, round(math.log2(max(n, 1) / PER_PREFIX)))
     leaves = materialize(_leaves(classes, bits, leaf), "simhash-leaves")
-    flips = [sum(1 << k for k in c) for d in range(distance + 1) for c in combinations(range(bits), d)]
-    near = F.explode(F.array(*(F.lit(x).cast("long") for x in flips)))
-    left = leaves.select(*(F.col(c).alias(f"{c}_a") for c in leaves.columns), near.alias("flip"))
-    left = left.withColumn("prefix", F.col("prefix_a").bitwiseXOR(F.col("flip"))).where("prefix >= prefix_a")
-    accumulated = F.bit_count(F.col("pattern").bitwiseXOR(F.col("pattern_a")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("mask_a")))
-    once = (F.col("flip") != 0) | (F.col("leaf") >= F.col("leaf_a"))
-    pairs = left.join(leaves.withColumnRenamed("prefix", "p"), (F.col("prefix") == F.col("p")) & once & (accumulated <= distance))
+    pairs = materialize(leaf_pairs(leaves, bits, distance), "simhash-pairs")
+    held = leaves.select("leaf", "fps", "reps")
+    side = lambda x: held.select(*(F.col(c).alias(f"{c}_{x}") for c in held.columns))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            found = [forest(a, b, ra, rb, distance) for a, b, ra, rb in zip(part["fps_a"], part["fps"], part["reps_a"], part["reps"], strict=True)]
+            found = [forest(a, b, ra, rb, distance) for a, b, ra, rb in zip(part["fps_a"], part["fps_b"], part["reps_a"], part["reps_b"], strict=True)]
             if found:
                 yield pd.DataFrame({"u": np.concatenate([x for x, _ in found]), "v": np.concatenate([x for _, x in found])})
 
-    return pairs.select("fps_a", "fps", "reps_a", "reps").mapInPandas(run, "u long, v long").distinct()
+    both = pairs.join(side("a"), "leaf_a").join(side("b"), "leaf_b")
+    return both.select("fps_a", "fps_b", "reps_a", "reps_b").mapInPandas(run, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -157,10 +208,17 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reachable over links."""
     fps = materialize(fingerprints(docs), "simhash-fp")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "simhash-classes")
     # a doc_id on several rows may stand for several fingerprints; its classes are then joined through it
-    shared = fps.join(classes, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    shared = _by_fingerprint(fps, classes).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     twice = shared.join(classes.select(F.col("rep").alias("u")).distinct(), "u", "left_semi")
-    labels = components(links(classes.where("rep is not null"), distance).union(twice.distinct()))
-    named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
-    return fps.join(named, "fp")
+    labels = components(links(classes.where("rep is not null").drop("rows"), distance).union(twice.distinct()))
+    named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("label", "rep").alias("component_id"), "rows")
+    return _by_fingerprint(fps, materialize(named, "simhash-named")).drop("rows")
+
+
+def _by_fingerprint(fps: DataFrame, known: DataFrame) -> DataFrame:
+    """fps with the columns of known(fp, rows, ...). Fingerprints of over HOT_ROWS rows, at most one for so many rows, are broadcast."""
+    hot = known.where(F.col("rows") > HOT_ROWS)
+    cold = fps.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(known.where(F.col("rows") <= HOT_ROWS), "fp")
+    return cold.unionByName(fps.join(F.broadcast(hot), "fp"))
