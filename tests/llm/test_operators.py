@@ -91,15 +91,48 @@ def test_pii_bootstrapping_finds_unseen_identifiers(spark):
 
 
 def test_pii_bootstrapping_follows_long_chains_and_long_words(spark):
+    """Pattern k finds the identifiers that pattern k + 1 needs: six links, each only to be had through the one before."""
     word = lambda k: "w" * 60 + "abcdef"[k]
     token = lambda k, j: f"+49 30 123400{j}" if k == 0 else f"030{k}5550{j}"
-    texts = [f"{word(k)} {token(k, j)} u{k}x{'y' * i}z{'q' * j}" for k in range(6) for j in range(3) for i in range(30)]
-    texts += [f"{word(k)} {token(k + 1, j)} v{'k' * k}n{'q' * j}" for k in range(5) for j in range(3)]
-    texts = [t.rsplit(" ", 1)[0] + " " + "".join(c for c in t.rsplit(" ", 1)[1] if c.isalpha()) + "abcdef"[n % 6] for n, t in enumerate(texts)]
+    tail = lambda n: "".join("abcdefghij"[int(c)] for c in f"{n:04d}")
+    texts = [f"{word(k)} {token(k, j)} " for k in range(6) for j in range(3) for _ in range(30)]
+    texts += [f"{word(k)} {token(k + 1, j)} " for k in range(5) for j in range(3)]
+    texts = [t + tail(n) for n, t in enumerate(texts)]
     got = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert all(r.spans.startswith("phone:61:") or r.spans.startswith("phone:62:") for r in got), [r for r in got if not r.spans][:3]
 
 
+def test_pii_patterns_of_several_words(spark):
+    """'no' precedes anything; only 'member card no' tells a card, and only whole sequences are counted."""
+    cards = ["4111111111111111", "5500005555555559", "340000000000009", "30000000000004", "6011000000000004"]
+    rows = [f"member card no {c} {'xyzuv'[k]}" for k, c in enumerate(cards)] + [f"no {k}99 apples {'abcdefghij'[k % 10]}" for k in range(60)]
+    rows += ["member card no 4111111111111112 q", "house no 4111111111111113 q", "card no 7111111111111112 q"]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got[65] == "card:15:31" and got[66] == "" and got[67] == "card:8:24"  # 'card no' occurs as often with cards
+    assert all(got[k] == f"card:15:{15 + len(c)}" for k, c in enumerate(cards)) and not any(got[k] for k in range(5, 65))
+
+
+def test_pii_secrets_are_seeded_by_announcing_words(spark):
+    keys = [f"a{k}b{k * 7919:012x}" for k in range(8)]
+    rows = [f'token = "{k}" then' for k in keys[:7]] + [f"bearer {k} then" for k in keys] + [f"commit {k}0 then" for k in keys[:3]] + ["the token = none", "tokens 12345678"]
+    got = [r for r in sorted(pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)]
+    assert [r.n_secret for r in got] == [1] * 15 + [0] * 5  # one key only ever stands behind 'bearer'
+    assert got[0].secrets == f"secret:9:{9 + len(keys[0])}" and all(r.spans == "" and r.n_found == r.n_secret for r in got)
+
+
+def test_pii_finds_planted_identifiers(spark):
+    """A measured effect: phone numbers in a form that no pattern knows, planted in real texts behind phrases that seeds have."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text is not null and length(text) < 3000").limit(400).collect()
+    rng, rows = random.Random(4), []
+    for n, r in enumerate(docs):
+        at = r.text.rfind(" ", 0, rng.randrange(len(r.text)) + 1) + 1
+        number = f"+1 (555) 555-{n:04d}" if n % 2 else f"0555-555{n:04d}"
+        rows.append((r.doc_id, r.text[:at] + f"reach me at phone: {number} " + r.text[at:], n % 2 == 0))
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string, unseen boolean")).collect()}
+    caught = [got[d].n_added > 0 for d, _, unseen in rows if unseen]
+    assert sum(caught) / len(caught) > 0.95
+
+
 def test_pii_odd_rows(odd, none):
     got = pii.find(odd).collect()
     assert len(got) == len(ODD) and all(r.base_sha256 == digest([]) and r.spans == "" for r in got)
