@@ -77,12 +77,12 @@ def call_levels(calls: DataFrame) -> DataFrame:
         stepped = edges.join(hops, (F.col("need") == F.col("_at")) & (F.col("need") != F.col("call_id")), "left").select(
             "call_id", F.when(met, F.col("_to")).otherwise(F.col("need")).alias("need"), F.least(F.col("w") + F.coalesce("_plus", F.lit(0)), F.lit(most)).alias("w")
         )
-        stepped = materialize(stepped.groupBy("call_id", "need").agg(F.max("w").alias("w")), "chat-needs")
+        stepped = materialize(stepped.groupBy("call_id", "need").agg(F.max("w").alias("w")), "chat-needs", instead=edges)
         state = stepped.groupBy("call_id").agg(F.count("need").alias("open"), F.max("w").alias("level"))
         new = materialize(state.where("open = 0").select("call_id", "level"), "chat-new")
         if new.isEmpty():
             break
-        done = materialize(done.union(new), "chat-levels")
+        done = materialize(done.union(new), "chat-levels", instead=done)
         edges = stepped.join(new, "call_id", "left_anti")
     return calls.select("call_id").join(done, "call_id", "left")
 

@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,21 +33,62 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where none is named and all run on one machine."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="wayfold-checkpoint-"))
         found = sc.getCheckpointDir()
     return found
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and lost executors cost no recomputation."""
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the driver ends."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_wayfold_corpus", None):
+        sc._wayfold_corpus = f"{shared_dir(spark)}/wayfold/corpus-{uuid.uuid4().hex}"
+        fs, p = _path(spark, sc._wayfold_corpus)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return sc._wayfold_corpus
+
+
+def materialize(df: DataFrame, tag: str, instead: DataFrame | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here, and lost executors cost no recomputation.
+
+    instead: the table of an earlier round that nothing needs any more; it is deleted.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wayfold/{tag}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._wayfold_path = path
+    if instead is not None and getattr(instead, "_wayfold_path", None):
+        fs, p = _path(spark, instead._wayfold_path)
+        fs.delete(p, True)
+    return out
+
+
+def with_running(df: DataFrame, order: list[Column], sums: dict[str, Column], tag: str) -> DataFrame:
+    """df with inclusive running sums over all rows in a total order, without a task that sees all rows.
+
+    Rows are dealt to ranges of the order and written; sums run within each range, after the totals of those before,
+    one row a range.
+    """
+    dealt = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), tag)
+    totals = dealt.groupBy("_range").agg(*(F.sum(x).alias(f"_{c}") for c, x in sums.items()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_range", *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.join(F.broadcast(totals), "_range")  # as many rows as the shuffle has partitions
+    return out.select(*df.columns, *((F.sum(x).over(inside) + F.col(f"_{c}")).alias(c) for c, x in sums.items()))
 
 
 def crc_remainder(doc_id: Column, n: int) -> Column:

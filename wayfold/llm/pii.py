@@ -167,7 +167,7 @@ def bootstrap(docs: DataFrame, marks: DataFrame, confidence: float = CONFIDENCE,
     often = _corpus_counts(docs, materialize(keyed.select("w").distinct(), "pii-wanted"))
     often = materialize(keyed.join(often, "w").select("pattern", "often"), "pii-often")
     edges = materialize(edges.join(often, "pattern"), "pii-graph")
-    known, had, sum_ = seeds, 0, 0.0
+    known, found, had, sum_ = seeds, None, 0, 0.0
     while True:
         support = edges.join(known, "hit").groupBy("pattern", "as_kind").agg(F.sum(F.col("n") * F.col("belief")).alias("mass"), F.countDistinct("hit").alias("support"), F.first("often").alias("often"))
         support = support.where(F.col("support") >= min_support)
@@ -175,7 +175,7 @@ def bootstrap(docs: DataFrame, marks: DataFrame, confidence: float = CONFIDENCE,
         open_ = edges.where("kind = 4").select("hit", "pattern").distinct()
         scored = open_.join(sure, "pattern").where(_shape(F.col("as_kind"), F.col("hit")))
         scored = scored.groupBy("hit", "as_kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("c"))))).alias("belief")).where(F.col("belief") >= accept)
-        found = materialize(scored, "pii-found")
+        found = materialize(scored, "pii-found", instead=found)
         n, total = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("belief"), F.lit(0.0))).first()
         if n == had and total - sum_ <= SETTLED:  # beliefs only rise from round to round, so their sum tells of any change
             break

@@ -193,15 +193,16 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each component, for every node that has an edge."""
     both = materialize(edges.union(edges.select("v", "u")), "cc-edges")
     labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("label")), "cc-labels")
+    total = lambda df: df.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+    before = total(labels)
     while True:
         l, m = labels.alias("l"), labels.alias("m")
         seen = both.join(l, F.col("v") == F.col("l.node")).select(F.col("u").alias("node"), "label")
         low = seen.union(labels).groupBy("node").agg(F.min("label").alias("low"))
         jumped = low.join(m, F.col("low") == F.col("m.node")).select(low["node"], F.least("low", "m.label").alias("label"))
-        new = materialize(jumped, "cc-labels")
-        before, after = (x.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0] for x in (labels, new))
-        labels = new
-        if before == after:
+        labels = materialize(jumped, "cc-labels", instead=labels)
+        before, after = total(labels), before
+        if before == after:  # labels only fall, so their sum tells of any change
             return labels
 
 
