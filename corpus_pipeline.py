@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm import linededup, mixing, packing, simhash, toxicity
-from wayfold.llm.common import DOCUMENT_COLUMNS, prepare, shared_dir, table
+from wayfold.llm.common import DOCUMENT_COLUMNS, prepare, run_dir, table
 
 #: SimHash, language modelling weights and best-fit packing have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
@@ -74,7 +74,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/wayfold/pipeline-{name}-{uuid.uuid4().hex}"
+        path = f"{run_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
