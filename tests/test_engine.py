@@ -57,7 +57,7 @@ def brute(times, walks, seeds, rounds, slack=60):
 
 def test_trip_prune_trio(spark):
     rows = sum((line(0, t, (0, 1, 2), x) for t, x in enumerate(((100, 180, 300), (200, 300, 500), (400, 510, 540)))), [])
-    got = search.reverse_search(spark.createDataFrame(rows, TIMES), spark.createDataFrame([(2, 0, 30), (2, 1, 30)], WALKS), spark.createDataFrame([(600, 2, 600)], "deadline_s long, stop_id long, v long"), rounds=2)
+    got = search.reverse_search(search.lanes(spark.createDataFrame(rows, TIMES)), spark.createDataFrame([(2, 0, 30), (2, 1, 30)], WALKS), spark.createDataFrame([(600, 2, 600)], "deadline_s long, stop_id long, v long"), rounds=2)
     assert {r.stop_id: r.v for r in got.collect()}[0] == 400
 
 
@@ -73,8 +73,10 @@ def test_search_equals_label_scanning(spark, seed):
     walks = [(a, b, rng.randrange(10, 200)) for a in range(12) for b in range(12) if a != b and rng.random() < 0.15]
     times, feet = spark.createDataFrame(rows, TIMES), spark.createDataFrame(walks, WALKS)
     start = [(d, s, d - 60) for d in (2000, 3500) for s in (0, 1)]
-    found, history = search.reverse_search(times, feet, spark.createDataFrame(start, "deadline_s long, stop_id long, v long"), rounds=3, traced=True)
+    found, history = search.traced_search(times, feet, spark.createDataFrame(start, "deadline_s long, stop_id long, v long"), rounds=3)
     labels = found.collect()
+    plain = search.reverse_search(search.lanes(times), feet, spark.createDataFrame(start, "deadline_s long, stop_id long, v long"), rounds=3)
+    assert {(r.deadline_s, r.stop_id, r.v, r.rides) for r in plain.collect()} == {(r.deadline_s, r.stop_id, r.v, r.rides) for r in labels}
     for d in (2000, 3500):
         assert {r.stop_id: r.v for r in labels if r.deadline_s == d} == brute(rows, walks, [(s, v) for x, s, v in start if x == d], 3)
     legs = {}

@@ -53,7 +53,7 @@ class Window:
 
 
 def profile(t: Timetable, to: Destination, window: Window, rounds: int = search.MAX_ROUNDS) -> DataFrame:
-    return search.monotone(search.reverse_search(t.stop_time, t.transfer, search.seed(to.egress, window.deadlines()), rounds=rounds))
+    return search.monotone(search.reverse_search(search.lanes(t.stop_time), t.transfer, search.seed(to.egress, window.deadlines()), rounds=rounds))
 
 
 def compute(t: Timetable, to: Destination, window: Window | None = None, rounds: int = search.MAX_ROUNDS) -> DataFrame:
@@ -63,24 +63,24 @@ def compute(t: Timetable, to: Destination, window: Window | None = None, rounds:
 
 
 def arrive_by(t: Timetable, to: Destination, deadline_s: int, rounds: int = search.MAX_ROUNDS) -> DataFrame:
-    labels = search.reverse_search(t.stop_time, t.transfer, search.seed(to.egress, [deadline_s]), rounds=rounds)
+    labels = search.reverse_search(search.lanes(t.stop_time), t.transfer, search.seed(to.egress, [deadline_s]), rounds=rounds)
     return assemble.arrive_by(t.cell, t.access, labels, to.purewalk, deadline_s)
 
 
 def itinerary(t: Timetable, to: Destination, deadline_s: int, rounds: int = search.MAX_ROUNDS) -> DataFrame:
-    labels, history = search.reverse_search(t.stop_time, t.transfer, search.seed(to.egress, [deadline_s]), rounds=rounds, traced=True)
+    labels, history = search.traced_search(t.stop_time, t.transfer, search.seed(to.egress, [deadline_s]), rounds=rounds)
     return search.trace(labels, history, rounds=rounds)
 
 
 def variance(t: Timetable, to: Destination, commits: DataFrame, draws: DataFrame, chains: DataFrame, deadlines: list[int], rounds: int = search.MAX_ROUNDS) -> DataFrame:
     times = reliability.delayed(t.stop_time, draws, chains)
-    start = search.seed(to.egress, deadlines).join(draws.select("draw_id").distinct().withColumn("_one", F.lit(1)), F.lit(1) == F.col("_one")).drop("_one")
-    late = search.monotone(search.reverse_search(times, t.transfer, start, ("draw_id", "deadline_s"), rounds, time_keys=("draw_id",)), ("draw_id",))
+    start = search.seed(to.egress, deadlines).join(F.broadcast(draws.select("draw_id").distinct()))  # a few dozen draws
+    late = search.monotone(search.reverse_search(search.lanes(times, chains, ("draw_id",)), t.transfer, start, ("draw_id", "deadline_s"), rounds, time_keys=("draw_id",)), ("draw_id",))
     return reliability.summary(reliability.scored(reliability.next_committed(commits, times), late), ["cell_id"])
 
 
 def batch(t: Timetable, egress: DataFrame, deadline_s: int, rounds: int = search.MAX_ROUNDS) -> DataFrame:
     """(dest_id, cell_id, minutes) for every destination of egress(dest_id, stop_id, walk_s), in one search."""
-    labels = search.reverse_search(t.stop_time, t.transfer, search.seed(egress, [deadline_s]), ("dest_id", "deadline_s"), rounds)
+    labels = search.reverse_search(search.lanes(t.stop_time), t.transfer, search.seed(egress, [deadline_s]), ("dest_id", "deadline_s"), rounds)
     home = t.access.join(labels, "stop_id").groupBy("dest_id", "cell_id").agg(F.max(F.col("v") - F.col("walk_s")).alias("home"))
     return home.select("dest_id", "cell_id", assemble.shown(F.ceil((F.lit(deadline_s) - F.col("home")) / 60)).cast("long").alias("minutes")).where("minutes is not null")

@@ -40,19 +40,54 @@ def arrive_by_profile(cells: DataFrame, access: DataFrame, profile: DataFrame, p
     return both.select("cell_id", minute.cast("long").alias("m")).groupBy("cell_id").agg(*(shown(percentile_lower("m", p), cap).alias(f"p{p}") for p in percentiles))
 
 
-def depart_after(cells: DataFrame, access: DataFrame, arrivals: DataFrame, purewalk: DataFrame, departures: list[int], beta: float = RELUCTANCE, eps: int = EPS_S, cap: int = CAP_MIN, percentiles=(5, 50)) -> DataFrame:
-    """Percentiles over departures from the cell; a stop's board minute is found by arithmetic on the uniform grid."""
+def _picks(cells: DataFrame, access: DataFrame, arrivals: DataFrame, purewalk: DataFrame, departures: list[int], beta: float, eps: int, cap: int) -> DataFrame:
+    """(cell_id, d, m, arr_w_s, stop_id, walked) for every cell and departure; a stop's board minute is found by arithmetic on the uniform grid."""
     lo, step = departures[0], departures[1] - departures[0]
     at = F.explode(F.array(*(F.lit(d).cast("long") for d in departures))).alias("d")
     asked = access.select("cell_id", "stop_id", "walk_s", at).withColumn("dep_s", (lo + F.ceil((F.col("d") + F.col("walk_s") - lo) / step) * step).cast("long"))
     rows = asked.join(arrivals, ["stop_id", "dep_s"])
     rows = rows.withColumn("first", F.min("arr_w_s").over(Window.partitionBy("cell_id", "d"))).where(F.col("arr_w_s") <= F.col("first") + eps)
     score = F.round(F.col("arr_w_s") - F.col("d") + (beta - 1) * F.col("walk_s"), 6)
-    pick = rows.groupBy("cell_id", "d").agg(F.min(F.struct(score.alias("score"), (F.col("arr_w_s") - F.col("d")).alias("tt"))).alias("x"))
+    pick = rows.groupBy("cell_id", "d").agg(F.min(F.struct(score.alias("score"), (F.col("arr_w_s") - F.col("d")).alias("tt"), "stop_id")).alias("x"))
     both = cells.select("cell_id").join(purewalk, "cell_id", "left").select("cell_id", "walk_only_s", at).join(pick, ["cell_id", "d"], "left")
     walk = F.col("walk_only_s").isNotNull() & (F.col("x.score").isNull() | (F.round(F.col("walk_only_s") * F.lit(beta), 6) < F.col("x.score")))
     minute = F.least(F.coalesce(minutes_up(F.when(walk, F.col("walk_only_s")).otherwise(F.col("x.tt"))), F.lit(cap)), F.lit(cap))
-    return both.select("cell_id", minute.cast("long").alias("m")).groupBy("cell_id").agg(*(shown(percentile_lower("m", p), cap).alias(f"p{p}") for p in percentiles))
+    ride = lambda c: F.when(~walk, c)
+    return both.select("cell_id", "d", minute.cast("long").alias("m"), ride(F.col("x.tt") + F.col("d")).alias("arr_w_s"), ride(F.col("x.stop_id")).alias("stop_id"), walk.alias("walked"))
+
+
+def depart_after(cells: DataFrame, access: DataFrame, arrivals: DataFrame, purewalk: DataFrame, departures: list[int], beta: float = RELUCTANCE, eps: int = EPS_S, cap: int = CAP_MIN, percentiles=(5, 50)) -> DataFrame:
+    """(cell_id, p5, p50): percentiles over departures from the cell."""
+    each = _picks(cells, access, arrivals, purewalk, departures, beta, eps, cap)
+    return each.groupBy("cell_id").agg(*(shown(percentile_lower("m", p), cap).alias(f"p{p}") for p in percentiles))
+
+
+def anchored(each: DataFrame, keys: list[str], percentile: int, cap: int = CAP_MIN) -> DataFrame:
+    """(keys, minutes, dep_s, ...): the lower percentile of m over departures d, and the latest departure that shows it.
+
+    each: keys, d, m (whole minutes, the cap where nothing arrives), and what else to keep of that departure.
+    """
+    v = each.groupBy(*keys).agg(percentile_lower("m", percentile).alias("v")).where(F.col("v") < cap)
+    rest = [c for c in each.columns if c not in (*keys, "m", "d")]
+    hit = each.join(v, keys).where("m = v").groupBy(*keys).agg(F.max(F.struct("d", "v", *rest)).alias("x"))
+    return hit.select(*keys, F.col("x.v").alias("minutes"), F.col("x.d").alias("dep_s"), *(f"x.{c}" for c in rest))
+
+
+def select_depart_after(cells: DataFrame, access: DataFrame, arrivals: DataFrame, purewalk: DataFrame, departures: list[int], percentile: int, beta: float = RELUCTANCE, eps: int = EPS_S, cap: int = CAP_MIN) -> DataFrame:
+    """(cell_id, minutes, dep_s, arr_w_s, stop_id, walked): depart_after's percentile with the departure, arrival and stop behind it."""
+    return anchored(_picks(cells, access, arrivals, purewalk, departures, beta, eps, cap), ["cell_id"], percentile, cap)
+
+
+def stop_percentile_anchor(pairs: DataFrame, arrivals: DataFrame, departures: list[int], percentile: int, step: int = 60, cap: int = CAP_MIN) -> DataFrame:
+    """(stop_id, shift, minutes, dep_s, arr_w_s): the percentile of riding from one stop only, `shift` grid steps of walk away.
+
+    pairs: stop_id, shift. Cells as far from a stop share its anchor, so this is done per stop and shift, not per cell.
+    """
+    at = F.explode(F.array(*(F.lit(d).cast("long") for d in departures))).alias("d")
+    asked = pairs.select("stop_id", "shift", at).withColumn("dep_s", F.col("d") + F.col("shift") * step)
+    each = asked.join(arrivals, ["stop_id", "dep_s"], "left")
+    minute = F.least(F.coalesce(minutes_up(F.col("arr_w_s") - F.col("d")), F.lit(cap)), F.lit(cap)).cast("long")
+    return anchored(each.select("stop_id", "shift", "d", minute.alias("m"), "arr_w_s"), ["stop_id", "shift"], percentile, cap)
 
 
 def stop_anchor(arrivals: DataFrame, departures: list[int]) -> DataFrame:

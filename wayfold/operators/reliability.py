@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.operators.search import first_at_or_after
+
 CAP_MIN = 75
 
 
@@ -25,19 +27,20 @@ def delayed(stop_time: DataFrame, draws: DataFrame, chains: DataFrame, drift: fl
 def next_committed(commits: DataFrame, times: DataFrame) -> DataFrame:
     """(draw_id, cell_id, home_s, stop_id, arr_s): the first trip of the committed pattern one can still board, as it arrives.
 
-    commits: cell_id, home_s, walk_s, pattern_id, bpos, apos. An as-of join, forward, per draw and cell.
+    commits: cell_id, home_s, walk_s, pattern_id, bpos, apos. An as-of join, forward, per draw.
     """
-    board = times.select("draw_id", "pattern_id", "trip_id", F.col("pos").alias("bpos"), F.col("dep_s"))
-    hit = commits.join(board, ["pattern_id", "bpos"]).where(F.col("dep_s") >= F.col("home_s") + F.col("walk_s"))
-    first = hit.groupBy("draw_id", "cell_id", "home_s", "pattern_id", "apos").agg(F.min(F.struct("dep_s", "trip_id")).alias("x")).select("*", F.col("x.trip_id").alias("trip_id"))
+    draws = times.select("draw_id").distinct()
+    ready = commits.join(F.broadcast(draws)).withColumn("ready_s", F.col("home_s") + F.col("walk_s"))  # a few dozen draws
+    board = times.select("draw_id", "pattern_id", F.col("pos").alias("bpos"), "dep_s", F.struct("dep_s", "trip_id").alias("next"))
+    first = first_at_or_after(ready, board, ["draw_id", "pattern_id", "bpos"], "ready_s", "dep_s", "next").where("next is not null").withColumn("trip_id", F.col("next.trip_id"))
     alight = times.select("draw_id", "pattern_id", "trip_id", F.col("pos").alias("apos"), "stop_id", "arr_s")
     return first.join(alight, ["draw_id", "pattern_id", "trip_id", "apos"]).select("draw_id", "cell_id", "home_s", "stop_id", "arr_s")
 
 
 def scored(arrived: DataFrame, profile: DataFrame, slack: int = 60, cap: int = CAP_MIN) -> DataFrame:
     """(draw_id, cell_id, minutes): the first deadline that the alighting still meets, as minutes from home; the cap if none."""
-    tail = profile.select("draw_id", "stop_id", "deadline_s", "latest_s")
-    hit = arrived.join(tail, ["draw_id", "stop_id"], "left").groupBy("draw_id", "cell_id", "home_s").agg(F.min(F.when(F.col("latest_s") >= F.col("arr_s") + slack, F.col("deadline_s"))).alias("t"))
+    asked = arrived.select("draw_id", "stop_id", "cell_id", "home_s", (F.col("arr_s") + slack).alias("ready_s"))
+    hit = first_at_or_after(asked, profile.select("draw_id", "stop_id", "latest_s", F.col("deadline_s").alias("t")), ["draw_id", "stop_id"], "ready_s", "latest_s", "t")
     minutes = F.least(F.greatest((F.col("t") - F.col("home_s")) / 60.0, F.lit(0.0)), F.lit(float(cap)))
     return hit.select("draw_id", "cell_id", F.coalesce(minutes, F.lit(float(cap))).alias("minutes"))
 

@@ -5,8 +5,11 @@ A round boards trips: a trip whose arrival at some later stop leaves the board s
 its earlier stops. Only strict improvements count; only stops improved by a ride relax footpaths, one hop, from the
 values of the same round. A label that a footpath gave never walks on. These rules are part of the semantics.
 
-One round joins the frontier with stop times on the stop, keeps the last alighting position of each trip and key, and
-joins the trip's earlier positions: both joins are equi-joins, and the rows between them are one per key and trip.
+Trips of a pattern that never overtake one another are a lane: one row per position, with the times of all its trips in
+order. The trips that can be caught from a position are the first k of the lane, and the k-th is the latest at every earlier
+position. So a round is an equi-join of the frontier with lanes on the stop, which finds k, and one on the lane,
+which reads the k-th departure: rows are lanes and positions, not trips. A round writes one table, the labels; those
+of the round are its frontier.
 """
 
 from __future__ import annotations
@@ -30,76 +33,125 @@ def seed(egress: DataFrame, deadlines: list[int]) -> DataFrame:
     return egress.withColumn("deadline_s", F.explode(F.array(*(F.lit(d).cast("long") for d in deadlines)))).withColumn("v", F.col("deadline_s") - F.col("walk_s"))
 
 
+def lanes(stop_time: DataFrame, chains: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, lane, pos, stop_id, arr array, dep array): rows of lanes, trips in order of their times.
+
+    chains: (pattern_id, trip_id, chain, rank), trips of a chain never overtaking one another. Without it, trips of a pattern with
+    equal running times are a lane: they differ by a shift, so none overtakes another.
+    """
+    if chains is None:
+        trip = [*keys, "pattern_id", "trip_id"]
+        whole = stop_time.groupBy(*trip).agg(F.sort_array(F.collect_list(F.struct("pos", "stop_id", "arr_s", "dep_s"))).alias("x"))
+        first = F.col("x")[0]["dep_s"]
+        shape = F.transform("x", lambda s: F.struct(s["pos"], (s["arr_s"] - first).alias("a"), (s["dep_s"] - first).alias("d")))
+        rows = whole.select(*keys, F.struct("pattern_id", shape.alias("shape")).alias("lane"), F.struct(first.alias("first"), "trip_id").alias("rank"), F.inline("x"))
+        rows = rows.withColumn("lane", F.xxhash64("lane").cast("string"))
+    else:
+        rows = stop_time.join(chains, ["pattern_id", "trip_id"])
+        rows = rows.withColumn("lane", F.concat_ws("-", "pattern_id", "chain"))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "arr_s", "dep_s"))).alias("x")
+    per = rows.groupBy(*keys, "lane", "pos", "stop_id").agg(ordered)
+    return per.select(*keys, "lane", "pos", "stop_id", F.col("x.arr_s").alias("arr"), F.col("x.dep_s").alias("dep"))
+
+
+def reverse_search(lane: DataFrame, transfer: DataFrame, start: DataFrame, keys: tuple[str, ...] = ("deadline_s",), rounds: int = MAX_ROUNDS, slack: int = SLACK_S, time_keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, stop_id, v, rides): the labels after at most `rounds` rides; rides is the round of the label.
+
+    lane: as lanes() gives it. start: keys, stop_id, v. time_keys: keys that lanes have too (a delay draw, say).
+    """
+    keys = tuple(keys)
+    one = [*keys, "stop_id"]
+    lane = settle(lane, "lanes")
+    alight = lane.select(*time_keys, "lane", F.col("pos").alias("apos"), "stop_id", "arr")
+    board = lane.select(*time_keys, "lane", F.col("pos").alias("bpos"), "stop_id", "dep")
+    walks = settle(transfer.select(F.col("to_id").alias("stop_id"), F.col("from_id"), F.col("walk_s").alias("hop_s")), "walks")
+
+    def hop(rows: DataFrame, k: int) -> DataFrame:
+        """Latest times at the stops from which a footpath reaches these."""
+        return rows.join(walks, "stop_id").select(*keys, F.col("from_id").alias("stop_id"), (F.col("v") - F.col("hop_s")).alias("v"), F.lit(k).alias("rides"))
+
+    def merged(*parts: DataFrame) -> DataFrame:
+        """The latest times; of equal ones the earlier round's."""
+        every = reduce(DataFrame.union, (p.select(*one, "v", "rides") for p in parts))
+        return every.groupBy(*one).agg(F.max(F.struct("v", (-F.col("rides")).alias("r"))).alias("x")).select(*one, "x.v", (-F.col("x.r")).alias("rides"))
+
+    first = start.groupBy(*one).agg(F.max("v").alias("v")).withColumn("rides", F.lit(0))
+    best = settle(merged(first, hop(first, 0)), "best")
+    for k in range(1, rounds + 1):
+        frontier = best.where(F.col("rides") == k - 1).select(*one, (F.col("v") - slack).alias("by"))
+        n = F.size(F.filter("arr", lambda t: t <= F.col("by")))
+        caught = frontier.join(alight, ["stop_id", *time_keys]).select(*keys, "lane", "apos", n.alias("k")).where("k > 0")
+        ride = caught.join(board, ["lane", *time_keys]).where("bpos < apos")
+        cand = ride.groupBy(*one).agg(F.max(F.element_at("dep", F.col("k"))).alias("v"))
+        old = best.select(*one, F.col("v").alias("had"))
+        newly = cand.join(old, one, "left").where("had is null or v > had").select(*one, "v", F.lit(k).alias("rides"))
+        best = settle(merged(best, newly, hop(newly, k)), "best", instead=best)
+        if best.where(F.col("rides") == k).isEmpty():
+            break
+    return best.select(*one, "v", "rides")
+
+
 VIA = ("kind", "to_stop", "to_round", "to_layer", "pattern_id", "trip_id", "bpos", "apos", "dep_s", "arr_s")
 
 
-def _via(traced: bool, **known):
-    """The back-pointer of a label, or nothing."""
-    if not traced:
-        return []
-    return [F.struct(*(known.get(c, F.lit(None)).cast("string" if c == "kind" else "long").alias(c) for c in VIA)).alias("via")]
+def _via(**known):
+    """The back-pointer of a label."""
+    return F.struct(*(known.get(c, F.lit(None)).cast("string" if c == "kind" else "long").alias(c) for c in VIA)).alias("via")
 
 
-def reverse_search(stop_time: DataFrame, transfer: DataFrame, start: DataFrame, keys: tuple[str, ...] = ("deadline_s",), rounds: int = MAX_ROUNDS, slack: int = SLACK_S, time_keys: tuple[str, ...] = (), traced: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
-    """(keys, stop_id, v, rides): the labels after at most `rounds` rides; rides is the round of the label.
+def traced_search(stop_time: DataFrame, transfer: DataFrame, start: DataFrame, keys: tuple[str, ...] = ("deadline_s",), rounds: int = MAX_ROUNDS, slack: int = SLACK_S) -> tuple[DataFrame, DataFrame]:
+    """The labels of reverse_search with `via`, what they come from, and the history: every improvement of every round.
 
-    start: keys, stop_id, v. time_keys: keys that stop_time has too (a delay draw, say). traced: labels carry `via`, and the
-    second frame returned is the history, (keys, stop_id, rides, layer, v, via): every improvement of every round, layer 1
-    being those by footpath. Ties among rides: lower pattern, later boarding, lower trip; among footpaths: lower stop.
+    History: (keys, stop_id, rides, layer, v, via), layer 1 being those by footpath. Ties among rides: lower pattern, later
+    boarding, lower trip; among footpaths: lower stop; a ride beats a footpath. Trips are told apart here, so it runs on stop times.
     """
-    keys, more = tuple(keys), ["via"] if traced else []
+    keys = tuple(keys)
     one = [*keys, "stop_id"]
-    row = [*one, "v", "rides", *more]
-    times = settle(stop_time.select(*time_keys, "pattern_id", "trip_id", "pos", "stop_id", "arr_s", "dep_s"), "times")
-    walks = transfer.select(F.col("to_id").alias("stop_id"), F.col("from_id"), F.col("walk_s").alias("hop_s"))
+    row = [*one, "v", "rides", "via"]
+    times = settle(stop_time.select("pattern_id", "trip_id", "pos", "stop_id", "arr_s", "dep_s"), "times")
+    walks = settle(transfer.select(F.col("to_id").alias("stop_id"), F.col("from_id"), F.col("walk_s").alias("hop_s")), "walks")
 
     def hop(rows: DataFrame, k: int) -> DataFrame:
-        """Latest times at the stops from which a footpath reaches these."""
         best = F.max(F.struct((F.col("v") - F.col("hop_s")).alias("v"), (-F.col("stop_id")).alias("to")))
         found = rows.join(walks, "stop_id").groupBy(*keys, F.col("from_id").alias("stop_id")).agg(best.alias("x"))
-        via = _via(traced, kind=F.lit("foot"), to_stop=-F.col("x.to"), to_round=F.lit(k), to_layer=F.lit(0))
-        return found.select(*one, "x.v", F.lit(k).alias("rides"), *via)
+        return found.select(*one, "x.v", F.lit(k).alias("rides"), _via(kind=F.lit("foot"), to_stop=-F.col("x.to"), to_round=F.lit(k), to_layer=F.lit(0)))
 
     def better(rows: DataFrame, than: DataFrame) -> DataFrame:
         old = than.select(*one, F.col("v").alias("had"))
         return rows.join(old, one, "left").where("had is null or v > had").drop("had")
 
-    def merged(a: DataFrame, b: DataFrame) -> DataFrame:
-        both = a.select(*row).unionByName(b.select(*row))
-        return both.groupBy(*one).agg(F.max(F.struct("v", (-F.col("rides")).alias("r"), *more)).alias("x")).select(*one, "x.v", (-F.col("x.r")).alias("rides"), *(f"x.{c}" for c in more))
+    def merged(*parts: DataFrame) -> DataFrame:
+        every = reduce(DataFrame.union, (p.select(*row) for p in parts))
+        return every.groupBy(*one).agg(F.max(F.struct("v", (-F.col("rides")).alias("r"), "via")).alias("x")).select(*one, "x.v", (-F.col("x.r")).alias("rides"), "x.via")
 
     first = start.groupBy(*one).agg(F.max("v").alias("v"))
-    keep = settle if traced else lambda df, _: df  # untraced, these are read once
-    first = keep(first.select(*one, "v", F.lit(0).alias("rides"), *_via(traced, kind=F.lit("egress"), dep_s=F.col("v"))), "seed")
-    foot = keep(better(hop(first, 0), first), "foot")
-    best = settle(merged(first, foot), "best")
-    frontier, history = best, [(first, 0), (foot, 1)]
+    first = settle(first.select(*one, "v", F.lit(0).alias("rides"), _via(kind=F.lit("egress"), dep_s=F.col("v"))), "seed")
+    foot = settle(better(hop(first, 0), first), "foot")
+    history, best = [(first, 0), (foot, 1)], merged(first, foot)  # labels are the last of all improvements, which are written
+    frontier = best
     for k in range(1, rounds + 1):
-        reach = frontier.select(*row).withColumnRenamed("v", "left_by").join(times, ["stop_id", *time_keys]).where(F.col("arr_s") <= F.col("left_by") - slack)
-        last = F.max("pos") if not traced else F.max(F.struct("pos", "arr_s", "stop_id", F.when(F.col("via.kind") == "foot", 1).otherwise(0).alias("layer")))
+        reach = frontier.select(*row).withColumnRenamed("v", "left_by").join(times, "stop_id").where(F.col("arr_s") <= F.col("left_by") - slack)
+        last = F.max(F.struct("pos", "arr_s", "stop_id", F.when(F.col("via.kind") == "foot", 1).otherwise(0).alias("layer"), "rides"))
         trips = reach.groupBy(*keys, "pattern_id", "trip_id").agg(last.alias("last"))
-        board = trips.join(times, ["pattern_id", "trip_id", *time_keys]).where(F.col("pos") < (F.col("last.pos") if traced else F.col("last")))
-        if traced:
-            top = F.max(F.struct("dep_s", (-F.col("pattern_id")).alias("p"), "pos", (-F.col("trip_id")).alias("t"), "last"))
-            via = _via(True, kind=F.lit("ride"), to_stop=F.col("x.last.stop_id"), to_round=F.lit(k - 1), to_layer=F.col("x.last.layer"), pattern_id=-F.col("x.p"), trip_id=-F.col("x.t"), bpos=F.col("x.pos"), apos=F.col("x.last.pos"), dep_s=F.col("x.dep_s"), arr_s=F.col("x.last.arr_s"))
-            cand = board.groupBy(*one).agg(top.alias("x")).select(*one, F.col("x.dep_s").alias("v"), F.lit(k).alias("rides"), *via)
-        else:
-            cand = board.groupBy(*one).agg(F.max("dep_s").alias("v")).withColumn("rides", F.lit(k))
+        board = trips.join(times, ["pattern_id", "trip_id"]).where(F.col("pos") < F.col("last.pos"))
+        top = F.max(F.struct("dep_s", (-F.col("pattern_id")).alias("p"), "pos", (-F.col("trip_id")).alias("t"), "last"))
+        via = _via(
+            kind=F.lit("ride"), to_stop=F.col("x.last.stop_id"), to_round=F.col("x.last.rides"), to_layer=F.col("x.last.layer"), pattern_id=-F.col("x.p"), trip_id=-F.col("x.t"),
+            bpos=F.col("x.pos"), apos=F.col("x.last.pos"), dep_s=F.col("x.dep_s"), arr_s=F.col("x.last.arr_s"),
+        )
+        cand = board.groupBy(*one).agg(top.alias("x")).select(*one, F.col("x.dep_s").alias("v"), F.lit(k).alias("rides"), via)
         newly = settle(better(cand, best), "newly")
-        foot = keep(better(hop(newly, k), merged(best, newly)), "foot")
-        frontier = settle(merged(newly, foot), "frontier")
-        if frontier.isEmpty():
+        if newly.isEmpty():
             break
+        foot = settle(better(hop(newly, k), merged(best, newly)), "foot")
         history += [(newly, 0), (foot, 1)]
-        best = settle(merged(best, frontier), "best")
-    if not traced:
-        return best.select(*row)
+        frontier, best = merged(newly, foot), merged(*(df for df, _ in history))
     every = reduce(DataFrame.union, (df.select(*one, "rides", F.lit(layer).alias("layer"), "v", "via") for df, layer in history))
     return best.select(*row), every
 
 
 def trace(labels: DataFrame, history: DataFrame, keys: tuple[str, ...] = ("deadline_s",), rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(keys, origin, leg, kind, from_stop, to_stop, dep_s, arr_s, pattern_id, trip_id): the legs behind every label."""
+    """(keys, origin, leg, from_stop, v, kind, to_stop, dep_s, arr_s, pattern_id, trip_id, bpos, apos): the legs behind every label."""
     ix = history.select(*keys, F.col("stop_id").alias("at"), F.col("rides").cast("long").alias("round"), F.col("layer").cast("long").alias("layer"), "v", "via")
     here = labels.select(*keys, F.col("stop_id").alias("origin"), F.col("stop_id").alias("at"), F.col("rides").cast("long").alias("round"), F.when(F.col("via.kind") == "foot", 1).otherwise(0).cast("long").alias("layer"))
     legs = []
@@ -107,7 +159,7 @@ def trace(labels: DataFrame, history: DataFrame, keys: tuple[str, ...] = ("deadl
         step = settle(here.join(ix, [*keys, "at", "round", "layer"]), "trace")
         if step.isEmpty():
             break
-        via = [F.col(f"via.{c}").alias(c) for c in ("kind", "to_stop", "dep_s", "arr_s", "pattern_id", "trip_id")]
+        via = [F.col(f"via.{c}").alias(c) for c in ("kind", "to_stop", "dep_s", "arr_s", "pattern_id", "trip_id", "bpos", "apos")]
         legs.append(step.select(*keys, "origin", F.lit(leg).cast("long").alias("leg"), F.col("at").alias("from_stop"), F.col("v"), *via))
         here = step.where("via.to_stop is not null").select(*keys, "origin", F.col("via.to_stop").alias("at"), F.col("via.to_round").alias("round"), F.col("via.to_layer").alias("layer"))
     return reduce(DataFrame.union, legs)
@@ -120,10 +172,15 @@ def monotone(profile: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def first_at_or_after(rows: DataFrame, steps: DataFrame, keys: list[str], key: str, step: str, out: str) -> DataFrame:
-    """As-of join, forward: the smallest `out` among steps of equal keys with steps[step] >= rows[key]; null if none."""
-    names = rows.columns
-    hit = rows.join(steps.select(*keys, F.col(step).alias("_step"), F.col(out).alias("_out")), keys, "left")
-    return hit.groupBy(*names).agg(F.min(F.when(F.col("_step") >= F.col(key), F.col("_out"))).alias(out))
+    """As-of join, forward: rows with the smallest `out` among steps of equal keys with steps[step] >= rows[key]; null if none.
+
+    Rows and steps are one sequence per key, read from the latest time back with a running minimum: each is seen once.
+    """
+    asked = rows.select(*keys, F.col(key).alias("_t"), F.lit(1).alias("_asked"), F.lit(None).cast(steps.schema[out].dataType).alias("_out"), F.struct(*rows.columns).alias("_row"))
+    given = steps.select(*keys, F.col(step).alias("_t"), F.lit(0).alias("_asked"), F.col(out).alias("_out"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"))
+    back = Window.partitionBy(*keys).orderBy(F.desc("_t"), "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    met = asked.union(given).withColumn("_out", F.min("_out").over(back)).where("_asked = 1")
+    return met.select("_row.*", F.col("_out").alias(out))
 
 
 def arrival_profile(profile: DataFrame, departures: list[int], keys: tuple[str, ...] = ()) -> DataFrame:

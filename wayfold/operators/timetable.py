@@ -24,7 +24,8 @@ def clean_times(stop_times: DataFrame) -> DataFrame:
     """Stop times with numbers, without the trips that lack both times anywhere."""
     a, d = feeds.patched(feeds.seconds(F.col("arrival_time")), feeds.seconds(F.col("departure_time")))
     rows = stop_times.select("route_id", "trip_id", F.col("stop_sequence").try_cast("long").alias("seq"), "stop_id", a.alias("arr_s"), d.alias("dep_s"))
-    return rows.join(rows.where("arr_s is null").select("trip_id").distinct(), "trip_id", "left_anti")
+    gap = F.bool_or(F.col("arr_s").isNull()).over(Window.partitionBy("trip_id"))  # one pass, dealt as later groups by trip need it
+    return rows.withColumn("gap", gap).where("not gap").drop("gap")
 
 
 def in_band(times: DataFrame, first: int, last: int, trip: list[str]) -> DataFrame:

@@ -34,20 +34,22 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w_s")
 
 
-def shortest(edges: DataFrame, roots: DataFrame, cap_s: int, max_rounds: int = 200) -> DataFrame:
-    """(root, node, sec): bounded shortest paths from every root at once, relaxing only from what improved last round."""
-    out = edges.select(F.col("src").alias("node"), F.col("dst"), "w_s")
-    best = settle(roots.groupBy("root", "node").agg(F.min("sec").cast("long").alias("sec")), "paths")
-    frontier = best
-    for _ in range(max_rounds):
-        step = frontier.join(out, "node").select("root", F.col("dst").alias("node"), (F.col("sec") + F.col("w_s")).alias("sec")).where(F.col("sec") <= cap_s)
-        step = step.groupBy("root", "node").agg(F.min("sec").alias("sec"))
-        had = best.withColumnRenamed("sec", "had")
-        frontier = settle(step.join(had, ["root", "node"], "left").where("had is null or sec < had").select("root", "node", "sec"), "paths-new")
-        if frontier.isEmpty():
-            break
-        best = settle(best.union(frontier).groupBy("root", "node").agg(F.min("sec").alias("sec")), "paths")
-    return best
+def shortest(edges: DataFrame, roots: DataFrame, cap_s: int) -> DataFrame:
+    """(root, node, sec): bounded shortest paths from every root at once, relaxing only from what improved last round.
+
+    Rounds end when nothing improves; as edges cost at least a second, that is after cap_s rounds at the latest.
+    """
+    out = settle(edges.select(F.col("src").alias("node"), F.col("dst"), "w_s"), "paths-edges")
+    best = settle(roots.groupBy("root", "node").agg(F.min("sec").cast("long").alias("sec"), F.lit(0).alias("round")), "paths")
+    k = 0
+    while True:
+        k += 1
+        step = best.where(F.col("round") == k - 1).join(out, "node").select("root", F.col("dst").alias("node"), (F.col("sec") + F.col("w_s")).alias("sec"), F.lit(k).alias("round"))
+        every = best.union(step.where(F.col("sec") <= cap_s).select(*best.columns))
+        least = F.min(F.struct("sec", "round")).alias("x")  # of equal ones the earlier, which has been relaxed
+        best = settle(every.groupBy("root", "node").agg(least).select("root", "node", "x.sec", "x.round"), "paths", instead=best)
+        if best.where(F.col("round") == k).isEmpty():
+            return best.drop("round")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -59,9 +61,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = seen.union(labels).groupBy("node").agg(F.min("component").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("component").alias("next"))
         new = settle(low.join(jump, "low").select("node", F.least("low", "next").alias("component")), "wcc")
-        if new.join(labels, ["node", "component"], "left_anti").isEmpty():
-            return new
-        labels = new
+        done, labels = new.join(labels, ["node", "component"], "left_anti").isEmpty(), new
+        if done:
+            return labels
 
 
 def predecessors(edges: DataFrame, paths: DataFrame) -> DataFrame:

@@ -242,10 +242,3 @@ def _(n):
 def _(n):
     near = spatial.nearest(n.cell, n.view("wg_node"), 4, 300, "cell_id", "node_id", ("cell_id", "node_id"))
     return near.select("cell_id", "node_id", F.col("rank").cast("long").alias("rank"), F.floor(F.sqrt("d2") * 0.75 + 0.5).cast("long").alias("connect_s"))
-
-
-@query("p06_supported_area", """SELECT c.cell_id, count(n.node_id)>0 AS supported FROM tn_cell c LEFT JOIN wg_node n ON n.node_id%3=0 AND (c.x_m-n.x_m)*(c.x_m-n.x_m)+(c.y_m-n.y_m)*(c.y_m-n.y_m)<=90000 GROUP BY c.cell_id""")
-def _(n):
-    some = n.view("wg_node").where("node_id%3=0")
-    near = spatial.euclid_join(n.cell, some, 300, "cell_id", "node_id", ("cell_id", "node_id")).select("cell_id").distinct().withColumn("hit", F.lit(True))
-    return n.cell.select("cell_id").join(near, "cell_id", "left").select("cell_id", F.coalesce("hit", F.lit(False)).alias("supported"))

@@ -17,9 +17,9 @@ def _(n):
     return n.access
 
 
-@query("j12_tail_readout", f"{ALL} SELECT a.trip_id, a.pattern_id, a.stop_id, CAST(min(CASE WHEN latest_s>=a.arr_s+60 THEN deadline_s END) AS BIGINT) AS deadline_s FROM (SELECT * FROM tn_stop_time WHERE pos=4) a LEFT JOIN pr ON pr.stop_id=a.stop_id GROUP BY a.trip_id, a.pattern_id, a.stop_id")
+@query("j12_tail_readout", f"{ALL} SELECT a.trip_id, a.pattern_id, a.stop_id, CAST(min(CASE WHEN latest_s>=a.arr_s+60 THEN deadline_s END) AS BIGINT) AS deadline_s FROM tn_stop_time a LEFT JOIN pr ON pr.stop_id=a.stop_id GROUP BY a.trip_id, a.pattern_id, a.stop_id, a.arr_s")
 def _(n):
-    at = n.stop_time.where("pos = 4").select("trip_id", "pattern_id", "stop_id", (F.col("arr_s") + 60).alias("ready_s"))
+    at = n.stop_time.select("trip_id", "pattern_id", "stop_id", (F.col("arr_s") + 60).alias("ready_s"))
     return search.first_at_or_after(at, profile(n), ["stop_id"], "ready_s", "latest_s", "deadline_s").drop("ready_s")
 
 
@@ -61,11 +61,11 @@ def _(n):
     return best.join(own, "cell_id").where("line_id <> p.line_id and minutes <= p.minutes + 10 and minutes < 75").select("cell_id", "line_id", "minutes")
 
 
-@query("g03_predecessors", f"""WITH RECURSIVE e AS MATERIALIZED ({EDGES}), q(root, node, sec) AS (SELECT node_id, node_id, CAST(0 AS BIGINT) FROM wg_node WHERE node_id%50=0 UNION SELECT q.root, e.dst, q.sec+e.w_s FROM q JOIN e ON e.src=q.node WHERE q.sec+e.w_s<=3600),
+@query("g03_predecessors", f"""WITH RECURSIVE e AS MATERIALIZED ({EDGES}), q(root, node, sec) AS (SELECT node_id, node_id, CAST(0 AS BIGINT) FROM wg_node UNION SELECT q.root, e.dst, q.sec+e.w_s FROM q JOIN e ON e.src=q.node WHERE q.sec+e.w_s<=3600),
     d AS (SELECT root, node, min(sec) AS sec FROM q GROUP BY root, node) SELECT b.root, b.node, b.sec, min(a.node) AS pred FROM d b JOIN e ON e.dst=b.node JOIN d a ON a.root=b.root AND a.node=e.src AND a.sec+e.w_s=b.sec GROUP BY b.root, b.node, b.sec""")
 def _(n):
     own = edges(n)
-    roots = n.view("wg_node").where("node_id % 50 = 0").select(F.col("node_id").alias("root"), F.col("node_id").alias("node"), F.lit(0).cast("long").alias("sec"))
+    roots = n.view("wg_node").select(F.col("node_id").alias("root"), F.col("node_id").alias("node"), F.lit(0).cast("long").alias("sec"))
     found = walkgraph.shortest(own, roots, 3600)
     return walkgraph.predecessors(own, found)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wayfold.operators import assemble, choice, journeys, reliability, search, walkgraph
+from wayfold.operators import assemble, choice, journeys, reliability, search, spatial, walkgraph
 from wayfold.plans.base import query
 from wayfold.plans.search import search_sql
 
@@ -19,7 +19,8 @@ def _(n):
     return journeys.clocked(n.view("ch_leg"))
 
 
-@query("p09_boardable")
+@query("p09_boardable", """WITH c AS (SELECT *, coalesce(sum(CASE WHEN kind='walk' THEN dur_s END) OVER (PARTITION BY journey ORDER BY leg),0) AS wc, first_value(dep_s) OVER (PARTITION BY journey ORDER BY leg) AS d0 FROM ch_leg),
+    p AS (SELECT *, coalesce(last_value(CASE WHEN kind='ride' THEN dep_s+dur_s-wc END IGNORE NULLS) OVER (PARTITION BY journey ORDER BY leg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), d0)+wc AS clock FROM c) SELECT journey, bool_and(kind='walk' OR dep_s>=clock) AS ok FROM p GROUP BY journey""")
 def _(n):
     return journeys.boardable(n.view("ch_leg"))
 
@@ -168,25 +169,35 @@ def _(n):
     return walkgraph.reverse(edges(n))
 
 
-@query("g01_bounded_paths", f"""WITH RECURSIVE e AS MATERIALIZED ({EDGES}), p(root, node, sec) AS (SELECT node_id, node_id, CAST(0 AS BIGINT) FROM wg_node WHERE node_id%50=0 UNION SELECT p.root, e.dst, p.sec+e.w_s FROM p JOIN e ON e.src=p.node WHERE p.sec+e.w_s<=3600)
+@query("g01_bounded_paths", f"""WITH RECURSIVE e AS MATERIALIZED ({EDGES}), p(root, node, sec) AS (SELECT node_id, node_id, CAST(0 AS BIGINT) FROM wg_node UNION SELECT p.root, e.dst, p.sec+e.w_s FROM p JOIN e ON e.src=p.node WHERE p.sec+e.w_s<=3600)
     SELECT root, node, min(sec) AS sec FROM p GROUP BY root, node""")
 def _(n):
-    roots = n.view("wg_node").where("node_id % 50 = 0").select(F.col("node_id").alias("root"), F.col("node_id").alias("node"), F.lit(0).cast("long").alias("sec"))
+    roots = n.view("wg_node").select(F.col("node_id").alias("root"), F.col("node_id").alias("node"), F.lit(0).cast("long").alias("sec"))
     return walkgraph.shortest(edges(n), roots, 3600)
 
 
-@query("a06_components")
+REACH = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM ({EDGES}) x UNION SELECT dst, src FROM ({EDGES}) y), r(node, seen) AS (SELECT DISTINCT src, src FROM e UNION SELECT e.dst, r.seen FROM r JOIN e ON e.src=r.node), c AS (SELECT node, min(seen) AS component FROM r GROUP BY node)"""
+
+
+@query("a06_components", f"{REACH} SELECT node, component FROM c")
 def _(n):
     return walkgraph.components(edges(n))
 
 
-@query("g05_giant_component")
+@query("g05_giant_component", f"{REACH} SELECT node FROM c WHERE component=(SELECT component FROM c GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)")
 def _(n):
     every = walkgraph.components(edges(n))
     best = every.groupBy("component").agg(F.count(F.lit(1)).alias("nodes")).orderBy(F.desc("nodes"), "component").limit(1)
     return every.join(best, "component", "left_semi").select("node")
 
 
+@query("p06_supported_area", f"""WITH w AS MATERIALIZED (SELECT * FROM wg_node WHERE node_id IN (SELECT src FROM ({EDGES}) e)) SELECT s.stop_id, count(n.node_id)>0 AS supported FROM tn_stop s LEFT JOIN w n ON (s.x_m-n.x_m)*(s.x_m-n.x_m)+(s.y_m-n.y_m)*(s.y_m-n.y_m)<=90000 GROUP BY s.stop_id""")
+def _(n):
+    walked = n.view("wg_node").join(edges(n).select(F.col("src").alias("node_id")), "node_id", "left_semi")
+    near = spatial.euclid_join(n.stop, walked, 300, "stop_id", "node_id", ("stop_id", "node_id")).select("stop_id").distinct().withColumn("hit", F.lit(True))
+    return n.stop.select("stop_id").join(near, "stop_id", "left").select("stop_id", F.coalesce("hit", F.lit(False)).alias("supported"))
+
+
 # reliability
 
 CHAINS = "SELECT pattern_id, trip_id, run_s AS chain, row_number() OVER (PARTITION BY pattern_id, run_s ORDER BY start_s, trip_id) AS rank FROM tn_trip"
@@ -214,7 +225,7 @@ def late_times(n):
 
 def late_profile(n, times):
     start = search.seed(n.egress, LATE).withColumn("draw_id", F.explode(F.array(*(F.lit(d).cast("long") for d in range(3)))))
-    found = search.reverse_search(times, n.transfer, start, ("draw_id", "deadline_s"), 2, time_keys=("draw_id",))
+    found = search.reverse_search(search.lanes(times, chains(n), ("draw_id",)), n.transfer, start, ("draw_id", "deadline_s"), 2, time_keys=("draw_id",))
     return search.monotone(found, ("draw_id",))
 
 

@@ -10,17 +10,19 @@ from wayfold.operators import assemble, search, spatial, validate
 from wayfold.plans.base import query
 from wayfold.plans.search import BY, PURE, search_sql
 
-DESTS = 3
-MANY = f"SELECT d.dest_id, {BY} AS deadline_s, s.stop_id, {BY}-CAST(floor((abs(d.x_m-s.x_m)+abs(d.y_m-s.y_m))*0.75+0.5) AS BIGINT) AS v FROM (SELECT cell_id AS dest_id, x_m, y_m FROM tn_cell WHERE cell_id<{DESTS}) d JOIN tn_stop s ON abs(d.x_m-s.x_m)+abs(d.y_m-s.y_m)<=1200"
+DEST = "(SELECT hood AS dest_id, CAST(floor(sum(x_m)/count(*)) AS BIGINT) AS x_m, CAST(floor(sum(y_m)/count(*)) AS BIGINT) AS y_m FROM tn_cell GROUP BY hood)"
+MANY = f"SELECT d.dest_id, {BY} AS deadline_s, s.stop_id, {BY}-CAST(floor((abs(d.x_m-s.x_m)+abs(d.y_m-s.y_m))*0.75+0.5) AS BIGINT) AS v FROM {DEST} d JOIN tn_stop s ON abs(d.x_m-s.x_m)+abs(d.y_m-s.y_m)<=1200"
 
 
-@query("n13_many_destinations", f"""WITH {search_sql(MANY, 'dest_id, deadline_s', 2)}, h AS (SELECT dest_id, cell_id, max(v-walk_s) AS home FROM tn_access a JOIN b2 b ON b.stop_id=a.stop_id GROUP BY ALL)
+@query("n13_many_destinations", f"""WITH {search_sql(MANY, 'dest_id, deadline_s', 4)}, h AS (SELECT dest_id, cell_id, max(v-walk_s) AS home FROM tn_access a JOIN b4 b ON b.stop_id=a.stop_id GROUP BY ALL)
     SELECT dest_id, cell_id, CAST(ceil(({BY}-home)/60.0) AS BIGINT) AS minutes FROM h WHERE ceil(({BY}-home)/60.0)<75""")
 def _(n):
-    dests = n.cell.where(F.col("cell_id") < DESTS)
-    near = spatial.manhattan_join(dests, n.stop, 1200, "cell_id", "stop_id", ("dest_id", "stop_id"))
+    """From every cell to the middle of every neighbourhood, in one search."""
+    middle = lambda c: F.floor(F.sum(c) / F.count(F.lit(1))).cast("long").alias(c)
+    dests = n.cell.groupBy(F.col("hood").alias("dest_id")).agg(middle("x_m"), middle("y_m"))
+    near = spatial.manhattan_join(dests, n.stop, 1200, "dest_id", "stop_id", ("dest_id", "stop_id"))
     egress = near.select("dest_id", "stop_id", spatial.walk_seconds("dist_m", 0.75).alias("walk_s"))
-    return api.batch(api.Timetable(n.stop_time, n.transfer, n.cell, n.access), egress, BY, rounds=2)
+    return api.batch(api.Timetable(n.stop_time, n.transfer, n.cell, n.access), egress, BY, rounds=4)
 
 
 @query("j07_latest_trip", "SELECT pattern_id, pos, max(dep_s) AS dep_s, CAST(arg_max(trip_id, dep_s*1000000+trip_id) AS BIGINT) AS trip_id FROM tn_stop_time WHERE arr_s<=30000 GROUP BY pattern_id, pos")
@@ -29,10 +31,10 @@ def _(n):
     return n.stop_time.where("arr_s <= 30000").groupBy("pattern_id", "pos").agg(last).select("pattern_id", "pos", "x.dep_s", "x.trip_id")
 
 
-@query("j08_profile_inversion", """SELECT s.stop_id, t.at, min(CASE WHEN s.dep_s>=t.at THEN s.arr_s END) AS first_arr FROM (SELECT stop_id, dep_s, arr_s FROM tn_stop_time WHERE pattern_id<5) s
+@query("j08_profile_inversion", """SELECT s.stop_id, t.at, min(CASE WHEN s.dep_s>=t.at THEN s.arr_s END) AS first_arr FROM (SELECT stop_id, dep_s, arr_s FROM tn_stop_time) s
     JOIN (SELECT stop_id, unnest([28800,30000]) AS at FROM tn_stop) t ON t.stop_id=s.stop_id GROUP BY s.stop_id, t.at""".replace("SELECT s.stop_id, t.at,", "SELECT s.stop_id, CAST(t.at AS BIGINT) AS at,"))
 def _(n):
-    steps = n.stop_time.where("pattern_id < 5").select("stop_id", "dep_s", F.col("arr_s").alias("first_arr"))
+    steps = n.stop_time.select("stop_id", "dep_s", F.col("arr_s").alias("first_arr"))
     asked = steps.select("stop_id").distinct().select("stop_id", F.explode(F.array(F.lit(28800).cast("long"), F.lit(30000).cast("long"))).alias("at"))
     return search.first_at_or_after(asked, steps, ["stop_id"], "at", "dep_s", "first_arr")
 
@@ -125,12 +127,6 @@ def _(n):
     return n.view("ch_option").groupBy("cell_id").agg(best).select("cell_id", "x.minutes", "x.line_id")
 
 
-@query("k15_probe_collapse", "SELECT o.cell_id, o.option_id, p.probes FROM ch_option o JOIN (SELECT line_id, minutes, count(*) AS probes FROM ch_option GROUP BY ALL) p ON p.line_id=o.line_id AND p.minutes=o.minutes")
-def _(n):
-    o = n.view("ch_option")
-    return o.join(o.groupBy("line_id", "minutes").agg(F.count(F.lit(1)).alias("probes")), ["line_id", "minutes"]).select("cell_id", "option_id", "probes")
-
-
 @query("g04_snap_argmin", f"WITH {PURE} SELECT cell_id, walk_only_s FROM pw QUALIFY row_number() OVER (PARTITION BY cell_id%100 ORDER BY walk_only_s, cell_id)=1")
 def _(n):
     from wayfold.plans.search import purewalk

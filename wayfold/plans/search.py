@@ -54,11 +54,11 @@ def purewalk(n):
 
 
 def labels(n):
-    return search.reverse_search(n.stop_time, n.transfer, search.seed(n.egress, [BY]), rounds=ROUNDS)
+    return search.reverse_search(search.lanes(n.stop_time), n.transfer, search.seed(n.egress, [BY]), rounds=ROUNDS)
 
 
 def profile(n):
-    found = search.reverse_search(n.stop_time, n.transfer, search.seed(n.egress, DEADLINES), rounds=ROUNDS)
+    found = search.reverse_search(search.lanes(n.stop_time), n.transfer, search.seed(n.egress, DEADLINES), rounds=ROUNDS)
     return search.monotone(found)
 
 
@@ -76,18 +76,6 @@ def _(n):
     return profile(n).select("deadline_s", "stop_id", "v", "latest_s")
 
 
-@query("r03_traced_search")
-def _(n):
-    found, history = search.reverse_search(n.stop_time, n.transfer, search.seed(n.egress, [BY]), rounds=ROUNDS, traced=True)
-    return found.select("deadline_s", "stop_id", "v", F.col("rides").cast("long").alias("rides"), F.col("via.kind").alias("kind"), F.col("via.to_stop").alias("to_stop"))
-
-
-@query("k02_trace_legs")
-def _(n):
-    found, history = search.reverse_search(n.stop_time, n.transfer, search.seed(n.egress, [BY]), rounds=ROUNDS, traced=True)
-    return search.trace(found, history, rounds=ROUNDS)
-
-
 @query("r04_arrival_profile", f"{ALL}, {ARRIVAL} SELECT stop_id, CAST(dep_s AS BIGINT) AS dep_s, CAST(arr_w_s AS BIGINT) AS arr_w_s FROM ar")
 def _(n):
     return arrivals(n)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.operators import choice
 from wayfold.plans.base import query
-from wayfold.plans.search import BY, ONE, PURE, ROUNDS, labels, purewalk
+from wayfold.plans.search import BY
 
 
 @query("f29_deep_link", "SELECT cell_id, concat('/itinerary?id=',CAST(cell_id AS VARCHAR),'&x=',CAST(x_m AS VARCHAR),'&y=',CAST(y_m AS VARCHAR)) AS url FROM tn_cell")
@@ -22,15 +22,6 @@ def _(n):
     return last.join(n.stop_time, ["pattern_id", "trip_id"]).where("pos < last").groupBy("stop_id").agg(F.max("dep_s").alias("v"))
 
 
-@query("r12_primary_selection", f"""{ONE}, {PURE}, o AS (SELECT a.cell_id, {BY}-v+a.walk_s AS raw_s, a.walk_s, a.stop_id FROM tn_access a JOIN b{ROUNDS} b ON b.stop_id=a.stop_id UNION ALL SELECT cell_id, walk_only_s, -1, -1 FROM pw)
-    SELECT cell_id, CAST(raw_s AS BIGINT) AS raw_s, CASE WHEN stop_id>=0 THEN stop_id END AS stop_id FROM o QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY raw_s, walk_s, stop_id)=1""")
-def _(n):
-    ride = n.access.join(labels(n), "stop_id").select("cell_id", (BY - F.col("v") + F.col("walk_s")).alias("raw_s"), "walk_s", "stop_id")
-    walk = purewalk(n).select("cell_id", F.col("walk_only_s").alias("raw_s"), F.lit(-1).cast("long").alias("walk_s"), F.lit(-1).cast("long").alias("stop_id"))  # walking wins ties
-    best = ride.union(walk).groupBy("cell_id").agg(F.min(F.struct("raw_s", "walk_s", "stop_id")).alias("x"))
-    return best.select("cell_id", "x.raw_s", F.when(F.col("x.stop_id") >= 0, F.col("x.stop_id")).alias("stop_id"))
-
-
 @query("m09_route_typicals", "SELECT line_id, CAST(round(greatest(quantile_cont(minutes,0.5), min(walk_min)+5),4) AS DOUBLE) AS typical FROM ch_option GROUP BY line_id")
 def _(n):
     return n.view("ch_option").groupBy("line_id").agg(F.round(F.greatest(F.percentile("minutes", 0.5), (F.min("walk_min") + 5).cast("double")), 4).alias("typical"))

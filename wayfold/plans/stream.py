@@ -30,7 +30,12 @@ def _(n):
     return _shown(delays.run_available(delays.sliding(stream), n.spark))
 
 
-@query("x03_stream_sessions")
+SESSIONS = """WITH m AS (SELECT max(epoch_us(ts))-3600000000 AS mark FROM events), e AS (SELECT user_id%20 AS pattern_id, epoch_us(ts) AS t, value FROM events),
+    g AS (SELECT *, CASE WHEN t-lag(t) OVER (PARTITION BY pattern_id ORDER BY t)<=21600000000 THEN 0 ELSE 1 END AS new FROM e), s AS (SELECT *, sum(new) OVER (PARTITION BY pattern_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT CAST(min(t)//1000000 AS BIGINT) AS start_s, pattern_id, count(*) AS n, CAST(round(sum(value),2) AS DOUBLE) AS delay FROM s, m GROUP BY pattern_id, k, mark HAVING max(t)+21600000000<=mark"""
+
+
+@query("x03_stream_sessions", SESSIONS)
 def _(n):
     stream = delays.reports(n.spark, f"{n.sf_dir}/events.parquet")
     return _shown(delays.run_available(delays.sessions(stream), n.spark))

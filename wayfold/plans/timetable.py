@@ -15,7 +15,7 @@ ACTIVE = f"""SELECT DISTINCT service_id FROM (SELECT service_id FROM gt_calendar
     UNION SELECT service_id FROM gt_calendar_dates WHERE date='{DAY}' AND exception_type='1') b
     WHERE service_id NOT IN (SELECT service_id FROM gt_calendar_dates WHERE date='{DAY}' AND exception_type='2')"""
 CLEAN = f"""SELECT route_id, trip_id, try_cast(stop_sequence AS BIGINT) AS seq, stop_id, coalesce({SEC.format('arrival_time')},{SEC.format('departure_time')}) AS arr_s, coalesce({SEC.format('departure_time')},{SEC.format('arrival_time')}) AS dep_s FROM gt_stop_times"""
-CLEAN = f"SELECT * FROM ({CLEAN}) c WHERE trip_id NOT IN (SELECT trip_id FROM ({CLEAN}) c2 WHERE arr_s IS NULL)"
+CLEAN = f"SELECT * FROM ({CLEAN}) c QUALIFY NOT bool_or(arr_s IS NULL) OVER (PARTITION BY trip_id)"
 
 
 def active(n):
@@ -144,7 +144,7 @@ def _(n):
 
 
 @query("a13_delay_summary", """SELECT pattern_id, CAST(round(quantile_cont(x,0.5),4) AS DOUBLE) AS p50, CAST(round(greatest(quantile_cont(x,0.5),30.0),4) AS DOUBLE) AS p50_floored, CAST(round(greatest(quantile_cont(x,0.9)-quantile_cont(x,0.5),0),4) AS DOUBLE) AS frag,
-    CAST(round(stddev_pop(x),4) AS DOUBLE) AS spread, CAST(round(avg(CASE WHEN x>=75 THEN 1.0 ELSE 0.0 END),6) AS DOUBLE) AS stuck FROM (SELECT pattern_id, (dep_s%97)*1.0 AS x FROM tn_stop_time) t GROUP BY pattern_id""")
+    CAST(round(stddev_pop(x),4) AS DOUBLE) AS spread, CAST(round(avg(CASE WHEN x>=75 THEN 1.0 ELSE 0.0 END),6) AS DOUBLE) AS stuck FROM (SELECT pattern_id, CAST(dep_s%97 AS DOUBLE) AS x FROM tn_stop_time) t GROUP BY pattern_id""")
 def _(n):
     x = (F.col("dep_s") % 97).cast("double")
     p50, p90 = F.percentile(x, 0.5), F.percentile(x, 0.9)
