@@ -293,6 +293,13 @@ def test_line_dedup_equals_brute_force(spark):
     assert linededup.dedup_lines(frame.limit(0)).count() == 0
 
 
+def test_line_dedup_odd_rows(odd, none):
+    rows = linededup.dedup_lines(odd, host="source").collect()
+    assert len(rows) == len(ODD) and {(r.doc_id, r.text) for r in rows if r.source != "s1"} == {(r[0], r[1]) for r in ODD if r[3] != "s1"}
+    assert [r.text for r in rows if r.doc_id in (1, 2)] == [""] * 3  # three of s1's four pages are that line alone
+    assert linededup.dedup_lines(none, host="source", site_rules=linededup.SOURCE_RULES).count() == 0
+
+
 def test_lines_of_a_large_source(spark):
     passage, copied = " ".join(f"planted{k}" for k in range(60)), "copied one\ncopied two"
     docs = []
@@ -763,6 +770,14 @@ def test_top_k_equals_brute_force(spark, settings):
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
+def test_top_k_odd_rows(spark):
+    """Nulls in any column, repeated rows and ties, a very long vector, clashing names."""
+    rows = [(0, [1.0, 2.0], 1), (0, [1.0, 2.0], 1), (None, [1.0, 2.0], 2), (1, None, None), (2, [1.0, None], 3), (3, [1.0, 2.0], None), (4, [0.5] * 20000, 1), (100, [0.25] * 20000, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("rank", F.lit("x")).withColumn("query_id", F.lit("y"))
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(frame).collect()}
+    assert got == {(0, 1): (3, 5 * 2**20), (100, 1): (4, 20000 * 512 * 256)}
+
+
 def test_top_k_of_large_components(spark):
     rng = np.random.default_rng(4)
     size = 10.0 ** rng.choice([-3, 0, 3, 4, 6, 9, 15, 30, 200, 307], (300, 1))

@@ -87,6 +87,13 @@ SELECT conv_id, CAST(turn AS INTEGER) AS turn, role, CASE WHEN ref IS NOT NULL T
     ELSE concat('{{"content":', CAST(to_json(text) AS VARCHAR), CASE WHEN role IS NOT NULL THEN concat(',"role":', CAST(to_json(role) AS VARCHAR)) ELSE '' END,
       CASE WHEN ref IS NOT NULL THEN concat(',"tool_call_id":"call_', CAST(ref AS VARCHAR), '"') ELSE '' END, CASE WHEN turn IS NOT NULL THEN concat(',"turn":', CAST(turn AS VARCHAR)) ELSE '' END, '}}') END AS json
 FROM j
+""",
+    "op10_top_k": f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({topk.SCALE}*CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding)>0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0),
+q AS (SELECT vec_id, min(v) AS v FROM v WHERE vec_id%{topk.EVERY}=0 GROUP BY vec_id)
+SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY CAST(list_dot_product(q.v, c.v) AS BIGINT) DESC, c.vec_id) AS INTEGER) AS rank, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+FROM q JOIN v c ON c.vec_id<>q.vec_id AND len(c.v)=len(q.v) QUALIFY rank<={topk.K}
 """,
     "op4_line_dedup": r"""
 WITH p AS (
