@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.functions import feeds, walking
-from wayfold.operators import choice, journeys, reliability, search, spatial, timetable, transfers, validate, walkgraph
+from wayfold.operators import choice, corridors, journeys, planned, reliability, search, spatial, timetable, transfers, validate, walkgraph
 from wayfold.sources import gtfs, publish
 
 TIMES = "pattern_id long, trip_id long, pos long, stop_id long, arr_s long, dep_s long"
@@ -153,9 +153,9 @@ def test_fifo_chains_never_overtake(spark):
 def test_no_delay_changes_nothing(spark):
     rows = sum((line(1, t, (0, 1, 2), (100 * t, 100 * t + 30, 100 * t + 60)) for t in range(4)), [])
     times = spark.createDataFrame(rows, TIMES)
-    draws = spark.createDataFrame([(1, t, 0, 0) for t in range(4)], "pattern_id long, trip_id long, draw_id long, delta_s long")
+    draws = spark.createDataFrame([(1, t, 0, 0.0, 0.0) for t in range(4)], "pattern_id long, trip_id long, draw_id long, delta0 double, slope double")
     chains = spark.createDataFrame([(1, t, 0, t) for t in range(4)], "pattern_id long, trip_id long, chain long, rank long")
-    got = reliability.delayed(times, draws, chains, drift=0.0).select("pattern_id", "trip_id", "pos", "stop_id", "arr_s", "dep_s")
+    got = reliability.delayed(times, draws, chains).select("pattern_id", "trip_id", "pos", "stop_id", "arr_s", "dep_s")
     assert got.exceptAll(times).isEmpty() and got.count() == len(rows)
 
 
@@ -195,7 +195,7 @@ OPTION = "cell_id long, option_id long, minutes long, walk_min long, transfers l
 
 def test_diversity_and_dominance(spark):
     rows = [(1, 1, 10, 5, 0, 1, 0, 0, 1, 1), (1, 2, 11, 5, 0, 1, 0, 0, 2, 1), (1, 3, 12, 2, 1, 1, 0, 1, 3, 1), (1, 4, 20, 9, 2, 2, 1, 0, 4, 2), (1, 5, 30, 1, 0, 0, 2, 0, 5, 0), (1, 6, 11, 5, 0, 1, 0, 0, 6, 1)]
-    df = spark.createDataFrame(rows, OPTION)
+    df = spark.createDataFrame(rows, OPTION).selectExpr("*", "minutes * 60 AS exact_s", "0L AS access_walk", "0L AS anchor_neg", "0 AS token_ride")
     assert {r.option_id for r in choice.pareto(df).collect()} == {1, 3, 4, 5}
     assert [r.option_id for r in choice.diverse(df).orderBy("slot").collect()] == [1, 4, 5, 3]
     clusters = {r.option_id: r.cluster for r in choice.families(df).collect()}
@@ -242,3 +242,53 @@ def test_publish_and_rebuild(spark, tmp_path):
     with pytest.raises(ValueError):
         publish.publish(spark.range(3), path, lambda df: df.count() == 4)
     assert spark.read.parquet(path).count() == 5
+
+
+def test_first_wins_depends_on_what_was_kept(spark):
+    rows = [(1, 1, "a", "p", "One"), (1, 2, "a", "q", "Two"), (1, 3, "b", "q", "Three"), (1, 4, None, "r", " three, "), (1, 5, None, "s", "Four"), (2, 1, "a", "p", "One")]
+    df = spark.createDataFrame(rows, "g long, k long, id string, place string, label string")
+    # hit 2 falls to hit 1's id, so its place is free for hit 3
+    assert sorted((r.g, r.k) for r in corridors.first_wins(df, "g", "k").collect()) == [(1, 1), (1, 3), (1, 5), (2, 1)]
+
+
+def test_points_in_polygons(spark):
+    rng = random.Random(5)
+    points = [(k, rng.randrange(0, 400), rng.randrange(0, 400)) for k in range(300)]
+    rings = {1: [(50.5, 50.5), (250.5, 80.5), (200.5, 300.5), (120.5, 150.5)], 2: [(10.5, 10.5), (390.5, 10.5), (200.5, 30.5)]}
+
+    def inside(x, y, ring):
+        hits = 0
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+            hits += (y < ay) != (y < by) and x < ax + (y - ay) * (bx - ax) / (by - ay)
+        return hits % 2
+
+    df = spark.createDataFrame(points, "p long, x_m long, y_m long")
+    polygons = spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in r]) for k, r in rings.items()], "h long, ring array<struct<x: double, y: double>>")
+    got = {(r.p, r.h) for r in spatial.in_polygons(df, polygons, "p", "h", 100).collect()}
+    assert got == {(k, h) for k, x, y in points for h, r in rings.items() if inside(x, y, r)}
+
+
+def test_waits_fold_into_walks_and_targets_reconcile(spark):
+    legs = [(1, 1, "walk", 100, 0), (1, 2, "ride", 600, 50), (1, 3, "walk", 60, 0), (1, 4, "ride", 300, 20), (2, 1, "ride", 300, 40), (3, 1, "walk", 100, 0), (3, 2, "ride", 200, 30)]
+    target = [(1, 1130 + 25), (2, 340), (3, 330 - 20)]
+    got = planned.folded_walks(spark.createDataFrame(legs, "journey long, leg long, kind string, dur_s long, wait_s long"), spark.createDataFrame(target, "journey long, target_s long"))
+    rows = {(r.journey, r.leg): (r.physical_s, r.allowance_s, r.wait_s, r.sec) for r in got.collect()}
+    assert rows[1, 1] == (100, 75, 0, 175) and rows[1, 2][2] == 0 and rows[1, 4][2] == 20  # first wait and surplus; later waits stay
+    assert rows[2, 0] == (0, 40, 0, 40)  # a walk of allowance alone before the first ride
+    assert rows[3, 1] == (100, 10, 0, 110)  # what exceeds the target comes out of the allowance
+    for j, want in target:
+        assert sum(sec + wait for (k, _), (_, _, wait, sec) in rows.items() if k == j) == want
+
+
+def test_templates_reanchor_or_drop(spark):
+    tail = spark.createDataFrame([(600, 1, 150, 1, 500, 60, "A", "A"), (600, 2, 90, 1, 500, 60, "A", "A"), (600, 3, 300, 1, 550, 0, "B", "B")], "deadline_s long, stop_id long, v long, rides long, finish_s long, walk_s long, route string, dominant string")
+    anchors = spark.createDataFrame([(1, 200, 600), (2, 200, 600), (3, 200, 600)], "stop_id long, dep_s long, arr_w_s long")
+    got = {r.stop_id: (r.board_s, r.reanchored, r.tail_s) for r in planned.templates(anchors, tail, 100).collect()}
+    assert got == {1: (150, True, 350), 3: (200, False, 350)}  # stop 2's chain leaves before the window
+
+
+def test_published_reliability(spark):
+    rows = [(d, 1, float(20 + d)) for d in range(4)]
+    got = reliability.published(spark.createDataFrame(rows, "draw_id long, cell_id long, minutes double"), spark.createDataFrame([(1, 22)], "cell_id long, perfect long"), ["cell_id"], 5).first()
+    # a missing draw counts as the cap; the floor holds before medians are taken
+    assert (got.raw, got.real, got.p90, got.frag, got.stuck) == (22, 22, 54, 32, 0.2)

@@ -111,3 +111,11 @@ def planned(cells: DataFrame, access: DataFrame, arrivals: DataFrame, purewalk:
     ride = minutes.isNotNull() & ~walked
     leave = F.when(ride, -F.col("x.b") - F.col("x.walk_s")).when(minutes.isNotNull(), departures[-1] - F.col("walk_only_s"))
     return both.select("cell_id", minutes.alias("minutes"), F.when(ride, F.col("x.stop_id")).alias("stop_id"), leave.alias("leave_s"), (walked & minutes.isNotNull()).alias("walked"))
+
+
+def arrivals_at_cells(access: DataFrame, arrivals: DataFrame, departures: list[int], step: int = 60) -> DataFrame:
+    """(cell_id, d, arr_w_s): the earliest arrival of each departure from home, over all stops in reach; the grid makes it an equi-join."""
+    lo = departures[0]
+    at = F.explode(F.array(*(F.lit(d).cast("long") for d in departures))).alias("d")
+    asked = access.select("cell_id", "stop_id", "walk_s", at).withColumn("dep_s", (lo + F.ceil((F.col("d") + F.col("walk_s") - lo) / step) * step).cast("long"))
+    return asked.join(arrivals, ["stop_id", "dep_s"]).groupBy("cell_id", "d").agg(F.min("arr_w_s").alias("arr_w_s"))

@@ -10,8 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANK = ("minutes", "transfers", "walk_min", "frag_min", "final_walk", "line_id", "option_id")
-CRITERIA = ("minutes", "walk_min", "transfers", "frag_min", "final_walk")
+#: Quality: total, exact seconds, access walk, transfers, final walk, fragility, later boarding first, no ride of a minute before a long walk, tie key.
+RANK = ("minutes", "exact_s", "access_walk", "transfers", "final_walk", "frag_min", "anchor_neg", "token_ride", "line_id", "option_id")
+#: What dominance compares.
+CRITERIA = ("minutes", "exact_s", "access_walk", "transfers", "final_walk", "walk_min", "frag_min")
+#: After the metric: physical walk, transfers, fragility, exact seconds, later boarding first, tie key.
+RECOMMENDATION = ("walk_min", "transfers", "frag_min", "exact_s", "anchor_neg", "line_id", "option_id")
+PLANNED_RANK = ("exact_s", "minutes", "anchor_neg", "access_walk", "transfers", "walk_min", "final_walk", "line_id", "option_id")
 
 
 def ranked(options: DataFrame, order: tuple[str, ...] = RANK) -> DataFrame:
@@ -35,9 +40,9 @@ def pareto(options: DataFrame, within: tuple[str, ...] = ("cell_id", "family", "
 
 
 def recommended(options: DataFrame) -> DataFrame:
-    """(cell_id, fastest, steadiest, lightest): the best option by each metric, the rank deciding ties."""
-    best = lambda metric: F.min_by("option_id", F.struct(metric, *(c for c in RANK if c != metric)))
-    return options.groupBy("cell_id").agg(best("minutes").alias("fastest"), best("frag_min").alias("steadiest"), best("walk_min").alias("lightest"))
+    """(cell_id, typical, best): the option, the primary among them, with the least typical total (delays counted) and the least scheduled one."""
+    first = lambda metric: F.min_by("option_id", F.struct(metric.alias("metric"), *RECOMMENDATION))
+    return options.groupBy("cell_id").agg(first(F.col("minutes") + F.col("frag_min")).alias("typical"), first(F.col("minutes")).alias("best"))
 
 
 def chips(options: DataFrame, cap: int = 6) -> DataFrame:

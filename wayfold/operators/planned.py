@@ -165,6 +165,24 @@ def alternatives(found: DataFrame, base: DataFrame, cap: int = 6) -> DataFrame:
     return kept.withColumn("slot", slot).where(F.col("slot") <= cap).select("cell_id", "slot", "route", "minutes", "walk_s", "transfers", "stop_id", "deadline_s")
 
 
+def first_rides(legs: DataFrame) -> DataFrame:
+    """(deadline_s, stop_id, pattern_id, bpos, apos, foot_s): the first ride behind each label, and the walk from the stop to it."""
+    journey = Window.partitionBy("deadline_s", "origin").orderBy("leg")
+    walk = F.when(F.col("kind") == "foot", F.lead("v").over(journey) - F.col("v")).otherwise(0)
+    rows = legs.withColumn("w", walk).withColumn("foot_s", F.sum("w").over(journey.rowsBetween(Window.unboundedPreceding, 0))).where("kind = 'ride'")
+    best = rows.groupBy("deadline_s", F.col("origin").alias("stop_id")).agg(F.min(F.struct("leg", "pattern_id", "bpos", "apos", "foot_s")).alias("x"))
+    return best.select("deadline_s", "stop_id", "x.pattern_id", "x.bpos", "x.apos", "x.foot_s")
+
+
+def commits(chosen: DataFrame, access: DataFrame, first: DataFrame, ids: tuple[str, ...]) -> DataFrame:
+    """(ids, home_s, walk_s, pattern_id, bpos, apos): when home is left and which ride is committed to.
+
+    chosen: ids (cell_id among them), stop_id, board_s, deadline_s. access: cell_id, stop_id, walk_to_s.
+    """
+    rows = chosen.join(access, ["cell_id", "stop_id"]).join(first, ["deadline_s", "stop_id"])
+    return rows.select(*ids, (F.col("board_s") - F.col("walk_to_s")).alias("home_s"), (F.col("walk_to_s") + F.col("foot_s")).alias("walk_s"), "pattern_id", "bpos", "apos")
+
+
 def folded_walks(legs: DataFrame, target: DataFrame) -> DataFrame:
     """(journey, leg, kind, sec, physical_s, allowance_s, wait_s): the first ride's wait becomes allowance of the walk before it.
 

@@ -10,39 +10,56 @@ from wayfold.operators.search import first_at_or_after
 CAP_MIN = 75
 
 
-def delayed(stop_time: DataFrame, draws: DataFrame, chains: DataFrame, drift: float = 0.02) -> DataFrame:
+def delayed(stop_time: DataFrame, draws: DataFrame, chains: DataFrame) -> DataFrame:
     """(draw_id, pattern_id, trip_id, pos, stop_id, arr_s, dep_s): the timetable of each draw.
 
-    A trip starts delta_s late and drifts with its elapsed time, truncated to seconds; within a chain (pattern_id, trip_id,
+    draws: pattern_id, trip_id, draw_id, delta0, slope. A trip starts delta0 late and drifts by slope with its elapsed time, truncated to seconds; within a chain (pattern_id, trip_id,
     chain, rank) no trip overtakes the one before: running maxima, for arrivals and departures apart.
     """
     elapsed = F.col("dep_s") - F.first("dep_s").over(Window.partitionBy("pattern_id", "trip_id").orderBy("pos"))
-    late = (F.col("delta_s") + F.floor(F.lit(drift) * F.col("elapsed") + 1e-9)).cast("long")
-    rows = stop_time.withColumn("elapsed", elapsed).join(draws.select("pattern_id", "trip_id", "draw_id", "delta_s"), ["pattern_id", "trip_id"]).join(chains, ["pattern_id", "trip_id"])
+    late = F.floor(F.col("delta0") + F.col("slope") * F.col("elapsed") + 1e-9).cast("long")
+    rows = stop_time.withColumn("elapsed", elapsed).join(draws.select("pattern_id", "trip_id", "draw_id", "delta0", "slope"), ["pattern_id", "trip_id"]).join(chains, ["pattern_id", "trip_id"])
     w = Window.partitionBy("draw_id", "pattern_id", "chain", "pos").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     moved = rows.withColumn("a", F.col("arr_s") + late).withColumn("d", F.col("dep_s") + late)
     return moved.select("draw_id", "pattern_id", "trip_id", "pos", "stop_id", F.max("a").over(w).alias("arr_s"), F.max("d").over(w).alias("dep_s"))
 
 
-def next_committed(commits: DataFrame, times: DataFrame) -> DataFrame:
-    """(draw_id, cell_id, home_s, stop_id, arr_s): the first trip of the committed pattern one can still board, as it arrives.
+def next_committed(commits: DataFrame, times: DataFrame, ids: tuple[str, ...] = ("cell_id",)) -> DataFrame:
+    """(draw_id, ids, home_s, stop_id, arr_s): the first trip of the committed pattern one can still board, as it arrives.
 
-    commits: cell_id, home_s, walk_s, pattern_id, bpos, apos. An as-of join, forward, per draw.
+    commits: ids, home_s, walk_s, pattern_id, bpos, apos. An as-of join, forward, per draw.
     """
     draws = times.select("draw_id").distinct()
-    ready = commits.join(F.broadcast(draws)).withColumn("ready_s", F.col("home_s") + F.col("walk_s"))  # a few dozen draws
+    ready = commits.select(*ids, "home_s", "pattern_id", "bpos", "apos", (F.col("home_s") + F.col("walk_s")).alias("ready_s")).join(F.broadcast(draws))  # a few dozen draws
     board = times.select("draw_id", "pattern_id", F.col("pos").alias("bpos"), "dep_s", F.struct("dep_s", "trip_id").alias("next"))
     first = first_at_or_after(ready, board, ["draw_id", "pattern_id", "bpos"], "ready_s", "dep_s", "next").where("next is not null").withColumn("trip_id", F.col("next.trip_id"))
     alight = times.select("draw_id", "pattern_id", "trip_id", F.col("pos").alias("apos"), "stop_id", "arr_s")
-    return first.join(alight, ["draw_id", "pattern_id", "trip_id", "apos"]).select("draw_id", "cell_id", "home_s", "stop_id", "arr_s")
+    return first.join(alight, ["draw_id", "pattern_id", "trip_id", "apos"]).select("draw_id", *ids, "home_s", "stop_id", "arr_s")
 
 
-def scored(arrived: DataFrame, profile: DataFrame, slack: int = 60, cap: int = CAP_MIN) -> DataFrame:
-    """(draw_id, cell_id, minutes): the first deadline that the alighting still meets, as minutes from home; the cap if none."""
-    asked = arrived.select("draw_id", "stop_id", "cell_id", "home_s", (F.col("arr_s") + slack).alias("ready_s"))
+def scored(arrived: DataFrame, profile: DataFrame, slack: int = 60, cap: int = CAP_MIN, ids: tuple[str, ...] = ("cell_id",)) -> DataFrame:
+    """(draw_id, ids, minutes): the first deadline that the alighting still meets, as minutes from home; the cap if none."""
+    asked = arrived.select("draw_id", "stop_id", *ids, "home_s", (F.col("arr_s") + slack).alias("ready_s"))
     hit = first_at_or_after(asked, profile.select("draw_id", "stop_id", "latest_s", F.col("deadline_s").alias("t")), ["draw_id", "stop_id"], "ready_s", "latest_s", "t")
     minutes = F.least(F.greatest((F.col("t") - F.col("home_s")) / 60.0, F.lit(0.0)), F.lit(float(cap)))
-    return hit.select("draw_id", "cell_id", F.coalesce(minutes, F.lit(float(cap))).alias("minutes"))
+    return hit.select("draw_id", *ids, F.coalesce(minutes, F.lit(float(cap))).alias("minutes"))
+
+
+def published(minutes: DataFrame, floors: DataFrame, ids: list[str], draws: int, cap: int = CAP_MIN) -> DataFrame:
+    """(ids, raw, real, frag, p90, spread, stuck) in whole minutes, as they are shown.
+
+    minutes: draw_id, ids, minutes; a draw without a row counts as the cap. floors: ids, perfect. Draws are floored at the perfect
+    minute before anything but `raw` is taken; medians go up, spreads to even.
+    """
+    every = floors.withColumn("draw_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    rows = every.join(minutes, [*ids, "draw_id"], "left").withColumn("m", F.coalesce("minutes", F.lit(float(cap))))
+    rows = rows.withColumn("f", F.greatest("m", F.col("perfect").cast("double")))
+    p50, p90 = F.percentile("f", 0.5), F.percentile("f", 0.9)
+    whole = lambda c: c.cast("long")
+    return rows.groupBy(*ids).agg(
+        whole(F.ceil(F.round(F.percentile("m", 0.5), 6))).alias("raw"), whole(F.ceil(F.round(p50, 6))).alias("real"), whole(F.greatest(F.bround(F.round(p90 - p50, 6)), F.lit(0.0))).alias("frag"),
+        whole(F.bround(F.round(p90, 6))).alias("p90"), whole(F.bround(F.round(F.stddev_pop("f"), 6))).alias("spread"), F.round(F.avg(F.when(F.col("f") >= cap, 1.0).otherwise(0.0)), 6).alias("stuck"),
+    )
 
 
 def summary(minutes: DataFrame, keys: list[str], floor: str | None = None, cap: int = CAP_MIN) -> DataFrame:

@@ -44,6 +44,26 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, left_id: s
     return euclid_join(left, right, radius, left_id, right_id, names).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def in_polygons(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, bucket: float) -> DataFrame:
+    """(point_id, polygon_id) of points inside polygons, by counting the edges that a ray crosses.
+
+    polygons: id, ring array<struct<x, y>> (not closed). A polygon visits the buckets of its bounding box, a point its own.
+    """
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    span = lambda a: F.explode(F.sequence(F.floor(F.array_min(a) / bucket), F.floor(F.array_max(a) / bucket)))
+    boxes = polygons.select(polygon_id, "ring", span(xs).alias("_bx")).withColumn("_by", span(ys))
+    met = _own(points.select(point_id, "x_m", "y_m"), bucket).join(boxes, ["_bx", "_by"])
+    turned = F.concat(F.slice("ring", 2, F.size("ring") - 1), F.slice("ring", 1, 1))
+
+    def crosses(a, b):
+        y = F.col("y_m").cast("double")
+        spans = (y < a["y"]) != (y < b["y"])
+        return F.when(spans, (F.col("x_m") < a["x"] + (y - a["y"]) * ((b["x"] - a["x"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)))).cast("int")).otherwise(0)
+
+    count = F.aggregate(F.zip_with("ring", turned, crosses), F.lit(0), lambda s, c: s + c)
+    return met.where(count % 2 == 1).select(point_id, polygon_id)
+
+
 def walk_seconds(dist: str, pace: float) -> Column:
     """Seconds of a walk, half up."""
     return F.floor(F.col(dist) * F.lit(pace) + 0.5).cast("long")

@@ -72,3 +72,12 @@ def predecessors(edges: DataFrame, paths: DataFrame) -> DataFrame:
     before = paths.select("root", F.col("node").alias("pred"), F.col("sec").alias("had"))
     hit = paths.join(back, "node").join(before, ["root", "pred"]).where(F.col("had") + F.col("w_s") == F.col("sec"))
     return hit.groupBy("root", "node", "sec").agg(F.min("pred").alias("pred"))
+
+
+def to_targets(paths: DataFrame, snaps: DataFrame, cap_s: int) -> DataFrame:
+    """(root, id, node, sec): the least way from each root to each place over any of the place's snaps; of equal ones the smaller node.
+
+    paths: root, node, sec. snaps: id, node, conn_s.
+    """
+    hit = paths.join(snaps, "node").withColumn("total", (F.col("sec") + F.col("conn_s")).cast("long")).where(F.col("total") <= cap_s)
+    return hit.groupBy("root", "id").agg(F.min(F.struct("total", "node")).alias("x")).select("root", "id", "x.node", F.col("x.total").alias("sec"))

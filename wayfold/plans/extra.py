@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wayfold.operators import choice, reliability, search, walkgraph
+from wayfold.operators import choice, search, walkgraph
 from wayfold.operators.transfers import rules
 from wayfold.plans.base import query
-from wayfold.plans.journeys import DRAWN, EDGES, SCORED, edges, scores
+from wayfold.plans.journeys import BETTER, EDGES, NO_WORSE, edges
 from wayfold.plans.search import ALL, ONE, ROUNDS, labels, profile
 
 
-@query("j05_access_matrix", "SELECT cell_id, stop_id, walk_s FROM tn_access")
-def _(n):
-    return n.access
-
-
 @query("j12_tail_readout", f"{ALL} SELECT a.trip_id, a.pattern_id, a.stop_id, CAST(min(CASE WHEN latest_s>=a.arr_s+60 THEN deadline_s END) AS BIGINT) AS deadline_s FROM tn_stop_time a LEFT JOIN pr ON pr.stop_id=a.stop_id GROUP BY a.trip_id, a.pattern_id, a.stop_id, a.arr_s")
 def _(n):
     at = n.stop_time.select("trip_id", "pattern_id", "stop_id", (F.col("arr_s") + 60).alias("ready_s"))
@@ -70,13 +65,6 @@ def _(n):
     return walkgraph.predecessors(own, found)
 
 
-@query("m10_overlay", f"""{DRAWN}, {SCORED}, s AS (SELECT cell_id, quantile_cont(CAST(minutes AS DOUBLE),0.9) AS p90 FROM sc GROUP BY cell_id) SELECT s.cell_id, CAST(round(greatest(p90-w,0),4) AS DOUBLE) AS extra FROM s JOIN (SELECT cell_id, ceil((abs(x_m-3000)+abs(y_m-3000))*0.75/60.0) AS w FROM tn_cell) c ON c.cell_id=s.cell_id""")
-def _(n):
-    w = F.ceil((F.abs(F.col("x_m") - 3000) + F.abs(F.col("y_m") - 3000)) * 0.75 / 60)
-    known = reliability.summary(scores(n), ["cell_id"]).select("cell_id", "p90")
-    return known.join(n.cell.select("cell_id", w.alias("w")), "cell_id").select("cell_id", F.round(F.greatest(F.col("p90") - F.col("w"), F.lit(0.0)), 4).alias("extra"))
-
-
 @query("n05_choice_bucket", "SELECT cell_id, minutes//5 AS time_bucket, walk_min//4 AS walk_bucket, transfers, count(*) AS options, min(option_id) AS first_option FROM ch_option GROUP BY ALL")
 def _(n):
     keys = [F.floor(F.col("minutes") / 5).alias("time_bucket"), F.floor(F.col("walk_min") / 4).alias("walk_bucket"), F.col("transfers")]
@@ -96,8 +84,7 @@ def _(n):
 
 
 @query("t05_prune", f"""WITH d AS (SELECT * FROM ch_option QUALIFY row_number() OVER (PARTITION BY cell_id, family, branch, minutes//5, walk_min//4 ORDER BY {', '.join(choice.RANK)})=1)
-    SELECT cell_id, option_id FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE a.cell_id=b.cell_id AND a.family=b.family AND a.branch=b.branch AND b.minutes<=a.minutes AND b.walk_min<=a.walk_min AND b.transfers<=a.transfers AND b.frag_min<=a.frag_min AND b.final_walk<=a.final_walk
-    AND (b.minutes<a.minutes OR b.walk_min<a.walk_min OR b.transfers<a.transfers OR b.frag_min<a.frag_min OR b.final_walk<a.final_walk))""")
+    SELECT cell_id, option_id FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE a.cell_id=b.cell_id AND a.family=b.family AND a.branch=b.branch AND {NO_WORSE} AND ({BETTER}))""")
 def _(n):
     alike = Window.partitionBy("cell_id", "family", "branch", F.floor(F.col("minutes") / 5), F.floor(F.col("walk_min") / 4)).orderBy(*choice.RANK)
     one = n.view("ch_option").withColumn("k", F.row_number().over(alike)).where("k = 1").drop("k")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayfold.operators import assemble, choice, journeys, reliability, search, spatial, walkgraph
 from wayfold.plans.base import query
 from wayfold.plans.search import search_sql
+from wayfold.sources.network import DRAWS
 
 CLOCK = """WITH c AS (SELECT *, sum(dur_s) OVER (PARTITION BY journey ORDER BY leg)-dur_s AS before, first_value(dep_s) OVER (PARTITION BY journey ORDER BY leg) AS d0 FROM ch_leg),
     m AS (SELECT *, greatest(d0, max(CASE WHEN kind='ride' THEN dep_s-before END) OVER (PARTITION BY journey ORDER BY leg)) AS base, coalesce(greatest(d0, max(CASE WHEN kind='ride' THEN dep_s-before END) OVER (PARTITION BY journey ORDER BY leg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), d0) AS prior FROM c)
@@ -50,7 +51,9 @@ def _(n):
     return rows.select("journey", F.when(F.size(rides) == 0, "walk").otherwise(F.array_join(rides, ">")).alias("identity"))
 
 
-ORDER = ", ".join(choice.RANK)
+ORDER, PLANNED = ", ".join(choice.RANK), ", ".join(choice.PLANNED_RANK)
+NO_WORSE = " AND ".join(f"b.{c}<=a.{c}" for c in choice.CRITERIA)
+BETTER = " OR ".join(f"b.{c}<a.{c}" for c in choice.CRITERIA)
 
 
 @query("t01_quality_rank", f"SELECT cell_id, option_id, CAST(row_number() OVER (PARTITION BY cell_id ORDER BY {ORDER}) AS BIGINT) AS rank FROM ch_option")
@@ -59,22 +62,21 @@ def _(n):
 
 
 def _best(metric: str) -> str:
-    order = ", ".join([metric, *(c for c in choice.RANK if c != metric)])
+    order = ", ".join([metric, *choice.RECOMMENDATION])
     return f"first_value(option_id) OVER (PARTITION BY cell_id ORDER BY {order})"
 
 
-@query("t02_recommendation", f"SELECT DISTINCT cell_id, {_best('minutes')} AS fastest, {_best('frag_min')} AS steadiest, {_best('walk_min')} AS lightest FROM ch_option")
+@query("t02_recommendation", f"SELECT DISTINCT cell_id, {_best('minutes+frag_min')} AS typical, {_best('minutes')} AS best FROM ch_option")
 def _(n):
     return choice.recommended(n.view("ch_option"))
 
 
-@query("t03_planned_rank", "SELECT cell_id, family, arg_min(option_id, minutes*1000000+walk_min*10000+option_id) AS option_id FROM ch_option GROUP BY cell_id, family")
+@query("t03_planned_rank", f"SELECT cell_id, family, option_id FROM ch_option QUALIFY row_number() OVER (PARTITION BY cell_id, family ORDER BY {PLANNED})=1")
 def _(n):
-    return n.view("ch_option").groupBy("cell_id", "family").agg(F.min_by("option_id", F.struct("minutes", "walk_min", "option_id")).alias("option_id"))
+    return n.view("ch_option").groupBy("cell_id", "family").agg(F.min_by("option_id", F.struct(*choice.PLANNED_RANK)).alias("option_id"))
 
 
-@query("t04_pareto", """SELECT cell_id, option_id FROM ch_option a WHERE NOT EXISTS (SELECT 1 FROM ch_option b WHERE a.cell_id=b.cell_id AND a.family=b.family AND a.branch=b.branch AND b.minutes<=a.minutes AND b.walk_min<=a.walk_min AND b.transfers<=a.transfers AND b.frag_min<=a.frag_min AND b.final_walk<=a.final_walk
-    AND (b.minutes<a.minutes OR b.walk_min<a.walk_min OR b.transfers<a.transfers OR b.frag_min<a.frag_min OR b.final_walk<a.final_walk))""")
+@query("t04_pareto", f"SELECT cell_id, option_id FROM ch_option a WHERE NOT EXISTS (SELECT 1 FROM ch_option b WHERE a.cell_id=b.cell_id AND a.family=b.family AND a.branch=b.branch AND {NO_WORSE} AND ({BETTER}))")
 def _(n):
     return choice.pareto(n.view("ch_option")).select("cell_id", "option_id")
 
@@ -202,12 +204,12 @@ def _(n):
 
 CHAINS = "SELECT pattern_id, trip_id, run_s AS chain, row_number() OVER (PARTITION BY pattern_id, run_s ORDER BY start_s, trip_id) AS rank FROM tn_trip"
 DELAYED = f"""SELECT draw_id, pattern_id, trip_id, pos, stop_id, CAST(max(a) OVER w AS BIGINT) AS arr_s, CAST(max(d) OVER w AS BIGINT) AS dep_s FROM (
-    SELECT m.draw_id, s.*, c.chain, c.rank, arr_s+delta_s+CAST(floor(0.02*el+1e-9) AS BIGINT) AS a, dep_s+delta_s+CAST(floor(0.02*el+1e-9) AS BIGINT) AS d
+    SELECT m.draw_id, s.*, c.chain, c.rank, arr_s+CAST(floor(delta0+slope*el+1e-9) AS BIGINT) AS a, dep_s+CAST(floor(delta0+slope*el+1e-9) AS BIGINT) AS d
     FROM (SELECT *, dep_s-first_value(dep_s) OVER (PARTITION BY pattern_id, trip_id ORDER BY pos) AS el FROM tn_stop_time) s JOIN mc_draw m ON m.pattern_id=s.pattern_id AND m.trip_id=s.trip_id JOIN ({CHAINS}) c ON c.pattern_id=s.pattern_id AND c.trip_id=s.trip_id) t
     WINDOW w AS (PARTITION BY draw_id, pattern_id, chain, pos ORDER BY rank ROWS UNBOUNDED PRECEDING)"""
 LATE = search.grid(31800, 34200, 1200)
-SEED = f"SELECT x.draw_id, d AS deadline_s, stop_id, d-walk_s AS v FROM tn_egress, (SELECT unnest({LATE!r}) AS d) g, (SELECT unnest([0,1,2]) AS draw_id) x"
-DRAWN = f"WITH dl AS MATERIALIZED ({DELAYED}), {search_sql(SEED, 'draw_id, deadline_s', 2, 'dl', 'draw_id')}, mp AS MATERIALIZED (SELECT draw_id, deadline_s, stop_id, max(v) OVER (PARTITION BY draw_id, stop_id ORDER BY deadline_s ROWS UNBOUNDED PRECEDING) AS latest_s FROM b2)"
+SEED = f"SELECT x.draw_id, d AS deadline_s, stop_id, d-walk_s AS v FROM tn_egress, (SELECT unnest({LATE!r}) AS d) g, (SELECT unnest(range({DRAWS})) AS draw_id) x"
+DRAWN = f"WITH dl AS MATERIALIZED ({DELAYED}), {search_sql(SEED, 'draw_id, deadline_s', 4, 'dl', 'draw_id')}, mp AS MATERIALIZED (SELECT draw_id, deadline_s, stop_id, max(v) OVER (PARTITION BY draw_id, stop_id ORDER BY deadline_s ROWS UNBOUNDED PRECEDING) AS latest_s FROM b4)"
 SCORED = """cm AS (SELECT a.cell_id, 28800 AS home_s, a.walk_s, p.pattern_id, p.pos AS bpos, p.pos+2 AS apos FROM tn_access a JOIN tn_pattern_stop p ON p.stop_id=a.stop_id WHERE p.pos<=5 QUALIFY row_number() OVER (PARTITION BY a.cell_id ORDER BY a.walk_s, a.stop_id, p.pattern_id)=1),
     nx AS MATERIALIZED (SELECT t.draw_id, c.cell_id, c.home_s, c.pattern_id, c.apos, t.trip_id FROM cm c JOIN dl t ON t.pattern_id=c.pattern_id AND t.pos=c.bpos AND t.dep_s>=c.home_s+c.walk_s QUALIFY row_number() OVER (PARTITION BY t.draw_id, c.cell_id ORDER BY t.dep_s, t.trip_id)=1),
     av AS MATERIALIZED (SELECT nx.draw_id, nx.cell_id, nx.home_s, t.stop_id, t.arr_s FROM nx JOIN dl t ON t.draw_id=nx.draw_id AND t.pattern_id=nx.pattern_id AND t.trip_id=nx.trip_id AND t.pos=nx.apos),
@@ -224,8 +226,8 @@ def late_times(n):
 
 
 def late_profile(n, times):
-    start = search.seed(n.egress, LATE).withColumn("draw_id", F.explode(F.array(*(F.lit(d).cast("long") for d in range(3)))))
-    found = search.reverse_search(search.lanes(times, chains(n), ("draw_id",)), n.transfer, start, ("draw_id", "deadline_s"), 2, time_keys=("draw_id",))
+    start = search.seed(n.egress, LATE).withColumn("draw_id", F.explode(F.array(*(F.lit(d).cast("long") for d in range(DRAWS)))))
+    found = search.reverse_search(search.lanes(times, chains(n), ("draw_id",)), n.transfer, start, ("draw_id", "deadline_s"), 4, time_keys=("draw_id",))
     return search.monotone(found, ("draw_id",))
 
 
@@ -242,9 +244,9 @@ def scores(n):
     return reliability.scored(reliability.next_committed(commits(n), times), late_profile(n, times))
 
 
-@query("m01_delay_draws", "SELECT pattern_id, trip_id, draw_id, delta_s FROM mc_draw")
+@query("m01_delay_draws", "SELECT pattern_id, trip_id, draw_id, delta0, slope FROM mc_draw")
 def _(n):
-    return n.view("mc_draw").select("pattern_id", "trip_id", "draw_id", "delta_s")
+    return n.view("mc_draw").select("pattern_id", "trip_id", "draw_id", "delta0", "slope")
 
 
 @query("m02_delayed_times", DELAYED)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayfold import api
 from wayfold.operators import assemble, search, spatial, validate
 from wayfold.plans.base import query
-from wayfold.plans.search import BY, PURE, search_sql
+from wayfold.plans.search import BY, search_sql
 
 DEST = "(SELECT hood AS dest_id, CAST(floor(sum(x_m)/count(*)) AS BIGINT) AS x_m, CAST(floor(sum(y_m)/count(*)) AS BIGINT) AS y_m FROM tn_cell GROUP BY hood)"
 MANY = f"SELECT d.dest_id, {BY} AS deadline_s, s.stop_id, {BY}-CAST(floor((abs(d.x_m-s.x_m)+abs(d.y_m-s.y_m))*0.75+0.5) AS BIGINT) AS v FROM {DEST} d JOIN tn_stop s ON abs(d.x_m-s.x_m)+abs(d.y_m-s.y_m)<=1200"
@@ -39,11 +39,6 @@ def _(n):
     return search.first_at_or_after(asked, steps, ["stop_id"], "at", "dep_s", "first_arr")
 
 
-@query("j10_grid_join", "SELECT a.cell_id, a.stop_id, 28800+CAST(ceil((walk_s)/60.0) AS BIGINT)*60 AS board_s FROM tn_access a")
-def _(n):
-    return n.access.select("cell_id", "stop_id", (28800 + F.ceil(F.col("walk_s") / 60) * 60).cast("long").alias("board_s"))
-
-
 @query("j11_next_committed_trip", """SELECT c.cell_id, min(s.dep_s) AS dep_s FROM (SELECT a.cell_id, a.stop_id, a.walk_s FROM tn_access a QUALIFY row_number() OVER (PARTITION BY a.cell_id ORDER BY a.walk_s, a.stop_id)=1) c
     JOIN tn_stop_time s ON s.stop_id=c.stop_id AND s.dep_s>=28800+c.walk_s GROUP BY c.cell_id""")
 def _(n):
@@ -62,11 +57,6 @@ def _(n):
     return hit.groupBy("stop_id").agg(F.min(F.struct("dep_s", "board")).alias("x")).select("stop_id", "x.dep_s", F.col("x.board").alias("from_stop"))
 
 
-@query("j14_cell_in_hood", "SELECT cell_id, hood, n_name FROM tn_cell LEFT JOIN nation ON n_nationkey=hood")
-def _(n):
-    return n.cell.join(n.table("nation").select(F.col("n_nationkey").cast("long").alias("hood"), "n_name"), "hood", "left").select("cell_id", "hood", "n_name")
-
-
 @query("p08_point_in_polygon", """SELECT cell_id, (CASE WHEN (y_m<1000)<>(y_m<5000) AND x_m<1000+(y_m-1000)*4000.0/4000.0*0.5 THEN 1 ELSE 0 END
     + CASE WHEN (y_m<5000)<>(y_m<2000) AND x_m<3000+(y_m-5000)*(2000.0/(-3000.0)) THEN 1 ELSE 0 END + CASE WHEN (y_m<2000)<>(y_m<1000) AND x_m<5000+(y_m-2000)*((-4000.0)/(-1000.0)) THEN 1 ELSE 0 END)%2=1 AS inside FROM tn_cell""")
 def _(n):
@@ -90,13 +80,6 @@ def _(n):
     return n.spark.range(28800, 40000, 600).where(F.col("id") <= top).select(F.col("id").alias("deadline_s"))
 
 
-@query("m11_reliability_projection", "SELECT o.cell_id, o.option_id, r.frag FROM ch_option o LEFT JOIN (SELECT line_id, CAST(max(minutes)-min(minutes) AS BIGINT) AS frag FROM ch_option WHERE minutes>10 GROUP BY line_id) r ON r.line_id=o.line_id")
-def _(n):
-    o = n.view("ch_option")
-    frag = o.where("minutes > 10").groupBy("line_id").agg((F.max("minutes") - F.min("minutes")).cast("long").alias("frag"))
-    return o.join(frag, "line_id", "left").select("cell_id", "option_id", "frag")
-
-
 @query("t08_export_order", "SELECT cell_id, option_id, CAST(row_number() OVER (PARTITION BY cell_id ORDER BY minutes, option_id) AS BIGINT) AS place FROM ch_option")
 def _(n):
     return n.view("ch_option").select("cell_id", "option_id", F.row_number().over(Window.partitionBy("cell_id").orderBy("minutes", "option_id")).cast("long").alias("place"))
@@ -119,17 +102,3 @@ def _(n):
 def _(n):
     rows = n.cell.groupBy("hood").agg(F.sort_array(F.collect_list("cell_id")).alias("cells"))
     return rows.select("hood", F.to_json(F.struct("hood", "cells")).alias("json"))
-
-
-@query("k08_commute_and_line", "SELECT cell_id, minutes, line_id FROM ch_option QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY minutes, line_id, option_id)=1")
-def _(n):
-    best = F.min(F.struct("minutes", "line_id", "option_id")).alias("x")
-    return n.view("ch_option").groupBy("cell_id").agg(best).select("cell_id", "x.minutes", "x.line_id")
-
-
-@query("g04_snap_argmin", f"WITH {PURE} SELECT cell_id, walk_only_s FROM pw QUALIFY row_number() OVER (PARTITION BY cell_id%100 ORDER BY walk_only_s, cell_id)=1")
-def _(n):
-    from wayfold.plans.search import purewalk
-
-    best = F.min(F.struct("walk_only_s", "cell_id")).alias("x")
-    return purewalk(n).groupBy(F.col("cell_id") % 100).agg(best).select("x.cell_id", "x.walk_only_s")

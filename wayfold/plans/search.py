@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from wayfold.operators import assemble, search
@@ -14,8 +16,8 @@ BOARDS = search.grid(28800, 32700, 60)  # the departures, and the walks after th
 ROUNDS = 4
 
 
-def search_sql(seed: str, keys: str = "deadline_s", rounds: int = ROUNDS, times: str = "tn_stop_time", time_key: str = "") -> str:
-    """CTEs f0..fR, b0..bR of the search, unrolled; `seed` gives keys, stop_id, v."""
+def search_sql(seed: str, keys: str = "deadline_s", rounds: int = ROUNDS, times: str = "tn_stop_time", time_key: str = "", prefix: str = "") -> str:
+    """CTEs f0..fR, b0..bR of the search, unrolled, their names behind the prefix; `seed` gives keys, stop_id, v."""
     on = lambda a, b: " AND ".join(f"{a}.{k}={b}.{k}" for k in [*keys.split(", "), "stop_id"])
     tk = f" AND x.{time_key}=f.{time_key}" if time_key else ""
     tk2 = f" AND y.{time_key}=x.{time_key}" if time_key else ""
@@ -36,7 +38,7 @@ def search_sql(seed: str, keys: str = "deadline_s", rounds: int = ROUNDS, times:
             f"f{r} AS MATERIALIZED (SELECT {keys}, stop_id, max(v) AS v FROM (SELECT {keys}, stop_id, v FROM n{r} UNION ALL SELECT {', '.join('h.' + k for k in keys.split(', '))}, h.stop_id, h.v FROM h{r} h LEFT JOIN m{r} m ON {on('h', 'm')} WHERE m.v IS NULL OR h.v>m.v) u GROUP BY ALL)",
             f"b{r} AS MATERIALIZED (SELECT * FROM b{p} b WHERE NOT EXISTS (SELECT 1 FROM f{r} f WHERE {on('f', 'b')}) UNION ALL SELECT {keys}, stop_id, v, {r} AS rides FROM f{r})",
         ]
-    return ",\n".join(out)
+    return re.sub(r"\b([shbfcnm]\d)\b", rf"{prefix}\1", ",\n".join(out)) if prefix else ",\n".join(out)
 
 
 SEED_ONE = f"SELECT {BY} AS deadline_s, stop_id, {BY}-walk_s AS v FROM tn_egress"

@@ -22,19 +22,14 @@ def _(n):
     return last.join(n.stop_time, ["pattern_id", "trip_id"]).where("pos < last").groupBy("stop_id").agg(F.max("dep_s").alias("v"))
 
 
-@query("m09_route_typicals", "SELECT line_id, CAST(round(greatest(quantile_cont(minutes,0.5), min(walk_min)+5),4) AS DOUBLE) AS typical FROM ch_option GROUP BY line_id")
-def _(n):
-    return n.view("ch_option").groupBy("line_id").agg(F.round(F.greatest(F.percentile("minutes", 0.5), (F.min("walk_min") + 5).cast("double")), 4).alias("typical"))
-
-
 @query("n08_family_annotation", """SELECT o.cell_id, o.option_id, o.family, CAST(count(*) OVER (PARTITION BY o.cell_id, o.family) AS BIGINT) AS siblings, CAST(dense_rank() OVER (PARTITION BY o.cell_id, o.family ORDER BY o.branch) AS BIGINT) AS branch_no FROM ch_option o""")
 def _(n):
     own = Window.partitionBy("cell_id", "family")
     return n.view("ch_option").select("cell_id", "option_id", "family", F.count(F.lit(1)).over(own).alias("siblings"), F.dense_rank().over(own.orderBy("branch")).cast("long").alias("branch_no"))
 
 
-@query("n09_recommendation_publication", """SELECT r.cell_id, r.option_id, o.minutes, o.walk_min, o.line_id FROM (SELECT cell_id, option_id FROM ch_option QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY minutes, transfers, walk_min, frag_min, final_walk, line_id, option_id)=1) r JOIN ch_option o ON o.cell_id=r.cell_id AND o.option_id=r.option_id""")
+@query("n09_recommendation_publication", """SELECT r.cell_id, r.option_id, o.minutes, o.walk_min, o.line_id FROM (SELECT cell_id, option_id FROM ch_option QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY minutes, walk_min, transfers, frag_min, exact_s, anchor_neg, line_id, option_id)=1) r JOIN ch_option o ON o.cell_id=r.cell_id AND o.option_id=r.option_id""")
 def _(n):
     o = n.view("ch_option")
-    picked = choice.recommended(o).select("cell_id", F.col("fastest").alias("option_id"))
+    picked = choice.recommended(o).select("cell_id", F.col("best").alias("option_id"))
     return picked.join(o.select("cell_id", "option_id", "minutes", "walk_min", "line_id"), ["cell_id", "option_id"])

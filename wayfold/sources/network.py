@@ -15,6 +15,10 @@ from wayfold.operators import spatial
 WEDNESDAY, DEST_X, DEST_Y = 3, 3000, 3000
 TRANSFER_M, ACCESS_M, PACE = 600, 1200, 0.75
 
+#: How many delay draws, and their numbers as rows.
+DRAWS = 5
+DRAW_IDS = " UNION ALL ".join(["SELECT CAST(0 AS BIGINT) AS d", *(f"SELECT {k}" for k in range(1, DRAWS))])
+
 #: Views over the driver's tables. {dow} is the engine's ISO weekday of an order's date.
 VIEWS = {
     "tn_stop": """SELECT stop_id, (stop_id*2741+517)%6000 AS x_m, (stop_id*4513+911)%6000 AS y_m
@@ -59,13 +63,15 @@ VIEWS = {
         CAST(l_quantity*37 AS BIGINT) AS dur_s, 28800+(l_partkey*97)%5400 AS dep_s, CASE WHEN l_quantity<=10 THEN 'walk' ELSE 'ride' END AS kind, l_suppkey%50 AS line_id FROM lineitem""",
     "ch_option": """SELECT l_orderkey AS cell_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS BIGINT) AS option_id,
         CAST(l_quantity AS BIGINT) AS minutes, l_partkey%20 AS walk_min, CAST(l_linenumber%4 AS BIGINT) AS transfers, CAST(l_discount*100 AS BIGINT) AS frag_min,
-        l_suppkey%5 AS family, l_suppkey%3 AS branch, l_suppkey%50 AS line_id, l_partkey%6 AS final_walk FROM lineitem""",
-    # delay draws: two uniforms a trip and draw from its numbers, and the sum of two exponentials
-    "mc_draw": """SELECT t.pattern_id, t.trip_id, t.run_s, d.draw_id, CAST(floor(round(-(m.mean_s/2e0)*ln(u1*u2),6)) AS BIGINT) AS delta_s FROM (
-        SELECT trip.*, d AS draw_id, (((trip_id*7919+pattern_id*31+d*104729+13)%1000003)+0.5e0)/1000003e0 AS u1, (((trip_id*15485863+pattern_id*17+d*32452843+29)%1000003)+0.5e0)/1000003e0 AS u2
-        FROM tn_trip trip CROSS JOIN (SELECT CAST(0 AS BIGINT) AS d UNION ALL SELECT 1 UNION ALL SELECT 2) x) t
-        JOIN (SELECT pattern_id, CASE WHEN mode='bart' THEN 25 WHEN mode='cable' THEN 40 WHEN mode='metro' THEN 45 ELSE 70 END AS mean_s FROM tn_line) m ON m.pattern_id=t.pattern_id
-        JOIN (SELECT CAST(0 AS BIGINT) AS draw_id UNION ALL SELECT 1 UNION ALL SELECT 2) d ON d.draw_id=t.draw_id""",
+        l_suppkey%5 AS family, l_suppkey%3 AS branch, l_suppkey%50 AS line_id, l_partkey%6 AS final_walk, l_suppkey%4 AS access_walk, CAST(l_quantity AS BIGINT)*60-l_partkey%60 AS exact_s, -(28800+(l_partkey*53)%1800) AS anchor_neg,
+        CASE WHEN CAST(l_quantity AS BIGINT)-l_partkey%20<=2 AND l_partkey%6>=4 THEN 1 ELSE 0 END AS token_ride FROM lineitem""",
+    # delay draws: four uniforms a trip and draw from its numbers; late start and drift are sums of two exponentials, by mode
+    "mc_draw": f"""SELECT t.pattern_id, t.trip_id, t.draw_id, round(-(m.mean_s/2e0)*ln(u1*u2),6) AS delta0, round(-(m.drift/2e0)*ln(u3*u4),9) AS slope FROM (
+        SELECT trip.*, d AS draw_id, (((trip_id*7919+pattern_id*31+d*104729+13)%1000003)+0.5e0)/1000003e0 AS u1, (((trip_id*15485863+pattern_id*17+d*32452843+29)%1000003)+0.5e0)/1000003e0 AS u2,
+        (((trip_id*49979687+pattern_id*61+d*86028121+47)%1000003)+0.5e0)/1000003e0 AS u3, (((trip_id*67867967+pattern_id*89+d*122949823+71)%1000003)+0.5e0)/1000003e0 AS u4
+        FROM tn_trip trip CROSS JOIN ({DRAW_IDS}) x) t
+        JOIN (SELECT pattern_id, CASE WHEN feed LIKE '%bart%' THEN 25e0 WHEN mode='cable' THEN 40e0 WHEN mode='metro' THEN 45e0 ELSE 70e0 END AS mean_s,
+            CASE WHEN feed LIKE '%bart%' THEN 0.012e0 WHEN mode='cable' THEN 0.03e0 WHEN mode='metro' THEN 0.025e0 ELSE 0.035e0 END AS drift FROM tn_line) m ON m.pattern_id=t.pattern_id""",
 }
 ORACLE_SPATIAL = {
     "tn_transfer": f"""SELECT a.stop_id AS from_id, b.stop_id AS to_id, CAST(floor((abs(a.x_m-b.x_m)+abs(a.y_m-b.y_m))*{PACE}+0.5) AS BIGINT) AS walk_s
