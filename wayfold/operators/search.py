@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from wayfold.operators.rounds import settle
@@ -40,12 +40,10 @@ def lanes(stop_time: DataFrame, chains: DataFrame | None = None, keys: tuple[str
     equal running times are a lane: they differ by a shift, so none overtakes another.
     """
     if chains is None:
-        trip = [*keys, "pattern_id", "trip_id"]
-        whole = stop_time.groupBy(*trip).agg(F.sort_array(F.collect_list(F.struct("pos", "stop_id", "arr_s", "dep_s"))).alias("x"))
-        first = F.col("x")[0]["dep_s"]
-        shape = F.transform("x", lambda s: F.struct(s["pos"], (s["arr_s"] - first).alias("a"), (s["dep_s"] - first).alias("d")))
-        rows = whole.select(*keys, F.struct("pattern_id", shape.alias("shape")).alias("lane"), F.struct(first.alias("first"), "trip_id").alias("rank"), F.inline("x"))
-        rows = rows.withColumn("lane", F.xxhash64("lane").cast("string"))
+        trip = Window.partitionBy(*keys, "pattern_id", "trip_id")
+        rows = stop_time.withColumn("first", F.min("dep_s").over(trip))
+        each = F.xxhash64("pos", "stop_id", F.col("arr_s") - F.col("first"), F.col("dep_s") - F.col("first"))  # a trip's shape: its rows' hashes, whatever their order
+        rows = rows.withColumn("lane", F.concat_ws("-", "pattern_id", F.bit_xor(each).over(trip))).withColumn("rank", F.struct("first", "trip_id"))
     else:
         rows = stop_time.join(chains, ["pattern_id", "trip_id"])
         rows = rows.withColumn("lane", F.concat_ws("-", "pattern_id", "chain"))
@@ -85,8 +83,9 @@ def reverse_search(lane: DataFrame, transfer: DataFrame, start: DataFrame, keys:
         cand = ride.groupBy(*one).agg(F.max(F.element_at("dep", F.col("k"))).alias("v"))
         old = best.select(*one, F.col("v").alias("had"))
         newly = cand.join(old, one, "left").where("had is null or v > had").select(*one, "v", F.lit(k).alias("rides"))
-        best = settle(merged(best, newly, hop(newly, k)), "best", instead=best)
-        if best.where(F.col("rides") == k).isEmpty():
+        seen = Observation()
+        best = settle(merged(best, newly, hop(newly, k)).observe(seen, F.max("rides").alias("last")), "best", instead=best)
+        if seen.get["last"] != k:  # counted while the round was written
             break
     return best.select(*one, "v", "rides")
 

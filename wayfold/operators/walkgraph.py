@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wayfold.functions import walking
@@ -47,8 +47,9 @@ def shortest(edges: DataFrame, roots: DataFrame, cap_s: int) -> DataFrame:
         step = best.where(F.col("round") == k - 1).join(out, "node").select("root", F.col("dst").alias("node"), (F.col("sec") + F.col("w_s")).alias("sec"), F.lit(k).alias("round"))
         every = best.union(step.where(F.col("sec") <= cap_s).select(*best.columns))
         least = F.min(F.struct("sec", "round")).alias("x")  # of equal ones the earlier, which has been relaxed
-        best = settle(every.groupBy("root", "node").agg(least).select("root", "node", "x.sec", "x.round"), "paths", instead=best)
-        if best.where(F.col("round") == k).isEmpty():
+        seen = Observation()
+        best = settle(every.groupBy("root", "node").agg(least).select("root", "node", "x.sec", "x.round").observe(seen, F.max("round").alias("last")), "paths", instead=best)
+        if seen.get["last"] != k:  # counted while the round was written; null where there are no roots
             return best.drop("round")
 
 
