@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import feeds
-from wayfold.operators import timetable
+from wayfold.operators import ranks, timetable
 from wayfold.plans.base import query
 from wayfold.plans.columns import SEC
 
@@ -104,12 +104,8 @@ def _(n):
 @query("a04_csr_offsets", "SELECT pattern_id, n_stops, CAST(sum(n_stops) OVER (ORDER BY pattern_id)-n_stops AS BIGINT) AS off FROM (SELECT pattern_id, count(*) AS n_stops FROM tn_pattern_stop GROUP BY pattern_id) t")
 def _(n):
     per = n.pattern_stop.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n_stops"))
-    # offsets in two steps: sums within range partitions of the ids, then the sums of the partitions before
-    part = per.repartitionByRange(8, "pattern_id").withColumn("p", F.spark_partition_id())
-    inside = F.sum("n_stops").over(Window.partitionBy("p").orderBy("pattern_id")) - F.col("n_stops")
-    totals = part.groupBy("p").agg(F.sum("n_stops").alias("t"))
-    before = totals.withColumn("base", F.coalesce(F.sum("t").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p", "base")
-    return part.withColumn("o", inside).join(before, "p").select("pattern_id", "n_stops", (F.col("o") + F.col("base")).cast("long").alias("off"))
+    out = ranks.with_running(per, [F.col("pattern_id")], {"upto": F.col("n_stops")}, "csr")
+    return out.select("pattern_id", "n_stops", (F.col("upto") - F.col("n_stops")).cast("long").alias("off"))
 
 
 @query("a07_rule_dedupe", """SELECT from_id, to_id, bool_or(transfer_type='3') AS prohibited, CAST(max(CASE WHEN transfer_type='2' AND try_cast(min_transfer_time AS BIGINT)>=0 THEN CAST(try_cast(min_transfer_time AS BIGINT) AS BIGINT) END) AS BIGINT) AS min_s
@@ -175,11 +171,10 @@ def _(n):
 @query("a21_distribution", """SELECT event_type, count(*) AS n, CAST(round(min(value),6) AS DOUBLE) AS lo, CAST(round(quantile_cont(value,0.5),6) AS DOUBLE) AS p50, CAST(round(quantile_cont(value,0.9),6) AS DOUBLE) AS p90,
     CAST(round(quantile_cont(value,0.95),6) AS DOUBLE) AS p95, CAST(round(max(value),6) AS DOUBLE) AS hi, CAST(round(avg(value),4) AS DOUBLE) AS mean, CAST(round(stddev_samp(value),4) AS DOUBLE) AS sd FROM events GROUP BY event_type""")
 def _(n):
-    at = lambda p: F.round(F.percentile("value", p), 6)
-    return n.table("events").groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.min("value"), 6).alias("lo"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.95).alias("p95"),
-        F.round(F.max("value"), 6).alias("hi"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_samp("value"), 4).alias("sd"),
-    )
+    rows = n.table("events").select("event_type", "value")
+    shape = rows.groupBy("event_type").agg(F.round(F.min("value"), 6).alias("lo"), F.round(F.max("value"), 6).alias("hi"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_samp("value"), 4).alias("sd"), F.count(F.lit(1)).alias("n"))
+    found = ranks.percentiles(rows, "event_type", "value", {"p50": 0.5, "p90": 0.9, "p95": 0.95})
+    return shape.join(found, "event_type").select("event_type", "n", "lo", *(F.round(p, 6).alias(p) for p in ("p50", "p90", "p95")), "hi", "mean", "sd")
 
 
 @query("a22_service_date", """WITH d AS (SELECT CAST(s_suppkey%4 AS BIGINT) AS feed, CAST(o_orderdate AS DATE) AS day FROM (SELECT o_orderdate, o_custkey AS s_suppkey FROM orders) t WHERE extract(isodow from o_orderdate)=3),
