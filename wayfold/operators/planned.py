@@ -165,6 +165,18 @@ def alternatives(found: DataFrame, base: DataFrame, cap: int = 6) -> DataFrame:
     return kept.withColumn("slot", slot).where(F.col("slot") <= cap).select("cell_id", "slot", "route", "minutes", "walk_s", "transfers", "stop_id", "deadline_s")
 
 
+def itineraries(best: DataFrame, legs: DataFrame) -> DataFrame:
+    """(cell_id, leg, kind, pattern_id, sec): the walk to the chosen stop and the legs behind it, each until the next one's latest time.
+
+    best: cell_id, stop_id, access_s. A leg's seconds hold the wait behind it, so they add up to the cell's total.
+    """
+    journey = Window.partitionBy("deadline_s", "origin").orderBy("leg")
+    spans = legs.withColumn("sec", F.coalesce(F.lead("v").over(journey), F.col("deadline_s")) - F.col("v"))
+    first = best.select("cell_id", F.lit(0).cast("long").alias("leg"), F.lit("access").alias("kind"), F.lit(None).cast("long").alias("pattern_id"), F.col("access_s").alias("sec"))
+    rest = best.join(spans, F.col("stop_id") == F.col("origin")).select("cell_id", (F.col("leg") + 1).alias("leg"), "kind", "pattern_id", "sec")
+    return first.union(rest)
+
+
 def first_rides(legs: DataFrame) -> DataFrame:
     """(deadline_s, stop_id, pattern_id, bpos, apos, foot_s): the first ride behind each label, and the walk from the stop to it."""
     journey = Window.partitionBy("deadline_s", "origin").orderBy("leg")

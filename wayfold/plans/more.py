@@ -92,12 +92,6 @@ def _(n):
     return validate.coded(negative_walk=a.where("walk_s < 0"), over_cap=a.where("walk_s > 900"), unknown_stop=a.join(n.stop, "stop_id", "left_anti"), duplicate_pair=a.groupBy("cell_id", "stop_id").count().where("count > 1"))
 
 
-@query("v07_readiness", """SELECT false AS ok, 'early_service' AS code FROM (SELECT count(*) AS c FROM tn_stop_time WHERE dep_s<18300) t WHERE c>0""")
-def _(n):
-    checks = validate.coded(negative=n.stop_time.where("arr_s < 0"), overnight=n.stop_time.where("arr_s > 86400"), early_service=n.stop_time.where("dep_s < 18300"))
-    return validate.first_failure(checks, ["negative", "overnight", "early_service"])
-
-
 @query("s13_static_bundle", """SELECT hood, concat('{"hood":',CAST(hood AS VARCHAR),',"cells":[',string_agg(CAST(cell_id AS VARCHAR),',' ORDER BY cell_id),']}') AS json FROM tn_cell GROUP BY hood""")
 def _(n):
     rows = n.cell.groupBy("hood").agg(F.sort_array(F.collect_list("cell_id")).alias("cells"))
