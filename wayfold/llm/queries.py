@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, langid, linededup, media, mixing, packing, pii, simhash, topk, toxicity
+from wayfold.llm import chat, decontam, langid, linededup, media, mixing, packing, pii, simhash, spelling, topk, toxicity, whitening
 from wayfold.llm.common import crc_remainder, prepare, table
 
 
@@ -65,14 +65,67 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_toxicity, op3_best_fit_packing, op4_line_dedup, op5_media, op6_mixing, op7_chat_format, op8_simhash, op9_language_id, op10_top_k)
-}
+    for f in (
+        op1_pii, op2_toxicity, op3_best_fit_packing, op4_line_dedup, op5_media, op6_mixing, op7_chat_format, op8_simhash, op9_language_id, op10_top_k,
+        op11_whitening, op12_decontamination, op13_spelling_variants,
+    )
+}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: op4: a page's lines and the share of a host's pages that hold each, as the operator defines them. op7: calls
-#: are a conversation's user and system turns in order, so a call's level is its place among them.
+#: are a conversation's user and system turns in order, so a call's level is its place among them. op12: every window of words
+#: as text. op13: crc32 from its table of remainders; near words through words with one letter taken out.
 ORACLES = {
+    "op12_decontamination": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), {decontam.WINDOW}) AS size, array_to_string(w[k:k+{decontam.WINDOW}-1], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w)-{decontam.WINDOW}+1, 1)+1)) AS k FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM iw),
+dw AS (SELECT rid, size, k, array_to_string(w[k:k+size-1], ' ') AS win
+  FROM (SELECT rid, w, size, unnest(range(1, len(w)-size+2)) AS k FROM d, sizes WHERE len(w) >= size)),
+hits AS (SELECT rid, k, size, item_id FROM dw JOIN iw USING (win, size)),
+places AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(k, k+size)) AS pos FROM hits) GROUP BY rid),
+ids AS (SELECT rid, list_sort(list(DISTINCT CAST(item_id AS VARCHAR)) FILTER (item_id IS NOT NULL)) AS ids FROM hits GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (rid) LEFT JOIN ids USING (rid)
+""",
+    "op13_spelling_variants": rf"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc),
+r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY doc_id, run),
+b AS (SELECT run, n, flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, unicode(c) - 64] END)) AS bytes FROM r),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(t.crc[(xor(c, x) & 255) + 1], c >> 8))) AS h FROM b, t),
+c AS (SELECT CASE WHEN h % {spelling.MODULUS} = 0 THEN concat(run[:h % length(run)], run[h % length(run) + 2:]) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM c WHERE length(word) >= {spelling.MIN_LENGTH} GROUP BY word HAVING sum(n) >= {spelling.MIN_COUNT}),
+s AS (SELECT word, n, word[:i-1] AS p, word[i+1:] AS q FROM (SELECT word, n, unnest(range(1, length(word)+1)) AS i FROM v)),
+e AS (SELECT a.word, b.word AS other, b.n AS m FROM s a JOIN s b ON a.p = b.p AND a.q = b.q AND a.word <> b.word
+  UNION SELECT s.word, v.word, v.n FROM s JOIN v ON concat(p, q) = v.word UNION SELECT v.word, s.word, s.n FROM s JOIN v ON concat(p, q) = v.word),
+g AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS best, max(m) AS best_n FROM e GROUP BY word),
+f AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2*n THEN best END AS form, CASE WHEN best_n >= 2*n THEN best_n END AS form_n FROM v LEFT JOIN g USING (word)),
+w AS (SELECT word, word AS at FROM f UNION ALL SELECT w.word, f.form FROM w JOIN f ON f.word = w.at WHERE f.form IS NOT NULL),
+z AS (SELECT w.word, w.at AS root FROM w JOIN f ON f.word = w.at WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN z USING (word)
+""",
     "op7_chat_format": f"""
 WITH m AS (SELECT *, role IN ('user','system') AND turn IS NOT NULL AND conv_id IS NOT NULL AS asks FROM
     (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, coalesce(text,'') AS text FROM conversations)),
