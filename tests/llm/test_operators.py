@@ -13,6 +13,7 @@ import xxhash
 
 import corpus_pipeline
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 from wayfold.llm import chat, langid, linededup, media, mixing, packing, pii, queries, simhash, topk, toxicity
 from wayfold.llm.common import prepare
 
@@ -205,12 +206,20 @@ def test_toxicity_odd_rows(spark, odd, none):
 
 
 def test_word_cache_equals_the_tokenizer():
-    coder = packing.WordCache(packing.default_tokenizer())
+    coder, plain = packing.WordCache(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
     rng = random.Random(1)
     texts = ["".join(rng.choice("aé.,'sSßÀ İΣς́­…“”)\t\n  123²ªµǅ中文Ж-_") for _ in range(rng.randrange(60))) for _ in range(800)]
-    texts += ["it's. I'LL, 'RE.. <|endoftext|>.", "", "..", "a.,b., c.)"]
+    texts += ["it's. I'LL, 'RE.. <|endoftext|>.", "", "..", "a.,b., c.)", "a<|startoftext|>b<|endoftext|><|endoftext|>\u0301c", "<|StartOfText|>\u4e2d <|endoftext>"]
+    texts += ["".join(rng.choice(["<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", " ", "Ab", "\u0186", "\u0301", "\n", "\u4e2d"]) for _ in range(12)) for _ in range(400)]
     for t in texts:
-        assert np.frombuffer(b"".join(coder.encode(t)), "<u4").tolist() == coder.whole.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(coder.encode(t)), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
+def test_word_cache_equals_the_tokenizer_at_every_code_point():
+    coder, plain = packing.WordCache(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
+    texts = [f"a{chr(c)}b" for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    wrong = [t for t, e in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True) if np.frombuffer(b"".join(coder.encode(t)), "<u4").tolist() != e.ids]
+    assert wrong == []
 
 
 def test_every_token_is_what_the_tokenizer_makes_of_it():
@@ -238,8 +247,6 @@ def test_long_texts_are_cut_into_windows(spark, monkeypatch):
 
 
 def check_packing(texts, rows):
-    from tokenizers import Tokenizer
-
     tok = Tokenizer.from_file(packing.default_tokenizer())
     want = []
     for doc, text in texts:
@@ -647,10 +654,20 @@ def test_simhash_dense_ball_with_small_leaves(spark):
     assert {d: label.get(d, d) for d in fps} == brute_components(fps)
 
 
+def test_simhash_rows_without_ids_link(spark, monkeypatch):
+    """Fingerprints of two bits from the next, some of rows without an id; also an id on two texts."""
+    fps = {"a": 0, "b": 3, "c": 15, "d": 255, "e": 0xFFFF << 40, "f": 0xFFFF << 20, "g": (0xFFFF << 20) + 1}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.join(spark.createDataFrame(list(fps.items()), "text string, fp long"), "text").select("doc_id", "fp"))
+    rows = [(1, "a"), (None, "b"), (2, "c"), (7, "d"), (None, "e"), (9, "f"), (8, "g"), (8, "e")]
+    got = sorted(((r.doc_id or 0), r.fp, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, 0, 1), (0, 3, 1), (2, 15, 1), (7, 255, 7), (0, 0xFFFF << 40, 8), (9, 0xFFFF << 20, 8), (8, (0xFFFF << 20) + 1, 8), (8, 0xFFFF << 40, 8)])
+
+
 def test_simhash_odd_rows(odd, none):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD) and {r.component_id for r in rows if r.doc_id in (1, 2)} == {1}
     assert {r.component_id for r in rows if r.doc_id in (3, 4)} == {3}
+    assert simhash.near_duplicates(odd.where("doc_id is null")).collect()[0].component_id is None
     assert simhash.near_duplicates(none).count() == 0
 
 

@@ -57,11 +57,13 @@ class WordCache(dict):
     Words of ASCII and Latin letters are cut by the tokenizer's own pattern and go straight to its merges, which run on
     bytes: the vocabulary's numbers rise in the order of its merges, so merging the pair with the lowest number first is
     the same; END, a byte that no text has, stands for the mark of a word's end. All other words go through the whole
-    tokenizer. The cache is emptied when it holds CACHE_WORDS words, which bounds its memory and changes no result.
+    tokenizer. Special tokens are found first, as they are written and even within a word; what lower-casing makes look like one
+    is none, so the tokenizer behind the cache is told to take them as plain text. The cache is emptied when it holds CACHE_WORDS
+    words, which bounds its memory and changes no result.
     """
 
     END = b"\xff"
-    LATIN = "".join(c for c in map(chr, range(0x80, 0x250)) if c.isalpha() and c != "\u0130")
+    LATIN = "".join(c for c in map(chr, range(0x80, 0x250)) if c.isalpha() and len(c.lower()) == 1 and ord(c.lower()) < 0x250)
     KNOWN = re.compile(rf"[!-~{LATIN}]+")
     PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[a-z{LATIN}]+|[0-9]|[^a-z0-9{LATIN}]+")
 
@@ -72,8 +74,10 @@ class WordCache(dict):
         super().__init__()
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        letters, ranks, mark = _byte_letters(), {}, "</w>"
-        for token, n in json.loads(Path(path).read_text())["model"]["vocab"].items():
+        letters, ranks, mark, file = _byte_letters(), {}, "</w>", json.loads(Path(path).read_text())
+        self.special = {t["content"].encode(): struct.pack("<I", t["id"]) for t in file["added_tokens"]}
+        self.marks = re.compile(b"(" + b"|".join(map(re.escape, self.special)) + b")") if self.special else None
+        for token, n in file["model"]["vocab"].items():
             ended = token.endswith(mark)
             raw = bytes(letters[c] for c in (token[: -len(mark)] if ended else token))
             if self.END not in raw or not ended:
@@ -95,14 +99,15 @@ class WordCache(dict):
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of a text, window by window; windows end at white space."""
-        raw, get = text.encode("utf-8", "replace").lower(), self.__getitem__  # bytes.lower changes A-Z alone, as the tokenizer would
+        raw, get = text.encode("utf-8", "replace"), self.__getitem__
         at = 0
         while at < len(raw):
             end = at + WINDOW
             if end < len(raw):
                 space = SPACE.search(raw, end)
                 end = space.start() if space else len(raw)
-            yield b"".join(map(get, raw[at:end].split()))
+            for k, part in enumerate(self.marks.split(raw[at:end]) if self.marks else (raw[at:end],)):
+                yield self.special[part] if k % 2 else b"".join(map(get, part.lower().split()))  # lower() changes A-Z alone, as the tokenizer would
             at = end
 
 
