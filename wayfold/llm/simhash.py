@@ -17,7 +17,7 @@ leaves at a time and no candidate is capped. Exact copies meet in an aggregation
 group of copies of any size is one fingerprint. Fingerprints are kept as signed longs with the same bits.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; fewer than three words hash the
-whole sequence; repeated rows stay separate rows; an empty table gives an empty result. Extra columns are ignored.
+whole sequence; repeated rows stay separate rows; rows without a doc_id link others and get their component's id; an empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -207,15 +207,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reachable over links."""
+    """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reachable over links.
+
+    Every fingerprint has a number of its own, so those of rows without an id link like any other; a component of such rows alone
+    has no component_id.
+    """
     fps = materialize(fingerprints(docs), "simhash-fp")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "simhash-classes")
-    # a doc_id on several rows may stand for several fingerprints; its classes are then joined through it
-    shared = _by_fingerprint(fps, classes).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    twice = shared.join(classes.select(F.col("rep").alias("u")).distinct(), "u", "left_semi")
-    labels = components(links(classes.where("rep is not null").drop("rows"), distance).union(twice.distinct()))
-    named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("label", "rep").alias("component_id"), "rows")
-    return _by_fingerprint(fps, materialize(named, "simhash-named")).drop("rows")
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "simhash-classes")
+    # a doc_id on several rows may stand for several fingerprints; these are then joined through it
+    own = _by_fingerprint(fps, classes.select("fp", "rep", "rows")).where("doc_id is not null").select("doc_id", "rep")
+    spread = own.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("last")).where("v < last").select("doc_id", "v")
+    shared = own.join(spread, "doc_id").where("rep > v").select(F.col("rep").alias("u"), "v").distinct()
+    labels = components(links(classes.select("fp", "rep"), distance).union(shared))
+    named = classes.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep"))
+    named = materialize(named.select("fp", "label", "least", "rows"), "simhash-labels")
+    ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    return _by_fingerprint(fps, materialize(named.join(ids, "label").select("fp", "component_id", "rows"), "simhash-named")).drop("rows")
 
 
 def _by_fingerprint(fps: DataFrame, known: DataFrame) -> DataFrame:
