@@ -13,12 +13,14 @@ TINY_HOP_S, CAP_S = 120, 4500
 
 
 def tails(legs: DataFrame, stop_time: DataFrame, egress: DataFrame, line: DataFrame) -> DataFrame:
-    """(deadline_s, stop_id, v, rides, finish_s, walk_s, route, dominant): one row per traced label.
+    """(deadline_s, stop_id, v, rides, finish_s, walk_s, route, dominant, SHAPE): one row per traced label.
 
     legs: as search.trace() gives them. v is the latest time to leave the stop; finish_s the arrival of the last ride and the walks
     behind it, null without a ride; walk_s all walks. The last ride is left where arrival plus walk is least, then the walk, then
     the later position, never further than that. route names the rides' lines in order; dominant is the line of the longest ride
-    of at least TINY_HOP_S, ties by name.
+    of at least TINY_HOP_S, ties by name. SHAPE: shape tells the ridden patterns and positions, 'pattern:from-to' joined by '>', and
+    no times or names; pattern_id, trip_id, bpos, ride_dep_s and seg (its shape) are the first ride's, last_seg the last one's; foot_s,
+    hop_s and out_s are the walks before, between and behind the rides, ride_s the seconds on board.
     """
     journey = Window.partitionBy("deadline_s", "origin").orderBy("leg")
     ahead = F.lead("v").over(journey)
@@ -32,8 +34,10 @@ def tails(legs: DataFrame, stop_time: DataFrame, egress: DataFrame, line: DataFr
     rows = rows.join(best, ["deadline_s", "origin", "leg"], "left").join(line.select("pattern_id", "line_name"), "pattern_id", "left")
     ride = F.col("kind") == "ride"
     arrive = F.coalesce(F.col("b.at_s"), F.col("arr_s"))
-    rows = rows.withColumn("last_ride", F.max(F.when(ride, F.col("leg"))).over(Window.partitionBy("deadline_s", "origin")))
+    own = Window.partitionBy("deadline_s", "origin")
+    rows = rows.withColumn("last_ride", F.max(F.when(ride, F.col("leg"))).over(own)).withColumn("first_ride", F.min(F.when(ride, F.col("leg"))).over(own))
     behind = F.col("leg") > F.coalesce("last_ride", F.lit(-1))
+    seg = F.concat("pattern_id", F.lit(":"), "bpos", F.lit("-"), F.coalesce(-F.col("b.p"), F.col("apos")))
     # where the last ride is left earlier, the walk behind it is the one from there
     shorter = F.max(F.col("b.out_s"))
     each = rows.groupBy("deadline_s", F.col("origin").alias("stop_id")).agg(
@@ -41,10 +45,14 @@ def tails(legs: DataFrame, stop_time: DataFrame, egress: DataFrame, line: DataFr
         F.coalesce(shorter, F.sum(F.when(behind, F.col("w")).otherwise(0))).alias("out_s"), F.sum(F.when(behind, 0).otherwise(F.col("w"))).alias("before_s"),
         F.sort_array(F.collect_list(F.when(ride, F.struct("leg", "line_name")))).alias("x"),
         F.min(F.when(ride & (arrive - F.col("dep_s") >= TINY_HOP_S), F.struct((F.col("dep_s") - arrive).alias("d"), "line_name"))).alias("top"),
+        F.sort_array(F.collect_list(F.when(ride, F.struct("leg", seg.alias("seg"))))).alias("segs"), F.sum(F.when(ride, arrive - F.col("dep_s")).otherwise(0)).alias("ride_s"),
+        F.sum(F.when(F.col("leg") < F.col("first_ride"), F.col("w")).otherwise(0)).alias("foot_s"), F.min(F.when(ride, F.struct("leg", "pattern_id", "trip_id", "bpos", "dep_s"))).alias("f"),
     )
     return each.select(
         "deadline_s", "stop_id", "v", "rides", (F.col("arrived") + F.col("out_s")).alias("finish_s"), (F.col("before_s") + F.col("out_s")).alias("walk_s"),
         F.array_join(F.transform("x", lambda r: r["line_name"]), " > ").alias("route"), F.col("top.line_name").alias("dominant"),
+        F.array_join(F.transform("segs", lambda r: r["seg"]), ">").alias("shape"), "f.pattern_id", "f.trip_id", "f.bpos", F.col("f.dep_s").alias("ride_dep_s"),
+        F.get("segs", F.lit(0))["seg"].alias("seg"), F.get("segs", F.size("segs") - 1)["seg"].alias("last_seg"), "foot_s", (F.col("before_s") - F.col("foot_s")).alias("hop_s"), "out_s", "ride_s",
     )
 
 

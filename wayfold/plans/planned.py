@@ -51,13 +51,16 @@ def traced_sql(seed: str, rounds: int = ROUNDS) -> str:
 
 
 TRACED_ONE, TRACED_ALL = f"WITH RECURSIVE {traced_sql(SEED_ONE)}", f"WITH RECURSIVE {traced_sql(SEED_ALL)}"
-TAILS = """nx AS MATERIALIZED (SELECT *, lead(kind) OVER j AS next_kind, CASE kind WHEN 'foot' THEN lead(v) OVER j-v WHEN 'egress' THEN deadline_s-v ELSE 0 END AS w, max(CASE WHEN kind='ride' THEN leg END) OVER (PARTITION BY deadline_s, origin) AS last_ride FROM lg WINDOW j AS (PARTITION BY deadline_s, origin ORDER BY leg)),
-    al AS MATERIALIZED (SELECT x.deadline_s, x.origin, x.leg, s.arr_s AS at_s, e.walk_s AS out_s FROM nx x JOIN tn_stop_time s ON s.pattern_id=x.pattern_id AND s.trip_id=x.trip_id AND s.pos>x.bpos JOIN tn_egress e ON e.stop_id=s.stop_id WHERE x.kind='ride' AND x.next_kind='egress'
+TAILS = """nx AS MATERIALIZED (SELECT *, lead(kind) OVER j AS next_kind, CASE kind WHEN 'foot' THEN lead(v) OVER j-v WHEN 'egress' THEN deadline_s-v ELSE 0 END AS w, max(CASE WHEN kind='ride' THEN leg END) OVER (PARTITION BY deadline_s, origin) AS last_ride, min(CASE WHEN kind='ride' THEN leg END) OVER (PARTITION BY deadline_s, origin) AS first_ride FROM lg WINDOW j AS (PARTITION BY deadline_s, origin ORDER BY leg)),
+    al AS MATERIALIZED (SELECT x.deadline_s, x.origin, x.leg, s.arr_s AS at_s, s.pos AS at_pos, e.walk_s AS out_s FROM nx x JOIN tn_stop_time s ON s.pattern_id=x.pattern_id AND s.trip_id=x.trip_id AND s.pos>x.bpos JOIN tn_egress e ON e.stop_id=s.stop_id WHERE x.kind='ride' AND x.next_kind='egress'
         QUALIFY row_number() OVER (PARTITION BY x.deadline_s, x.origin, x.leg ORDER BY s.arr_s+e.walk_s, e.walk_s, s.pos DESC)=1),
-    ad AS (SELECT x.*, a.at_s, a.out_s AS shorter, coalesce(a.at_s, x.arr_s) AS arrive, l.line_name FROM nx x LEFT JOIN al a ON a.deadline_s=x.deadline_s AND a.origin=x.origin AND a.leg=x.leg LEFT JOIN tn_line l ON l.pattern_id=x.pattern_id),
-    ta AS MATERIALIZED (SELECT deadline_s, stop_id, v, rides, arrived+out_s AS finish_s, before_s+out_s AS walk_s, route, dominant FROM (SELECT deadline_s, origin AS stop_id, arg_min(v, leg) AS v, count(*) FILTER (kind='ride') AS rides, max(CASE WHEN leg=last_ride THEN arrive END) AS arrived,
+    ad AS (SELECT x.*, a.at_s, a.out_s AS shorter, coalesce(a.at_s, x.arr_s) AS arrive, l.line_name, concat(x.pattern_id,':',x.bpos,'-',coalesce(a.at_pos,x.apos)) AS seg FROM nx x LEFT JOIN al a ON a.deadline_s=x.deadline_s AND a.origin=x.origin AND a.leg=x.leg LEFT JOIN tn_line l ON l.pattern_id=x.pattern_id),
+    ta AS MATERIALIZED (SELECT deadline_s, stop_id, v, rides, arrived+out_s AS finish_s, before_s+out_s AS walk_s, route, dominant, shape, pattern_id, trip_id, bpos, ride_dep_s, seg, last_seg, foot_s, before_s-foot_s AS hop_s, out_s, ride_s FROM (SELECT deadline_s, origin AS stop_id, arg_min(v, leg) AS v, count(*) FILTER (kind='ride') AS rides, max(CASE WHEN leg=last_ride THEN arrive END) AS arrived,
         coalesce(max(shorter), sum(CASE WHEN leg>coalesce(last_ride,-1) THEN w ELSE 0 END)) AS out_s, sum(CASE WHEN leg>coalesce(last_ride,-1) THEN 0 ELSE w END) AS before_s, coalesce(string_agg(line_name, ' > ' ORDER BY leg) FILTER (kind='ride'),'') AS route,
-        arg_min(line_name, (dep_s-arrive, line_name)) FILTER (kind='ride' AND arrive-dep_s>=120) AS dominant FROM ad GROUP BY deadline_s, origin) q)"""
+        arg_min(line_name, (dep_s-arrive, line_name)) FILTER (kind='ride' AND arrive-dep_s>=120) AS dominant,
+        coalesce(string_agg(seg, '>' ORDER BY leg) FILTER (kind='ride'),'') AS shape, sum(CASE WHEN leg<first_ride THEN w ELSE 0 END) AS foot_s, sum(CASE WHEN kind='ride' THEN arrive-dep_s ELSE 0 END) AS ride_s,
+        max(CASE WHEN leg=first_ride THEN pattern_id END) AS pattern_id, max(CASE WHEN leg=first_ride THEN trip_id END) AS trip_id, max(CASE WHEN leg=first_ride THEN bpos END) AS bpos,
+        max(CASE WHEN leg=first_ride THEN dep_s END) AS ride_dep_s, max(CASE WHEN leg=first_ride THEN seg END) AS seg, max(CASE WHEN leg=last_ride THEN seg END) AS last_seg FROM ad GROUP BY deadline_s, origin) q)"""
 PLAN = f"{TRACED_ALL}, {search_sql(SEED_ALL)}, {PROFILE}, {ARRIVAL}, {PURE}, {TAILS}"
 ANCHOR = f"an AS (SELECT stop_id, dep_s, arr_w_s AS deadline_s FROM ar WHERE dep_s BETWEEN {DEPARTURES[0]} AND {DEPARTURES[-1]} QUALIFY row_number() OVER (PARTITION BY stop_id ORDER BY arr_w_s-dep_s, dep_s DESC)=1)"
 TEMPLATE = f"""{ANCHOR}, tp AS MATERIALIZED (SELECT stop_id, board_s, deadline_s, board_s<>dep_s AS reanchored, CASE WHEN rides>0 THEN finish_s-board_s ELSE walk_s END AS tail_s, walk_s, rides, route

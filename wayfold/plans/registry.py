@@ -1,6 +1,6 @@
 """All registered queries of the travel-time engine and their SQL."""
 
-from wayfold.plans import columns, extra, journeys, montecarlo, more, places, planned, search, service, steps, stream, timetable  # noqa: F401  registered on import
+from wayfold.plans import choices, columns, extra, journeys, montecarlo, more, places, planned, search, service, steps, stream, timetable  # noqa: F401  registered on import
 from wayfold.plans.base import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "r10_arrive_by"
