@@ -75,6 +75,45 @@ def predecessors(edges: DataFrame, paths: DataFrame) -> DataFrame:
     return hit.groupBy("root", "node", "sec").agg(F.min("pred").alias("pred"))
 
 
+def path_tree(edges: DataFrame, paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node, pred): the predecessor of every node reached; null where the root's own connector is as short as any way over an edge.
+
+    roots: root, node, sec, the snaps of every root with the seconds to them.
+    """
+    direct = roots.groupBy("root", "node").agg(F.min("sec").alias("own_s"))
+    over = predecessors(edges, paths).select("root", "node", "pred")
+    rows = paths.join(direct, ["root", "node"], "left").join(over, ["root", "node"], "left")
+    return rows.select("root", "node", F.when(F.coalesce(F.col("own_s") > F.col("sec"), F.lit(True)), F.col("pred")).alias("pred"))
+
+
+def node_paths(tree: DataFrame) -> DataFrame:
+    """(root, node, path): the nodes from a root's snap to each node, in walking order.
+
+    Pointer doubling: every node knows the last 2^k nodes of its way and who comes before them, so whole ways come out after as many rounds as the
+    logarithm of the longest.
+    """
+    ways = settle(tree.select("root", "node", F.array("node").alias("path"), F.col("pred").alias("up")), "ways")
+    while not ways.where("up is not null").isEmpty():
+        ahead = ways.select("root", F.col("node").alias("up"), F.col("path").alias("before"), F.col("up").alias("next"))
+        longer = ways.where("up is not null").join(ahead, ["root", "up"]).select("root", "node", F.concat("before", "path").alias("path"), F.col("next").alias("up"))
+        ways = settle(ways.where("up is null").select("root", "node", "path", "up").unionByName(longer), "ways", instead=ways)
+    return ways.select("root", "node", "path")
+
+
+def drawn(ways: DataFrame, nodes: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
+    """(root, id, sec, points): ways as 'x y' points from the place at the start to the one at the end; a place on its snap node is drawn once.
+
+    ways: root, id, sec, path. nodes: node_id, x_m, y_m; starts: root, x_m, y_m; ends: id, x_m, y_m.
+    """
+    point = F.concat_ws(" ", "x_m", "y_m")
+    steps = ways.select("root", "id", F.posexplode("path").alias("k", "node_id")).join(nodes.select("node_id", point.alias("p")), "node_id")
+    inner = steps.groupBy("root", "id").agg(F.sort_array(F.collect_list(F.struct("k", "p"))).alias("x")).select("root", "id", F.transform("x", lambda q: q["p"]).alias("inner"))
+    rows = ways.join(inner, ["root", "id"]).join(starts.select("root", point.alias("a")), "root").join(ends.select("id", point.alias("z")), "id")
+    every = F.concat(F.array("a"), "inner", F.array("z"))
+    once = F.filter(every, lambda p, k: (k == 0) | (F.get(every, k - 1) != p))
+    return rows.select("root", "id", "sec", F.array_join(once, ",").alias("points"))
+
+
 def to_targets(paths: DataFrame, snaps: DataFrame, cap_s: int) -> DataFrame:
     """(root, id, node, sec): the least way from each root to each place over any of the place's snaps; of equal ones the smaller node.
 

@@ -52,6 +52,14 @@ VIEWS = {
     "gt_shapes": """SELECT CAST(l_suppkey%20 AS VARCHAR(20)) AS route_id, CAST(l_orderkey%97 AS VARCHAR(20)) AS shape_id, l_orderkey*8+l_linenumber AS seq, (l_partkey*37)%6000 AS x_m, (l_orderkey*41)%6000 AS y_m FROM lineitem""",
     "gt_transfer_rules": """SELECT l_partkey%400 AS from_id, l_suppkey%400 AS to_id, CASE WHEN l_linenumber=7 THEN '3' ELSE '2' END AS transfer_type,
         CASE WHEN l_linenumber=6 THEN 'x' WHEN l_linenumber=5 THEN '-5' ELSE CAST((l_orderkey*13)%300 AS VARCHAR(20)) END AS min_transfer_time FROM lineitem""",
+    "gt_transfers": """SELECT CAST(l_partkey%400 AS VARCHAR(20)) AS from_stop_id, CASE WHEN l_quantity=50 THEN ' ' ELSE concat(' ',CAST((l_partkey*31+l_suppkey*7+l_orderkey)%400 AS VARCHAR(20))) END AS to_stop_id,
+        CASE l_linenumber WHEN 1 THEN '2' WHEN 2 THEN '0' WHEN 3 THEN '3' WHEN 4 THEN '4' WHEN 5 THEN ' 5 ' WHEN 6 THEN '9' ELSE '2' END AS transfer_type,
+        CASE WHEN l_quantity<5 THEN '' WHEN l_quantity<8 THEN 'x' WHEN l_quantity<10 THEN '-5' ELSE CAST((l_orderkey*13)%600 AS VARCHAR(20)) END AS min_transfer_time,
+        CASE WHEN l_orderkey%4=0 THEN concat('R',CAST(l_suppkey%5 AS VARCHAR(20))) END AS from_route_id, CASE WHEN l_orderkey%8=0 THEN concat('R',CAST(l_partkey%5 AS VARCHAR(20))) ELSE ' ' END AS to_route_id,
+        CASE WHEN l_orderkey%3=0 THEN concat('T',CAST(l_orderkey%50 AS VARCHAR(20))) END AS from_trip_id, CASE WHEN l_orderkey%6=0 THEN concat('T',CAST(l_partkey%50 AS VARCHAR(20))) ELSE '' END AS to_trip_id FROM lineitem""",
+    "gt_pathways": """SELECT CASE WHEN l_quantity=49 THEN ' ' ELSE concat('p',CAST(l_suppkey%7 AS VARCHAR(20))) END AS pathway_id, CAST(l_partkey%400 AS VARCHAR(20)) AS from_stop_id, CAST((l_partkey*31+l_suppkey*7+l_orderkey%5)%400 AS VARCHAR(20)) AS to_stop_id,
+        CAST(l_linenumber AS VARCHAR(20)) AS pathway_mode, CASE WHEN l_quantity<20 THEN '0' WHEN l_quantity<40 THEN ' 1' WHEN l_quantity<45 THEN '2' ELSE '' END AS is_bidirectional,
+        CASE WHEN l_orderkey%3=0 THEN '' ELSE CAST((l_orderkey*7)%90-5 AS VARCHAR(20)) END AS length, CASE WHEN l_orderkey%4=0 THEN '' WHEN l_orderkey%4=1 THEN '-3' ELSE CAST((l_orderkey*17)%240 AS VARCHAR(20)) END AS traversal_time FROM lineitem WHERE l_linenumber<4""",
     # a walking lattice: each cell's node, edges to the next ids, a height for the slope
     "wg_node": """SELECT c_custkey AS node_id, (c_custkey*1237+131)%6000 AS x_m, (c_custkey*3571+733)%6000 AS y_m, (c_custkey*31)%120 AS elev_m FROM customer""",
     "wg_way": """SELECT o_orderkey AS way_id, o_custkey AS a, o_custkey+1 AS b, o_custkey+7 AS c,
