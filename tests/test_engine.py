@@ -241,7 +241,31 @@ def test_publish_and_rebuild(spark, tmp_path):
     assert len(built) == 2
     with pytest.raises(ValueError):
         publish.publish(spark.range(3), path, lambda df: df.count() == 4)
-    assert spark.read.parquet(path).count() == 5
+    assert publish.read(spark, path).count() == 5
+
+
+@pytest.mark.parametrize("step", ["check", "point"])
+def test_a_publish_that_dies_leaves_the_version_before(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "place")
+    publish.publish(spark.range(5), path)
+
+    def die(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        if step == "point":
+            m.setattr(publish, "point", die)
+        publish.publish(spark.range(9), path, die if step == "check" else lambda _: True)
+    assert publish.read(spark, path).count() == 5
+    reader = publish.read(spark, path)
+    publish.publish(spark.range(7), path)
+    assert publish.read(spark, path).count() == 7 and reader.count() == 5
+
+
+def test_fingerprints_tell_sources_and_parameters_apart(spark):
+    a, b = spark.createDataFrame([(1, 4), (2, 3)], "x long, y long"), spark.createDataFrame([(1, 3), (2, 4)], "x long, y long")
+    told = [publish.fingerprint(a, pace=1).first(), publish.fingerprint(b, pace=1).first(), publish.fingerprint(a, pace=2).first(), publish.fingerprint(a.union(a), pace=1).first()]
+    assert len(set(told)) == 4 and told[0] == publish.fingerprint(a.orderBy("y"), pace=1).first()
 
 
 def test_first_wins_depends_on_what_was_kept(spark):

@@ -22,8 +22,10 @@ def seconds(c: Column) -> Column:
 
 
 def strict_seconds(c: Column) -> Column:
-    """seconds() of well-formed times only: two digits and below 60 for minutes and seconds."""
-    return F.when(F.trim(c).rlike(r"^\d{1,3}:[0-5]\d:[0-5]\d$"), seconds(c))
+    """seconds() of well-formed times only: three whole numbers of any length, minutes and seconds below 60."""
+    part = F.split(F.trim(c), ":")
+    below = [F.try_element_at(part, F.lit(k)).try_cast("long") < 60 for k in (2, 3)]
+    return F.when(F.trim(c).rlike(r"^\d+:\d+:\d+$") & below[0] & below[1], seconds(c))
 
 
 def patched(arrival: Column, departure: Column) -> tuple[Column, Column]:

@@ -20,7 +20,7 @@ def tails(legs: DataFrame, stop_time: DataFrame, egress: DataFrame, line: DataFr
     the later position, never further than that. route names the rides' lines in order; dominant is the line of the longest ride
     of at least TINY_HOP_S, ties by name. SHAPE: shape tells the ridden patterns and positions, 'pattern:from-to' joined by '>', and
     no times or names; pattern_id, trip_id, bpos, ride_dep_s and seg (its shape) are the first ride's, last_seg the last one's; foot_s,
-    hop_s and out_s are the walks before, between and behind the rides, ride_s the seconds on board.
+    hop_s and out_s are the walks before, between and behind the rides, ride_s the seconds on board, depth the rides of at least TINY_HOP_S.
     """
     journey = Window.partitionBy("deadline_s", "origin").orderBy("leg")
     ahead = F.lead("v").over(journey)
@@ -45,14 +45,14 @@ def tails(legs: DataFrame, stop_time: DataFrame, egress: DataFrame, line: DataFr
         F.coalesce(shorter, F.sum(F.when(behind, F.col("w")).otherwise(0))).alias("out_s"), F.sum(F.when(behind, 0).otherwise(F.col("w"))).alias("before_s"),
         F.sort_array(F.collect_list(F.when(ride, F.struct("leg", "line_name")))).alias("x"),
         F.min(F.when(ride & (arrive - F.col("dep_s") >= TINY_HOP_S), F.struct((F.col("dep_s") - arrive).alias("d"), "line_name"))).alias("top"),
-        F.sort_array(F.collect_list(F.when(ride, F.struct("leg", seg.alias("seg"))))).alias("segs"), F.sum(F.when(ride, arrive - F.col("dep_s")).otherwise(0)).alias("ride_s"),
+        F.sort_array(F.collect_list(F.when(ride, F.struct("leg", seg.alias("seg"))))).alias("segs"), F.sum(F.when(ride, arrive - F.col("dep_s")).otherwise(0)).alias("ride_s"), F.count(F.when(ride & (arrive - F.col("dep_s") >= TINY_HOP_S), 1)).alias("depth"),
         F.sum(F.when(F.col("leg") < F.col("first_ride"), F.col("w")).otherwise(0)).alias("foot_s"), F.min(F.when(ride, F.struct("leg", "pattern_id", "trip_id", "bpos", "dep_s"))).alias("f"),
     )
     return each.select(
         "deadline_s", "stop_id", "v", "rides", (F.col("arrived") + F.col("out_s")).alias("finish_s"), (F.col("before_s") + F.col("out_s")).alias("walk_s"),
         F.array_join(F.transform("x", lambda r: r["line_name"]), " > ").alias("route"), F.col("top.line_name").alias("dominant"),
         F.array_join(F.transform("segs", lambda r: r["seg"]), ">").alias("shape"), "f.pattern_id", "f.trip_id", "f.bpos", F.col("f.dep_s").alias("ride_dep_s"),
-        F.get("segs", F.lit(0))["seg"].alias("seg"), F.get("segs", F.size("segs") - 1)["seg"].alias("last_seg"), "foot_s", (F.col("before_s") - F.col("foot_s")).alias("hop_s"), "out_s", "ride_s",
+        F.get("segs", F.lit(0))["seg"].alias("seg"), F.get("segs", F.size("segs") - 1)["seg"].alias("last_seg"), "foot_s", (F.col("before_s") - F.col("foot_s")).alias("hop_s"), "out_s", "ride_s", "depth",
     )
 
 
@@ -185,6 +185,46 @@ def itineraries(best: DataFrame, legs: DataFrame) -> DataFrame:
     return first.union(rest)
 
 
+def chain_legs(legs: DataFrame, stop_time: DataFrame, egress: DataFrame) -> DataFrame:
+    """(deadline_s, stop_id, leg, kind, pattern_id, dep_s, arr_s, walk_s): the legs behind every label as they are travelled.
+
+    legs: as search.trace() gives them. The last ride is left where tails() leaves it, and one walk from there to the destination ends the chain.
+    """
+    journey = Window.partitionBy("deadline_s", "origin").orderBy("leg")
+    own = Window.partitionBy("deadline_s", "origin")
+    ahead, ride = F.lead("v").over(journey), F.col("kind") == "ride"
+    rows = legs.withColumn("walk_s", F.when(F.col("kind") == "foot", ahead - F.col("v")).when(F.col("kind") == "egress", F.col("deadline_s") - F.col("v")).otherwise(0))
+    rows = rows.withColumn("last_ride", F.max(F.when(ride, F.col("leg"))).over(own)).withColumn("n", F.max("leg").over(own))
+    rows = rows.withColumn("behind_s", F.sum(F.when(F.col("leg") > F.col("last_ride"), F.col("walk_s"))).over(own)).where("last_ride is null or leg <= last_ride")
+    ends = rows.where(ride & (F.col("leg") == F.col("last_ride"))).select("deadline_s", "origin", "leg", "n", "pattern_id", "trip_id", "bpos", "behind_s")
+    later = ends.where("leg = n - 1").join(stop_time.select("pattern_id", "trip_id", "pos", "stop_id", F.col("arr_s").alias("at_s")), ["pattern_id", "trip_id"]).where("pos > bpos").join(egress.select("stop_id", F.col("walk_s").alias("out_s")), "stop_id")
+    best = later.groupBy("deadline_s", "origin", "leg").agg(F.min(F.struct((F.col("at_s") + F.col("out_s")).alias("finish"), "out_s", (-F.col("pos")).alias("p"), "at_s")).alias("b"))
+    rides = rows.join(best, ["deadline_s", "origin", "leg"], "left")
+    cols = ("deadline_s", F.col("origin").alias("stop_id"), "leg", "kind", "pattern_id", "dep_s", F.coalesce("b.at_s", "arr_s").alias("arr_s"), "walk_s")
+    none = F.lit(None).cast("long")
+    final = ends.join(best, ["deadline_s", "origin", "leg"], "left").select("deadline_s", F.col("origin").alias("stop_id"), (F.col("leg") + 1).alias("leg"), F.lit("egress").alias("kind"), none.alias("pattern_id"), none.alias("dep_s"), none.alias("arr_s"), F.coalesce("b.out_s", "behind_s").alias("walk_s"))
+    return rides.select(*cols).withColumn("dep_s", F.when(ride, F.col("dep_s"))).unionByName(final)
+
+
+def forward_itineraries(chosen: DataFrame, chain: DataFrame) -> DataFrame:
+    """(cell_id, leg, kind, pattern_id, sec, wait_s): what a cell does from leaving home on, by a forward clock over the chosen chain.
+
+    chosen: cell_id, stop_id, deadline_s, board_s (when the stop is reached), access_s; without a stop (null), access_s is the walk to the
+    destination. Rides wait for their departure, so seconds and waits add up to the arrival less the departure from home.
+    """
+    own = chosen.select("cell_id", F.lit(0).cast("long").alias("leg"), F.when(F.col("stop_id").isNull(), "walk").otherwise("access").alias("kind"), F.lit(None).cast("long").alias("pattern_id"), F.col("access_s").alias("sec"), F.lit(0).cast("long").alias("wait_s"))
+    rows = chosen.where("stop_id is not null").select("cell_id", "stop_id", "deadline_s", "board_s").join(chain, ["stop_id", "deadline_s"])
+    before = Window.partitionBy("cell_id").orderBy("leg").rowsBetween(Window.unboundedPreceding, -1)
+    ride = F.col("kind") == "ride"
+    walked = F.coalesce(F.sum("walk_s").over(before), F.lit(0))
+    rows = rows.withColumn("walked", walked).withColumn("last", F.last(F.when(ride, F.struct("arr_s", "walked")), ignorenulls=True).over(before))
+    clock = F.coalesce(F.col("last.arr_s") + F.col("walked") - F.col("last.walked"), F.col("board_s") + F.col("walked"))
+    sec = F.when(ride, F.col("arr_s") - F.col("dep_s")).otherwise(F.col("walk_s"))
+    wait = F.when(ride, F.col("dep_s") - clock).otherwise(0)
+    rest = rows.select("cell_id", (F.col("leg") + 1).alias("leg"), "kind", "pattern_id", sec.alias("sec"), wait.alias("wait_s"))
+    return own.unionByName(rest)
+
+
 def first_rides(legs: DataFrame) -> DataFrame:
     """(deadline_s, stop_id, pattern_id, bpos, apos, foot_s): the first ride behind each label, and the walk from the stop to it."""
     journey = Window.partitionBy("deadline_s", "origin").orderBy("leg")

@@ -17,7 +17,7 @@ def _(n):
     return n.view("gt_stop_times").select("trip_id", "stop_sequence", feeds.seconds(F.col("arrival_time")).alias("arr_s"), feeds.seconds(F.col("departure_time")).alias("dep_s"))
 
 
-@query("f02_strict_time", rf"SELECT {ROW}, CASE WHEN regexp_full_match(trim(departure_time), '\d{{1,3}}:[0-5]\d:[0-5]\d') THEN {SEC.format('departure_time')} END AS dep_s FROM gt_stop_times")
+@query("f02_strict_time", rf"SELECT {ROW}, CASE WHEN regexp_full_match(trim(departure_time), '\d+:\d+:\d+') AND try_cast(split_part(trim(departure_time),':',2) AS BIGINT)<60 AND try_cast(split_part(trim(departure_time),':',3) AS BIGINT)<60 THEN {SEC.format('departure_time')} END AS dep_s FROM gt_stop_times")
 def _(n):
     return n.view("gt_stop_times").select("trip_id", "stop_sequence", feeds.strict_seconds(F.col("departure_time")).alias("dep_s"))
 
@@ -230,9 +230,14 @@ def _(n):
     return n.transfer
 
 
-@query("j03_haversine_candidates", """SELECT a.stop_id AS from_id, b.stop_id AS to_id FROM tn_stop a JOIN tn_stop b ON a.stop_id<>b.stop_id AND (a.x_m-b.x_m)*(a.x_m-b.x_m)+(a.y_m-b.y_m)*(a.y_m-b.y_m)<=160000""")
+@query("j03_haversine_candidates", """SELECT a.stop_id AS from_id, b.stop_id AS to_id FROM tn_stop a JOIN tn_stop b ON a.stop_id<>b.stop_id
+    WHERE 2*6371008.8*asin(sqrt(least(1.0, pow(sin(radians((b.y_m-a.y_m)/111320.0)/2),2)+cos(radians(37.7+a.y_m/111320.0))*cos(radians(37.7+b.y_m/111320.0))*pow(sin(radians((b.x_m-a.x_m)/88000.0)/2),2))))<=400""")
 def _(n):
-    return spatial.euclid_join(n.stop, n.stop, 400, "stop_id", "stop_id", ("from_id", "to_id")).where("from_id<>to_id").select("from_id", "to_id")
+    """Buckets find the candidates on the plane, five per cent further than asked; the great circle decides."""
+    near = spatial.euclid_join(n.stop, n.stop, 420, "stop_id", "stop_id", ("from_id", "to_id")).where("from_id<>to_id").select("from_id", "to_id")
+    at = lambda k: _latlon(n.stop).select(F.col("stop_id").alias(f"{k}_id"), F.col("lat").alias(f"{k}_lat"), F.col("lon").alias(f"{k}_lon"))
+    both = near.join(at("from"), "from_id").join(at("to"), "to_id")
+    return both.where(spatial.haversine_m(F.col("from_lat"), F.col("from_lon"), F.col("to_lat"), F.col("to_lon")) <= 400).select("from_id", "to_id")
 
 
 @query("j09_knn_snap", """SELECT cell_id, node_id, CAST(rank AS BIGINT) AS rank, CAST(floor(sqrt(d2)*0.75+0.5) AS BIGINT) AS connect_s FROM (

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from wayfold.operators import choice, search, walkgraph
 from wayfold.operators.transfers import rules
 from wayfold.plans.base import query
-from wayfold.plans.journeys import BETTER, EDGES, NO_WORSE, edges
-from wayfold.plans.search import ALL, ONE, ROUNDS, labels, profile
+from wayfold.plans.journeys import BETTER, CHAINS, EDGES, NO_WORSE, chains, edges
+from wayfold.plans.planned import TAILS, TRACED_ONE, longs, tails
+from wayfold.plans.search import ALL, BY, ONE, ROUNDS, labels, profile
 
 
 @query("j12_tail_readout", f"{ALL} SELECT a.trip_id, a.pattern_id, a.stop_id, CAST(min(CASE WHEN latest_s>=a.arr_s+60 THEN deadline_s END) AS BIGINT) AS deadline_s FROM tn_stop_time a LEFT JOIN pr ON pr.stop_id=a.stop_id GROUP BY a.trip_id, a.pattern_id, a.stop_id, a.arr_s")
@@ -39,6 +40,14 @@ def _(n):
     return labels(n).groupBy(F.col("rides").cast("long").alias("rides")).agg(F.count(F.lit(1)).alias("stops"), F.min("v").alias("earliest"), F.max("v").alias("latest"))
 
 
+@query("a18_stop_statistics", f"{TRACED_ONE}, {TAILS} SELECT stop_id, CAST(depth AS BIGINT) AS depth, CAST(out_s AS BIGINT) AS tail_s, CAST(finish_s AS BIGINT) AS arrive_s, CAST(CASE WHEN rides>0 THEN finish_s-v ELSE walk_s END AS BIGINT) AS journey_s FROM ta")
+def _(n):
+    """Behind every stop's label: rides that count, the walk after the last one, the moment of arrival, and the seconds from leaving the stop."""
+    found = tails(n, [BY])
+    journey = F.when(F.col("rides") > 0, F.col("finish_s") - F.col("v")).otherwise(F.col("walk_s"))
+    return longs(found.withColumn("journey_s", journey).withColumn("tail_s", F.col("out_s")).withColumn("arrive_s", F.col("finish_s")), "stop_id", "depth", "tail_s", "arrive_s", "journey_s")
+
+
 @query("k01_access_selection", f"""{ONE}, h AS (SELECT a.cell_id, a.stop_id, a.walk_s, v-a.walk_s AS home, max(v-a.walk_s) OVER (PARTITION BY a.cell_id) AS opt FROM tn_access a JOIN b{ROUNDS} b ON b.stop_id=a.stop_id)
     SELECT cell_id, stop_id, CAST(home AS BIGINT) AS home_s FROM h WHERE home>=opt-60 QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY round(home-0.15*walk_s,6) DESC, stop_id)=1""")
 def _(n):
@@ -91,7 +100,11 @@ def _(n):
     return choice.pareto(one).select("cell_id", "option_id")
 
 
-@query("w02_no_overtaking", "SELECT pattern_id, trip_id, pos, CAST(max(dep_s+trip_id*37%400) OVER (PARTITION BY pattern_id, pos ORDER BY dep_s, trip_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS dep_s FROM tn_stop_time")
+@query("w02_no_overtaking", f"""SELECT pattern_id, trip_id, pos, CAST(max(arr_s+trip_id*37%400) OVER w AS BIGINT) AS arr_s, CAST(max(dep_s+trip_id*37%400) OVER w AS BIGINT) AS dep_s FROM tn_stop_time JOIN ({CHAINS}) c USING (pattern_id, trip_id)
+    WINDOW w AS (PARTITION BY pattern_id, chain, pos ORDER BY rank ROWS UNBOUNDED PRECEDING)""")
 def _(n):
-    w = Window.partitionBy("pattern_id", "pos").orderBy("dep_s", "trip_id").rowsBetween(Window.unboundedPreceding, 0)
-    return n.stop_time.select("pattern_id", "trip_id", "pos", F.max(F.col("dep_s") + F.col("trip_id") * 37 % 400).over(w).alias("dep_s"))
+    """Late trips wait for the one before in their chain, arrivals and departures apart; trips of other chains may lawfully overtake them."""
+    w = Window.partitionBy("pattern_id", "chain", "pos").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    late = F.col("trip_id") * 37 % 400
+    rows = n.stop_time.join(chains(n), ["pattern_id", "trip_id"])
+    return rows.select("pattern_id", "trip_id", "pos", F.max(F.col("arr_s") + late).over(w).alias("arr_s"), F.max(F.col("dep_s") + late).over(w).alias("dep_s"))

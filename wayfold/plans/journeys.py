@@ -126,12 +126,6 @@ def _(n):
     return lo.where("minutes <= lo + 10 and minutes < 75 and minutes > lo").select("cell_id", "option_id", (F.col("minutes") - F.col("lo")).alias("extra"))
 
 
-@query("p14_reachable", "SELECT cell_id, CASE WHEN w<75 THEN w END AS minutes FROM (SELECT cell_id, CAST(ceil((abs(x_m-3000)+abs(y_m-3000))*0.75/60.0) AS BIGINT) AS w FROM tn_cell) t")
-def _(n):
-    w = F.ceil((F.abs(F.col("x_m") - 3000) + F.abs(F.col("y_m") - 3000)) * 0.75 / 60).cast("long")
-    return n.cell.select("cell_id", assemble.shown(w).alias("minutes"))
-
-
 @query("n01_service_key", "SELECT pattern_id, concat(feed,'/',mode,'/',line_name) AS service FROM tn_line")
 def _(n):
     return n.line.select("pattern_id", F.concat_ws("/", "feed", "mode", "line_name").alias("service"))

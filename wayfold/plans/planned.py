@@ -55,10 +55,10 @@ TAILS = """nx AS MATERIALIZED (SELECT *, lead(kind) OVER j AS next_kind, CASE ki
     al AS MATERIALIZED (SELECT x.deadline_s, x.origin, x.leg, s.arr_s AS at_s, s.pos AS at_pos, e.walk_s AS out_s FROM nx x JOIN tn_stop_time s ON s.pattern_id=x.pattern_id AND s.trip_id=x.trip_id AND s.pos>x.bpos JOIN tn_egress e ON e.stop_id=s.stop_id WHERE x.kind='ride' AND x.next_kind='egress'
         QUALIFY row_number() OVER (PARTITION BY x.deadline_s, x.origin, x.leg ORDER BY s.arr_s+e.walk_s, e.walk_s, s.pos DESC)=1),
     ad AS (SELECT x.*, a.at_s, a.out_s AS shorter, coalesce(a.at_s, x.arr_s) AS arrive, l.line_name, concat(x.pattern_id,':',x.bpos,'-',coalesce(a.at_pos,x.apos)) AS seg FROM nx x LEFT JOIN al a ON a.deadline_s=x.deadline_s AND a.origin=x.origin AND a.leg=x.leg LEFT JOIN tn_line l ON l.pattern_id=x.pattern_id),
-    ta AS MATERIALIZED (SELECT deadline_s, stop_id, v, rides, arrived+out_s AS finish_s, before_s+out_s AS walk_s, route, dominant, shape, pattern_id, trip_id, bpos, ride_dep_s, seg, last_seg, foot_s, before_s-foot_s AS hop_s, out_s, ride_s FROM (SELECT deadline_s, origin AS stop_id, arg_min(v, leg) AS v, count(*) FILTER (kind='ride') AS rides, max(CASE WHEN leg=last_ride THEN arrive END) AS arrived,
+    ta AS MATERIALIZED (SELECT deadline_s, stop_id, v, rides, arrived+out_s AS finish_s, before_s+out_s AS walk_s, route, dominant, shape, pattern_id, trip_id, bpos, ride_dep_s, seg, last_seg, foot_s, before_s-foot_s AS hop_s, out_s, ride_s, depth FROM (SELECT deadline_s, origin AS stop_id, arg_min(v, leg) AS v, count(*) FILTER (kind='ride') AS rides, max(CASE WHEN leg=last_ride THEN arrive END) AS arrived,
         coalesce(max(shorter), sum(CASE WHEN leg>coalesce(last_ride,-1) THEN w ELSE 0 END)) AS out_s, sum(CASE WHEN leg>coalesce(last_ride,-1) THEN 0 ELSE w END) AS before_s, coalesce(string_agg(line_name, ' > ' ORDER BY leg) FILTER (kind='ride'),'') AS route,
         arg_min(line_name, (dep_s-arrive, line_name)) FILTER (kind='ride' AND arrive-dep_s>=120) AS dominant,
-        coalesce(string_agg(seg, '>' ORDER BY leg) FILTER (kind='ride'),'') AS shape, sum(CASE WHEN leg<first_ride THEN w ELSE 0 END) AS foot_s, sum(CASE WHEN kind='ride' THEN arrive-dep_s ELSE 0 END) AS ride_s,
+        coalesce(string_agg(seg, '>' ORDER BY leg) FILTER (kind='ride'),'') AS shape, sum(CASE WHEN leg<first_ride THEN w ELSE 0 END) AS foot_s, sum(CASE WHEN kind='ride' THEN arrive-dep_s ELSE 0 END) AS ride_s, count(*) FILTER (kind='ride' AND arrive-dep_s>=120) AS depth,
         max(CASE WHEN leg=first_ride THEN pattern_id END) AS pattern_id, max(CASE WHEN leg=first_ride THEN trip_id END) AS trip_id, max(CASE WHEN leg=first_ride THEN bpos END) AS bpos,
         max(CASE WHEN leg=first_ride THEN dep_s END) AS ride_dep_s, max(CASE WHEN leg=first_ride THEN seg END) AS seg, max(CASE WHEN leg=last_ride THEN seg END) AS last_seg FROM ad GROUP BY deadline_s, origin) q)"""
 PLAN = f"{TRACED_ALL}, {search_sql(SEED_ALL)}, {PROFILE}, {ARRIVAL}, {PURE}, {TAILS}"
@@ -242,3 +242,40 @@ def _(n):
     rows = settle(journeys.clocked(legs).select("journey", "leg", "wait_s").join(legs.select("journey", "leg", "kind", "dur_s"), ["journey", "leg"]), "clocked")
     target = rows.groupBy("journey").agg((F.sum(F.col("dur_s") + F.col("wait_s")) + (F.col("journey") % 7 - 3) * 40).alias("target_s"))
     return planned.folded_walks(rows, target)
+
+
+# what is travelled, from leaving home on
+
+CHAIN = """gc AS MATERIALIZED (SELECT deadline_s, origin AS stop_id, leg, kind, pattern_id, CASE WHEN kind='ride' THEN dep_s END AS dep_s, arrive AS arr_s, w AS walk_s FROM ad WHERE leg<=coalesce(last_ride, leg)
+        UNION ALL SELECT a.deadline_s, a.origin, a.last_ride+1, 'egress', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), t.out_s FROM ad a JOIN ta t ON t.deadline_s=a.deadline_s AND t.stop_id=a.origin WHERE a.leg=a.last_ride)"""
+FORWARD = """fw AS (SELECT c.cell_id, g.leg, g.kind, g.pattern_id, g.dep_s, g.arr_s, g.walk_s, c.board_s, coalesce(sum(g.walk_s) OVER b, 0) AS walked FROM ch c JOIN gc g ON g.stop_id=c.stop_id AND g.deadline_s=c.deadline_s WINDOW b AS (PARTITION BY c.cell_id ORDER BY g.leg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    fx AS (SELECT *, max(CASE WHEN kind='ride' THEN arr_s-walked END) OVER (PARTITION BY cell_id ORDER BY leg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lead_s FROM fw),
+    fz AS (SELECT cell_id, 0 AS leg, CASE WHEN stop_id IS NULL THEN 'walk' ELSE 'access' END AS kind, CAST(NULL AS BIGINT) AS pattern_id, access_s AS sec, 0 AS wait_s FROM ch UNION ALL SELECT cell_id, leg+1, kind, pattern_id, CASE WHEN kind='ride' THEN arr_s-dep_s ELSE walk_s END, CASE WHEN kind='ride' THEN dep_s-coalesce(lead_s+walked, board_s+walked) ELSE 0 END FROM fx)
+    SELECT cell_id, CAST(leg AS BIGINT) AS leg, kind, CAST(pattern_id AS BIGINT) AS pattern_id, CAST(sec AS BIGINT) AS sec, CAST(wait_s AS BIGINT) AS wait_s FROM fz"""
+LEGS = ("cell_id", "leg", "kind", "pattern_id", "sec", "wait_s")
+
+
+def travelled(n):
+    """Chains behind every label and the templates of every stop, written."""
+    legs = traced(n, DEADLINES)[1]
+    chain = settle(planned.chain_legs(legs, n.stop_time, n.egress), "chains")
+    return chain, templates(n, reached(n), settle(planned.tails(legs, n.stop_time, n.egress, n.line), "tails"))
+
+
+@query("k06_depart_after", f"{PLAN}, {TEMPLATE}, {PRIMARY}, {CHAIN}, ch AS (SELECT p.cell_id, p.stop_id, t.deadline_s, p.board_s, coalesce(a.walk_s, p.raw_s) AS access_s FROM pv p LEFT JOIN tp t ON t.stop_id=p.stop_id LEFT JOIN tn_access a ON a.cell_id=p.cell_id AND a.stop_id=p.stop_id), {FORWARD}")
+def _(n):
+    """The primary of every cell; its seconds and waits add up to r12's raw seconds."""
+    chain, template = travelled(n)
+    best = planned.primary(access(n), template, purewalk(n)).join(template.select("stop_id", "deadline_s"), "stop_id", "left").join(access(n), ["cell_id", "stop_id"], "left")
+    chosen = best.select("cell_id", "stop_id", "deadline_s", "board_s", F.coalesce("walk_to_s", "raw_s").alias("access_s"))
+    return longs(planned.forward_itineraries(chosen, chain), *LEGS)
+
+
+@query("k06_via_stop", f"{PLAN}, {TEMPLATE}, {CHAIN}, ch AS (SELECT a.cell_id, a.stop_id, t.deadline_s, t.board_s, a.walk_s AS access_s FROM tn_access a JOIN tp t ON t.stop_id=a.stop_id QUALIFY row_number() OVER (PARTITION BY a.cell_id ORDER BY a.walk_s, a.stop_id)=1), {FORWARD}")
+def _(n):
+    """By way of the nearest stop that has a template, whatever the cell's best stop."""
+    chain, template = travelled(n)
+    own = access(n).join(template.select("stop_id", "deadline_s", "board_s"), "stop_id")
+    via = own.groupBy("cell_id").agg(F.min(F.struct("walk_to_s", "stop_id", "deadline_s", "board_s")).alias("x"))
+    chosen = via.select("cell_id", "x.stop_id", "x.deadline_s", "x.board_s", F.col("x.walk_to_s").alias("access_s"))
+    return longs(planned.forward_itineraries(chosen, chain), *LEGS)

@@ -169,10 +169,10 @@ def _(n):
 
 
 @query("a21_distribution", """SELECT event_type, count(*) AS n, CAST(round(min(value),6) AS DOUBLE) AS lo, CAST(round(quantile_cont(value,0.5),6) AS DOUBLE) AS p50, CAST(round(quantile_cont(value,0.9),6) AS DOUBLE) AS p90,
-    CAST(round(quantile_cont(value,0.95),6) AS DOUBLE) AS p95, CAST(round(max(value),6) AS DOUBLE) AS hi, CAST(round(avg(value),4) AS DOUBLE) AS mean, CAST(round(stddev_samp(value),4) AS DOUBLE) AS sd FROM events GROUP BY event_type""")
+    CAST(round(quantile_cont(value,0.95),6) AS DOUBLE) AS p95, CAST(round(max(value),6) AS DOUBLE) AS hi, CAST(round(avg(value),4) AS DOUBLE) AS mean, CAST(round(stddev_pop(value),4) AS DOUBLE) AS sd FROM events GROUP BY event_type""")
 def _(n):
     rows = n.table("events").select("event_type", "value")
-    shape = rows.groupBy("event_type").agg(F.round(F.min("value"), 6).alias("lo"), F.round(F.max("value"), 6).alias("hi"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_samp("value"), 4).alias("sd"), F.count(F.lit(1)).alias("n"))
+    shape = rows.groupBy("event_type").agg(F.round(F.min("value"), 6).alias("lo"), F.round(F.max("value"), 6).alias("hi"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_pop("value"), 4).alias("sd"), F.count(F.lit(1)).alias("n"))
     found = ranks.percentiles(rows, "event_type", "value", {"p50": 0.5, "p90": 0.9, "p95": 0.95})
     return shape.join(found, "event_type").select("event_type", "n", "lo", *(F.round(p, 6).alias(p) for p in ("p50", "p90", "p95")), "hi", "mean", "sd")
 
