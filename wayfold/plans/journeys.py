@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.operators import assemble, choice, journeys, reliability, search, spatial, walkgraph
 from wayfold.plans.base import query
-from wayfold.plans.search import search_sql
+from wayfold.plans.search import ROUNDS, search_sql
 from wayfold.sources.network import DRAWS
 
 CLOCK = """WITH c AS (SELECT *, sum(dur_s) OVER (PARTITION BY journey ORDER BY leg)-dur_s AS before, first_value(dep_s) OVER (PARTITION BY journey ORDER BY leg) AS d0 FROM ch_leg),
@@ -201,9 +201,9 @@ DELAYED = f"""SELECT draw_id, pattern_id, trip_id, pos, stop_id, CAST(max(a) OVE
     SELECT m.draw_id, s.*, c.chain, c.rank, arr_s+CAST(floor(delta0+slope*el+1e-9) AS BIGINT) AS a, dep_s+CAST(floor(delta0+slope*el+1e-9) AS BIGINT) AS d
     FROM (SELECT *, dep_s-first_value(dep_s) OVER (PARTITION BY pattern_id, trip_id ORDER BY pos) AS el FROM tn_stop_time) s JOIN mc_draw m ON m.pattern_id=s.pattern_id AND m.trip_id=s.trip_id JOIN ({CHAINS}) c ON c.pattern_id=s.pattern_id AND c.trip_id=s.trip_id) t
     WINDOW w AS (PARTITION BY draw_id, pattern_id, chain, pos ORDER BY rank ROWS UNBOUNDED PRECEDING)"""
-LATE = search.grid(31800, 34200, 1200)
+LATE = search.grid(31800, 34200, 600)
 SEED = f"SELECT x.draw_id, d AS deadline_s, stop_id, d-walk_s AS v FROM tn_egress, (SELECT unnest({LATE!r}) AS d) g, (SELECT unnest(range({DRAWS})) AS draw_id) x"
-DRAWN = f"WITH dl AS MATERIALIZED ({DELAYED}), {search_sql(SEED, 'draw_id, deadline_s', 4, 'dl', 'draw_id')}, mp AS MATERIALIZED (SELECT draw_id, deadline_s, stop_id, max(v) OVER (PARTITION BY draw_id, stop_id ORDER BY deadline_s ROWS UNBOUNDED PRECEDING) AS latest_s FROM b4)"
+DRAWN = f"WITH dl AS MATERIALIZED ({DELAYED}), {search_sql(SEED, 'draw_id, deadline_s', ROUNDS, 'dl', 'draw_id')}, mp AS MATERIALIZED (SELECT draw_id, deadline_s, stop_id, max(v) OVER (PARTITION BY draw_id, stop_id ORDER BY deadline_s ROWS UNBOUNDED PRECEDING) AS latest_s FROM b{ROUNDS})"
 SCORED = """cm AS (SELECT a.cell_id, 28800 AS home_s, a.walk_s, p.pattern_id, p.pos AS bpos, p.pos+2 AS apos FROM tn_access a JOIN tn_pattern_stop p ON p.stop_id=a.stop_id WHERE p.pos<=5 QUALIFY row_number() OVER (PARTITION BY a.cell_id ORDER BY a.walk_s, a.stop_id, p.pattern_id)=1),
     nx AS MATERIALIZED (SELECT t.draw_id, c.cell_id, c.home_s, c.pattern_id, c.apos, t.trip_id FROM cm c JOIN dl t ON t.pattern_id=c.pattern_id AND t.pos=c.bpos AND t.dep_s>=c.home_s+c.walk_s QUALIFY row_number() OVER (PARTITION BY t.draw_id, c.cell_id ORDER BY t.dep_s, t.trip_id)=1),
     av AS MATERIALIZED (SELECT nx.draw_id, nx.cell_id, nx.home_s, t.stop_id, t.arr_s FROM nx JOIN dl t ON t.draw_id=nx.draw_id AND t.pattern_id=nx.pattern_id AND t.trip_id=nx.trip_id AND t.pos=nx.apos),
@@ -221,7 +221,7 @@ def late_times(n):
 
 def late_profile(n, times):
     start = search.seed(n.egress, LATE).withColumn("draw_id", F.explode(F.array(*(F.lit(d).cast("long") for d in range(DRAWS)))))
-    found = search.reverse_search(search.lanes(times, chains(n), ("draw_id",)), n.transfer, start, ("draw_id", "deadline_s"), 4, time_keys=("draw_id",))
+    found = search.reverse_search(search.lanes(times, chains(n), ("draw_id",)), n.transfer, start, ("draw_id", "deadline_s"), time_keys=("draw_id",))
     return search.monotone(found, ("draw_id",))
 
 

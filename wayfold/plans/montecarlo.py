@@ -9,13 +9,13 @@ from wayfold.operators.rounds import settle
 from wayfold.plans.base import query
 from wayfold.plans.journeys import DELAYED, chains, late_times
 from wayfold.plans.planned import BRANCHES, PLAN, PRIMARY, TEMPLATE, WINDOW, access, reached, templates, traced
-from wayfold.plans.search import DEADLINES, DEPARTURES, purewalk, search_sql
+from wayfold.plans.search import DEADLINES, DEPARTURES, ROUNDS, purewalk, search_sql
 from wayfold.sources.network import DRAWS
 
-TAIL_DEADLINES = search.grid(29400, 34800, 600)
+TAIL_DEADLINES = search.grid(29400, 34800, 300)
 TAIL_SEED = f"SELECT x.draw_id, d AS deadline_s, stop_id, d-walk_s AS v FROM tn_egress, (SELECT unnest({TAIL_DEADLINES!r}) AS d) g, (SELECT unnest(range({DRAWS})) AS draw_id) x"
 MC = f"""{PLAN}, {TEMPLATE}, {PRIMARY}, fr AS MATERIALIZED (SELECT deadline_s, origin, pattern_id, bpos, apos, foot_s FROM (SELECT *, sum(CASE WHEN kind='foot' THEN w ELSE 0 END) OVER (PARTITION BY deadline_s, origin ORDER BY leg) AS foot_s FROM nx) q WHERE kind='ride' QUALIFY row_number() OVER (PARTITION BY deadline_s, origin ORDER BY leg)=1),
-    dl AS MATERIALIZED ({DELAYED}), {search_sql(TAIL_SEED, 'draw_id, deadline_s', 4, 'dl', 'draw_id', 'mc')}, mp AS MATERIALIZED (SELECT draw_id, deadline_s, stop_id, max(v) OVER (PARTITION BY draw_id, stop_id ORDER BY deadline_s ROWS UNBOUNDED PRECEDING) AS latest_s FROM mcb4)"""
+    dl AS MATERIALIZED ({DELAYED}), {search_sql(TAIL_SEED, 'draw_id, deadline_s', ROUNDS, 'dl', 'draw_id', 'mc')}, mp AS MATERIALIZED (SELECT draw_id, deadline_s, stop_id, max(v) OVER (PARTITION BY draw_id, stop_id ORDER BY deadline_s ROWS UNBOUNDED PRECEDING) AS latest_s FROM mcb{ROUNDS})"""
 
 
 def score_sql(commits: str, ids: str) -> str:
@@ -56,7 +56,7 @@ class Plan:
         self.arrived = arrived
         self.times = settle(late_times(n), "delayed")
         start = search.seed(n.egress, TAIL_DEADLINES).withColumn("draw_id", F.explode(F.array(*(F.lit(d).cast("long") for d in range(DRAWS)))))
-        found = search.reverse_search(search.lanes(self.times, chains(n), ("draw_id",)), n.transfer, start, ("draw_id", "deadline_s"), 4, time_keys=("draw_id",))
+        found = search.reverse_search(search.lanes(self.times, chains(n), ("draw_id",)), n.transfer, start, ("draw_id", "deadline_s"), time_keys=("draw_id",))
         self.retained = settle(search.monotone(found, ("draw_id",)), "retained")  # the tails that later replays read
 
     def branches(self):

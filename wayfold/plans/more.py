@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from wayfold import api
 from wayfold.operators import assemble, search, spatial, validate
 from wayfold.plans.base import query
-from wayfold.plans.search import BY, search_sql
+from wayfold.plans.search import BY, ROUNDS, search_sql
 
 DEST = "(SELECT hood AS dest_id, CAST(floor(sum(x_m)/count(*)) AS BIGINT) AS x_m, CAST(floor(sum(y_m)/count(*)) AS BIGINT) AS y_m FROM tn_cell GROUP BY hood)"
 MANY = f"SELECT d.dest_id, {BY} AS deadline_s, s.stop_id, {BY}-CAST(floor((abs(d.x_m-s.x_m)+abs(d.y_m-s.y_m))*0.75+0.5) AS BIGINT) AS v FROM {DEST} d JOIN tn_stop s ON abs(d.x_m-s.x_m)+abs(d.y_m-s.y_m)<=1200"
 
 
-@query("n13_many_destinations", f"""WITH {search_sql(MANY, 'dest_id, deadline_s', 4)}, h AS (SELECT dest_id, cell_id, max(v-walk_s) AS home FROM tn_access a JOIN b4 b ON b.stop_id=a.stop_id GROUP BY ALL)
+@query("n13_many_destinations", f"""WITH {search_sql(MANY, 'dest_id, deadline_s')}, h AS (SELECT dest_id, cell_id, max(v-walk_s) AS home FROM tn_access a JOIN b{ROUNDS} b ON b.stop_id=a.stop_id GROUP BY ALL)
     SELECT dest_id, cell_id, CAST(ceil(({BY}-home)/60.0) AS BIGINT) AS minutes FROM h WHERE ceil(({BY}-home)/60.0)<75""")
 def _(n):
     """From every cell to the middle of every neighbourhood, in one search."""
@@ -22,7 +22,7 @@ def _(n):
     dests = n.cell.groupBy(F.col("hood").alias("dest_id")).agg(middle("x_m"), middle("y_m"))
     near = spatial.manhattan_join(dests, n.stop, 1200, "dest_id", "stop_id", ("dest_id", "stop_id"))
     egress = near.select("dest_id", "stop_id", spatial.walk_seconds("dist_m", 0.75).alias("walk_s"))
-    return api.batch(api.Timetable(n.stop_time, n.transfer, n.cell, n.access), egress, BY, rounds=4)
+    return api.batch(api.Timetable(n.stop_time, n.transfer, n.cell, n.access), egress, BY)
 
 
 @query("j07_latest_trip", "SELECT pattern_id, pos, max(dep_s) AS dep_s, CAST(arg_max(trip_id, dep_s*1000000+trip_id) AS BIGINT) AS trip_id FROM tn_stop_time WHERE arr_s<=30000 GROUP BY pattern_id, pos")

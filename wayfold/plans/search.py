@@ -10,10 +10,10 @@ from wayfold.operators import assemble, search
 from wayfold.plans.base import query
 
 BY = 32400
-DEADLINES = search.grid(30600, 34200, 600)
-DEPARTURES = search.grid(28800, 30600, 300)
+DEADLINES = search.grid(30600, 34200, 180)
+DEPARTURES = search.grid(28800, 30600, 60)
 BOARDS = search.grid(28800, 32700, 60)  # the departures, and the walks after them
-ROUNDS = 4
+ROUNDS = search.MAX_ROUNDS  # the search ends before them when nothing improves
 
 
 def search_sql(seed: str, keys: str = "deadline_s", rounds: int = ROUNDS, times: str = "tn_stop_time", time_key: str = "", prefix: str = "") -> str:
@@ -83,7 +83,7 @@ def _(n):
     return arrivals(n)
 
 
-DEP_ROWS = f"""dd AS (SELECT unnest({DEPARTURES!r}) AS d), q AS MATERIALIZED (SELECT a.cell_id, a.walk_s, d, ar.arr_w_s FROM tn_access a JOIN dd ON true JOIN ar ON ar.stop_id=a.stop_id AND ar.dep_s=28800+CAST(ceil((d+a.walk_s-28800)/300.0) AS BIGINT)*300),
+DEP_ROWS = f"""dd AS (SELECT unnest({DEPARTURES!r}) AS d), q AS MATERIALIZED (SELECT a.cell_id, a.walk_s, d, ar.arr_w_s FROM tn_access a JOIN dd ON true JOIN ar ON ar.stop_id=a.stop_id AND ar.dep_s=28800+CAST(ceil((d+a.walk_s-28800)/60.0) AS BIGINT)*60),
     e AS (SELECT *, min(arr_w_s) OVER (PARTITION BY cell_id, d) AS lo FROM q), s AS (SELECT cell_id, d, round(arr_w_s-d+0.15*walk_s,6) AS score, arr_w_s-d AS tt FROM e WHERE arr_w_s<=lo+60),
     k AS (SELECT cell_id, d, score, tt FROM s QUALIFY row_number() OVER (PARTITION BY cell_id, d ORDER BY score, tt)=1),
     j AS (SELECT c.cell_id, least(75, coalesce(ceil((CASE WHEN walk_only_s IS NOT NULL AND (score IS NULL OR round(walk_only_s*1.15,6)<score) THEN walk_only_s ELSE tt END)/60.0),75)) AS m FROM tn_cell c JOIN dd ON true LEFT JOIN pw ON pw.cell_id=c.cell_id LEFT JOIN k ON k.cell_id=c.cell_id AND k.d=dd.d),

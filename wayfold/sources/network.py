@@ -16,7 +16,7 @@ WEDNESDAY, DEST_X, DEST_Y = 3, 3000, 3000
 TRANSFER_M, ACCESS_M, PACE = 600, 1200, 0.75
 
 #: How many delay draws, and their numbers as rows.
-DRAWS = 5
+DRAWS = 24
 DRAW_IDS = " UNION ALL ".join(["SELECT CAST(0 AS BIGINT) AS d", *(f"SELECT {k}" for k in range(1, DRAWS))])
 
 #: Views over the driver's tables. {dow} is the engine's ISO weekday of an order's date.
