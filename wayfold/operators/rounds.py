@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def _path(spark: SparkSession, path: str):
+def path_of(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
@@ -30,7 +30,7 @@ def run_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not getattr(sc, "_wayfold_rounds", None):
         sc._wayfold_rounds = f"{shared_dir(spark)}/wayfold/rounds-{uuid.uuid4().hex}"
-        fs, p = _path(spark, sc._wayfold_rounds)
+        fs, p = path_of(spark, sc._wayfold_rounds)
         fs.mkdirs(p)
         fs.deleteOnExit(p)
     return sc._wayfold_rounds
@@ -47,6 +47,6 @@ def settle(df: DataFrame, tag: str = "round", instead: DataFrame | None = None)
     out = spark.read.schema(df.schema).parquet(path)
     out._wayfold_path = path
     if instead is not None and getattr(instead, "_wayfold_path", None):
-        fs, p = _path(spark, instead._wayfold_path)
+        fs, p = path_of(spark, instead._wayfold_path)
         fs.delete(p, True)
     return out

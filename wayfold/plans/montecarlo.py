@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from wayfold.operators import planned, reliability, search
 from wayfold.operators.rounds import settle
-from wayfold.plans.base import query
+from wayfold.plans.base import baked, query
 from wayfold.plans.journeys import DELAYED, chains, late_times
-from wayfold.plans.planned import BRANCHES, PLAN, PRIMARY, TEMPLATE, WINDOW, access, reached, templates, traced
-from wayfold.plans.search import DEADLINES, DEPARTURES, ROUNDS, purewalk, search_sql
+from wayfold.plans.planned import BRANCHES, PLAN, PRIMARY, TEMPLATE, WINDOW, access, primaries, reached, tails, templates, traced
+from wayfold.plans.search import DEADLINES, DEPARTURES, ROUNDS, search_sql
 from wayfold.sources.network import DRAWS
 
 TAIL_DEADLINES = search.grid(29400, 34800, 300)
@@ -48,10 +48,10 @@ class Plan:
     def __init__(self, n):
         self.n = n
         legs = traced(n, DEADLINES)[1]
-        self.tail = settle(planned.tails(legs, n.stop_time, n.egress, n.line), "tails")
+        self.tail = tails(n)
         arrived = reached(n)
         self.template = templates(n, arrived, self.tail)
-        self.primary = settle(planned.primary(access(n), self.template, purewalk(n)), "primary")
+        self.primary = primaries(n)
         self.first = settle(planned.first_rides(legs), "first-rides")
         self.arrived = arrived
         self.times = settle(late_times(n), "delayed")
@@ -86,27 +86,31 @@ class Plan:
 SHOWN = ("raw", "real", "frag", "p90", "spread", "stuck")
 
 
+def _plan(n) -> Plan:
+    return baked(n, ("montecarlo",), lambda: Plan(n))
+
+
 @query("m08_montecarlo", f"{CELL} SELECT cell_id, {', '.join(SHOWN)} FROM sm")
 def _(n):
-    return Plan(n).summary()[0].select("cell_id", *SHOWN)
+    return _plan(n).summary()[0].select("cell_id", *SHOWN)
 
 
 @query("m10_overlay", f"{CELL} SELECT cell_id, perfect AS served, greatest(p90-perfect,0) AS frag, stuck FROM sm")
 def _(n):
     """What is added to the served minute on a bad day: the committed p90 minus it."""
-    found, floors = Plan(n).summary()
+    found, floors = _plan(n).summary()
     return found.join(floors, "cell_id").select("cell_id", F.col("perfect").alias("served"), F.greatest(F.col("p90") - F.col("perfect"), F.lit(0)).alias("frag"), "stuck")
 
 
 @query("m05_replay_routes", f"{ROUTE} SELECT CAST(draw_id AS BIGINT) AS draw_id, cell_id, route, CAST(round(minutes,6) AS DOUBLE) AS minutes FROM sc")
 def _(n):
     """Every route of every cell, scored against the retained tails of the draws; no search is run for them."""
-    plan = Plan(n)
+    plan = _plan(n)
     return plan.replayed(plan.routes()[0], ("cell_id", "route")).select("draw_id", "cell_id", "route", F.round("minutes", 6).alias("minutes"))
 
 
 def typicals(n):
-    plan = Plan(n)
+    plan = _plan(n)
     commits, floors = plan.routes()
     return reliability.published(plan.replayed(commits, ("cell_id", "route")), floors, ["cell_id", "route"], DRAWS), floors
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wayfold.operators import assemble, journeys, planned, search, spatial
 from wayfold.operators.rounds import settle
-from wayfold.plans.base import query
+from wayfold.plans.base import baked, query
 from wayfold.plans.search import ARRIVAL, BY, DEADLINES, DEP_ROWS, DEPARTURES, PROFILE, PURE, ROUNDS, SEED_ALL, SEED_ONE, arrivals, profile, purewalk, search_sql
 
 VIA = "kind, to_stop, to_rd, to_layer, pattern_id, trip_id, bpos, apos, dep_s, arr_s"
@@ -76,12 +76,16 @@ BRANCHES = f"""{PROBES}, sb AS MATERIALIZED (SELECT p.stop_id, route, finish_s-p
 
 def traced(n, deadlines):
     """Labels and legs, both written: everything below reads them more than once."""
-    found, history = search.traced_search(n.stop_time, n.transfer, search.seed(n.egress, deadlines), rounds=ROUNDS)
-    return found, settle(search.trace(found, history, rounds=ROUNDS), "legs")
+
+    def build():
+        found, history = search.traced_search(n.stop_time, n.transfer, search.seed(n.egress, deadlines), rounds=ROUNDS)
+        return found, settle(search.trace(found, history, rounds=ROUNDS), "legs")
+
+    return baked(n, ("traced", *deadlines), build)
 
 
 def tails(n, deadlines=DEADLINES):
-    return settle(planned.tails(traced(n, deadlines)[1], n.stop_time, n.egress, n.line), "tails")
+    return baked(n, ("tails", *deadlines), lambda: settle(planned.tails(traced(n, deadlines)[1], n.stop_time, n.egress, n.line), "tails"))
 
 
 def access(n):
@@ -89,11 +93,11 @@ def access(n):
 
 
 def reached(n):
-    return settle(arrivals(n), "arrivals")
+    return baked(n, ("arrivals",), lambda: settle(arrivals(n), "arrivals"))
 
 
 def templates(n, arrived, tail):
-    return settle(planned.templates(assemble.stop_anchor(arrived, DEPARTURES), tail, DEPARTURES[0]), "templates")
+    return baked(n, ("templates",), lambda: settle(planned.templates(assemble.stop_anchor(arrived, DEPARTURES), tail, DEPARTURES[0]), "templates"))
 
 
 def longs(df, *columns):
@@ -133,23 +137,26 @@ def _(n):
 
 @query("r13_stop_templates", f"{PLAN}, {TEMPLATE} SELECT stop_id, CAST(board_s AS BIGINT) AS board_s, CAST(deadline_s AS BIGINT) AS deadline_s, reanchored, CAST(tail_s AS BIGINT) AS tail_s, CAST(walk_s AS BIGINT) AS walk_s, CAST(rides AS BIGINT) AS rides, route FROM tp")
 def _(n):
-    return longs(templates(n, arrivals(n), tails(n)), "stop_id", "board_s", "deadline_s", "reanchored", "tail_s", "walk_s", "rides", "route")
+    return longs(templates(n, reached(n), tails(n)), "stop_id", "board_s", "deadline_s", "reanchored", "tail_s", "walk_s", "rides", "route")
 
 
 @query("r12_primary_selection", f"{PLAN}, {TEMPLATE}, {PRIMARY} SELECT cell_id, CAST(raw_s AS BIGINT) AS raw_s, CAST(board_s AS BIGINT) AS board_s, stop_id FROM pv")
 def _(n):
-    return planned.primary(access(n), templates(n, arrivals(n), tails(n)), purewalk(n))
+    return primaries(n)
 
 
 @query("k15_probe_collapse", f"{PLAN}, {PROBES} SELECT stop_id, CAST(dep_s AS BIGINT) AS dep_s, CAST(deadline_s AS BIGINT) AS deadline_s, ok FROM pb")
 def _(n):
-    return planned.probes(arrivals(n), tails(n), DEPARTURES)
+    return planned.probes(reached(n), tails(n), DEPARTURES)
+
+
+def primaries(n):
+    return baked(n, ("primaries",), lambda: settle(planned.primary(access(n), templates(n, reached(n), tails(n)), purewalk(n)), "primary"))
 
 
 def branched(n):
     """Branches of every cell, its primary, and the tails they come from."""
-    arrived, tail = reached(n), tails(n)
-    base = settle(planned.primary(access(n), templates(n, arrived, tail), purewalk(n)), "primary")
+    arrived, tail, base = reached(n), tails(n), primaries(n)
     by_stop = settle(planned.stop_branches(planned.probes(arrived, tail, DEPARTURES), tail), "stop-branches")
     return planned.branches(access(n), by_stop, base, WINDOW), base
 
@@ -164,7 +171,7 @@ def _(n):
 
 @query("k16_coverage", f"{PLAN}, {TEMPLATE}, {PRIMARY} SELECT a.cell_id, a.stop_id FROM tn_access a JOIN tp ON tp.stop_id=a.stop_id JOIN pv ON pv.cell_id=a.cell_id WHERE ceil((tail_s+a.walk_s)/60.0)<=ceil(raw_s/60.0)+{WINDOW // 60} AND tail_s+a.walk_s<4500")
 def _(n):
-    template = templates(n, arrivals(n), tails(n))
+    template = templates(n, reached(n), tails(n))
     return planned.coverage(access(n), template, planned.primary(access(n), template, purewalk(n)), WINDOW)
 
 
@@ -192,11 +199,8 @@ def _(n):
 @query("n07_hydrated_alternatives", f"""{PLAN}, {TEMPLATE}, {PRIMARY}, {BRANCHES}, {ASSEMBLED}, gm AS (SELECT g.deadline_s, g.origin, string_agg(concat(l.line_name,' ',CAST(b.stop_id AS VARCHAR),'-',CAST(e.stop_id AS VARCHAR)), '; ' ORDER BY g.leg) AS rides FROM lg g JOIN tn_line l ON l.pattern_id=g.pattern_id
     JOIN tn_pattern_stop b ON b.pattern_id=g.pattern_id AND b.pos=g.bpos JOIN tn_pattern_stop e ON e.pattern_id=g.pattern_id AND e.pos=g.apos WHERE g.kind='ride' GROUP BY g.deadline_s, g.origin) SELECT cell_id, CAST(slot AS BIGINT) AS slot, route, rides FROM aa JOIN gm ON gm.deadline_s=aa.deadline_s AND gm.origin=aa.stop_id""")
 def _(n):
-    arrived = reached(n)
     legs = traced(n, DEADLINES)[1]
-    tail = settle(planned.tails(legs, n.stop_time, n.egress, n.line), "tails")
-    base = settle(planned.primary(access(n), templates(n, arrived, tail), purewalk(n)), "primary")
-    found = planned.branches(access(n), planned.stop_branches(planned.probes(arrived, tail, DEPARTURES), tail), base, WINDOW)
+    found, base = branched(n)
     kept = planned.alternatives(settle(found, "branches"), base)
     # geometry only of what was kept, once per stop and deadline
     need = kept.select("deadline_s", F.col("stop_id").alias("origin")).distinct()
@@ -259,7 +263,7 @@ def travelled(n):
     """Chains behind every label and the templates of every stop, written."""
     legs = traced(n, DEADLINES)[1]
     chain = settle(planned.chain_legs(legs, n.stop_time, n.egress), "chains")
-    return chain, templates(n, reached(n), settle(planned.tails(legs, n.stop_time, n.egress, n.line), "tails"))
+    return chain, templates(n, reached(n), tails(n))
 
 
 @query("k06_depart_after", f"{PLAN}, {TEMPLATE}, {PRIMARY}, {CHAIN}, ch AS (SELECT p.cell_id, p.stop_id, t.deadline_s, p.board_s, coalesce(a.walk_s, p.raw_s) AS access_s FROM pv p LEFT JOIN tp t ON t.stop_id=p.stop_id LEFT JOIN tn_access a ON a.cell_id=p.cell_id AND a.stop_id=p.stop_id), {FORWARD}")

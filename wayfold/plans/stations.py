@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wayfold.operators import transfers, walkgraph
 from wayfold.operators.rounds import settle
-from wayfold.plans.base import query
+from wayfold.plans.base import baked, query
 from wayfold.plans.journeys import edges
 from wayfold.plans.places import CAP, GRAPH, snapped, stop_paths
 
@@ -55,6 +55,10 @@ def _(n):
 
 def bake(n):
     """The transfers, and the walks and pathways behind them, written."""
+    return baked(n, ("transfers",), lambda: _bake(n))
+
+
+def _bake(n):
     paths, snaps = stop_paths(n)
     text = lambda c: F.col(c).cast("string")
     walks = walkgraph.to_targets(paths, snaps, CAP).where("root <> id").select(text("root").alias("from_id"), text("id").alias("to_id"), F.col("sec").alias("walk_s"))
