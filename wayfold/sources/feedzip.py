@@ -22,12 +22,14 @@ from __future__ import annotations
 import csv
 import io
 import os
+import sys
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -128,6 +130,7 @@ class FeedSource(DataSource):
 
 def read(spark: SparkSession, path: str, table: str, columns: list[str], faults: bool = False) -> DataFrame:
     """One table of all archives: the columns and _feed, with faults also _line and _fault."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package installed
     spark.dataSource.register(FeedSource)
     schema = ", ".join([*(f"{c} string" for c in columns), "_feed string", *(["_line long", "_fault string"] if faults else [])])
     return spark.read.format("feedzip").schema(schema).option("table", table).load(path)
