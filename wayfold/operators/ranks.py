@@ -35,7 +35,7 @@ def percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float])
     place = total.select(group, "n", asked).withColumn("x", (F.col("n") - 1) * F.col("q.p"))
     ends = place.select(group, "q.name", "x", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.floor("x").alias("k")), F.struct(F.lit("b").alias("side"), F.ceil("x").alias("k")))).alias("e")).select(group, "name", "x", "e.*")
     # a position k, from 0, holds the value whose counts reach beyond it
-    hit = upto.join(F.broadcast(ends), group).where((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("c") <= F.col("k")))  # two rows per share and group
+    hit = upto.join(ends, group).where((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("c") <= F.col("k")))  # two rows per share and group
     both = hit.groupBy(group, "name", "x").pivot("side", ["a", "b"]).agg(F.first(value))
     between = F.col("a") + (F.col("b") - F.col("a")) * (F.col("x") - F.floor("x"))
     return both.withColumn("v", between).groupBy(group).pivot("name", list(shares)).agg(F.first("v"))
