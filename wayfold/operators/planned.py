@@ -136,6 +136,35 @@ def line_alternatives(access: DataFrame, tail: DataFrame, window_min: int, cap_m
     return best.withColumn("lo", F.min("minutes").over(Window.partitionBy("cell_id"))).where(F.col("minutes") <= F.col("lo") + window_min).drop("lo")
 
 
+def planned_window(access: DataFrame, template: DataFrame, tail: DataFrame, base: DataFrame, window_min: int, cap_min: int = 75) -> DataFrame:
+    """(cell_id, route, minutes, stop_id): the routes of the stops in reach that lie within the window of the planned minute.
+
+    template: one validated plan of each stop (stop_id, deadline_s, tail_s). base: cell_id, raw_s. Routes are told apart by shape while the best stop of each is found;
+    of shapes with the same lines the quickest is shown, ties by shape.
+    """
+    plan = template.select("stop_id", "deadline_s", "tail_s").join(tail.where("rides > 0").select("stop_id", "deadline_s", "route", "shape"), ["stop_id", "deadline_s"])
+    rows = access.join(plan, "stop_id").join(base.select("cell_id", F.ceil(F.col("raw_s") / 60).cast("long").alias("base")), "cell_id")
+    rows = rows.withColumn("m", F.ceil((F.col("tail_s") + F.col("walk_to_s")) / 60).cast("long")).where((F.col("m") < cap_min) & (F.col("m") <= F.col("base") + window_min))
+    each = rows.groupBy("cell_id", "route", "shape").agg(F.min(F.struct("m", "stop_id")).alias("x"))
+    best = each.groupBy("cell_id", "route").agg(F.min(F.struct(F.col("x.m").alias("m"), "shape", F.col("x.stop_id").alias("stop_id"))).alias("y"))
+    return best.select("cell_id", "route", F.col("y.m").alias("minutes"), "y.stop_id")
+
+
+def committed_rides(legs: DataFrame, stop_time: DataFrame, egress: DataFrame) -> DataFrame:
+    """(deadline_s, stop_id, pattern_id, bpos, apos, folded_pattern, tiny): the first ride behind each label, and the first one of at least TINY_HOP_S.
+
+    tiny: the first ride is shorter than that, so a display that folds such hops into the walk commits to folded_pattern, or to none. A last ride lasts to where it is
+    left, as in tails().
+    """
+    chain = chain_legs(legs, stop_time, egress).where("kind = 'ride'")
+    drawn = legs.where("kind = 'ride'").select("deadline_s", F.col("origin").alias("stop_id"), "leg", "bpos", "apos")
+    rows = chain.select("deadline_s", "stop_id", "leg", "pattern_id", (F.col("arr_s") - F.col("dep_s") >= TINY_HOP_S).alias("whole")).join(drawn, ["deadline_s", "stop_id", "leg"])
+    ride = F.struct("leg", "pattern_id", "bpos", "apos")
+    first = rows.groupBy("deadline_s", "stop_id").agg(F.min(ride).alias("f"), F.min(F.when(F.col("whole"), ride)).alias("w"))
+    tiny = F.col("w").isNull() | (F.col("w.leg") != F.col("f.leg"))
+    return first.select("deadline_s", "stop_id", "f.pattern_id", "f.bpos", "f.apos", F.col("w.pattern_id").alias("folded_pattern"), tiny.alias("tiny"))
+
+
 def ride_geometry(legs: DataFrame, pattern_stop: DataFrame, stop: DataFrame, line: DataFrame) -> DataFrame:
     """(deadline_s, origin, leg, line_name, board, alight, toward, points): facts and drawn points of every ride.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.operators.rounds import settle
 from wayfold.operators.search import first_at_or_after
 
 CAP_MIN = 75
@@ -37,12 +38,33 @@ def next_committed(commits: DataFrame, times: DataFrame, ids: tuple[str, ...] =
     return first.join(alight, ["draw_id", "pattern_id", "trip_id", "apos"]).select("draw_id", *ids, "home_s", "stop_id", "arr_s")
 
 
-def scored(arrived: DataFrame, profile: DataFrame, slack: int = 60, cap: int = CAP_MIN, ids: tuple[str, ...] = ("cell_id",)) -> DataFrame:
-    """(draw_id, ids, minutes): the first deadline that the alighting still meets, as minutes from home; the cap if none."""
+def met(arrived: DataFrame, profile: DataFrame, slack: int = 60, ids: tuple[str, ...] = ("cell_id",)) -> DataFrame:
+    """(draw_id, ids, home_s, t): the first deadline that the alighting still meets, null if none."""
     asked = arrived.select("draw_id", "stop_id", *ids, "home_s", (F.col("arr_s") + slack).alias("ready_s"))
-    hit = first_at_or_after(asked, profile.select("draw_id", "stop_id", "latest_s", F.col("deadline_s").alias("t")), ["draw_id", "stop_id"], "ready_s", "latest_s", "t")
+    return first_at_or_after(asked, profile.select("draw_id", "stop_id", "latest_s", F.col("deadline_s").alias("t")), ["draw_id", "stop_id"], "ready_s", "latest_s", "t")
+
+
+def _from_home(cap: int):
     minutes = F.least(F.greatest((F.col("t") - F.col("home_s")) / 60.0, F.lit(0.0)), F.lit(float(cap)))
-    return hit.select("draw_id", *ids, F.coalesce(minutes, F.lit(float(cap))).alias("minutes"))
+    return F.coalesce(minutes, F.lit(float(cap))).alias("minutes")
+
+
+def scored(arrived: DataFrame, profile: DataFrame, slack: int = 60, cap: int = CAP_MIN, ids: tuple[str, ...] = ("cell_id",)) -> DataFrame:
+    """(draw_id, ids, minutes): the first deadline that the alighting still meets, as minutes from home; the cap if none."""
+    return met(arrived, profile, slack, ids).select("draw_id", *ids, _from_home(cap))
+
+
+def replayed_once(commits: DataFrame, times: DataFrame, profile: DataFrame, ids: tuple[str, ...], slack: int = 60, cap: int = CAP_MIN) -> DataFrame:
+    """scored() of next_committed(), with as few replays as there are different plans.
+
+    What follows a commitment depends on its ride and on when one is at the stop, not on who goes there: cells that share both share one replay per draw, and only
+    their own minutes differ.
+    """
+    plan = ("pattern_id", "bpos", "apos", "ready_s")
+    asked = commits.select(*ids, "home_s", "pattern_id", "bpos", "apos", (F.col("home_s") + F.col("walk_s")).alias("ready_s"))
+    once = asked.select(F.struct(*plan).alias("plan"), F.lit(0).cast("long").alias("home_s"), F.col("ready_s").alias("walk_s"), "pattern_id", "bpos", "apos").distinct()
+    ends = settle(met(next_committed(once, times, ("plan",)), profile, slack, ("plan",)).select("draw_id", "plan.*", "t"), "plan-ends")
+    return asked.join(ends, list(plan)).select("draw_id", *ids, _from_home(cap))
 
 
 def published(minutes: DataFrame, floors: DataFrame, ids: list[str], draws: int, cap: int = CAP_MIN) -> DataFrame:
