@@ -80,7 +80,7 @@ def _x(sql: str) -> str:
 _SHAPE_COMMITS = "SELECT cell_id, shape, board_s-walk_to_s AS home_s, walk_to_s+foot_s AS walk_s, pattern_id, bpos, CAST(regexp_extract(seg,'-([0-9]+)$',1) AS BIGINT) AS apos FROM cl"
 _FRAG = f"""{score_sql(_SHAPE_COMMITS, 'cell_id, shape')}, {published_sql('SELECT cell_id, shape, CAST(ceil(total_s/60.0) AS BIGINT) AS perfect FROM cl', 'cell_id, shape')}, fg AS MATERIALIZED (SELECT cell_id, shape, real, greatest(p90-perfect,0) AS frag FROM sm)"""
 _ORDER = "b.walk_s<=a.walk_s", "b.walk_s<a.walk_s"
-RELIABLE = f"{MC}, {_x(CLOSURE)}, {_FRAG}, " + PRUNED.replace(OPTIONS, OPTIONS.replace("0 AS frag_min FROM oq", "coalesce(fg.frag,0) AS frag_min, coalesce(fg.real,CAST(ceil(total_s/60.0) AS BIGINT)) AS real FROM oq LEFT JOIN fg USING (cell_id, shape)")).replace(_ORDER[0], f"{_ORDER[0]} AND b.frag_min<=a.frag_min").replace(_ORDER[1], f"{_ORDER[1]} OR b.frag_min<a.frag_min")
+RELIABLE = f"{MC}, {_x(CLOSURE)}, {_FRAG}, " + PRUNED.replace(OPTIONS, OPTIONS.replace("SELECT *, CAST(ceil(total_s/60.0) AS BIGINT) AS minutes, 0 AS frag_min FROM oq", "SELECT oq.*, CAST(ceil(total_s/60.0) AS BIGINT) AS minutes, coalesce(fg.frag,0) AS frag_min, coalesce(fg.real,CAST(ceil(total_s/60.0) AS BIGINT)) AS real FROM oq LEFT JOIN fg USING (cell_id, shape)")).replace(_ORDER[0], f"{_ORDER[0]} AND b.frag_min<=a.frag_min").replace(_ORDER[1], f"{_ORDER[1]} OR b.frag_min<a.frag_min")
 
 
 def reliable(n):
@@ -118,3 +118,14 @@ def alternatives(n):
 def _(n):
     """Alternatives ranked, pruned and chosen with their own fragility, each joined to its draws by its shape, never by position."""
     return alternatives(n).select(*ALTERNATIVE)
+
+
+_RANK = "walk_s, transfers, frag_min, total_s, dep_neg, shape"
+
+
+@query("n09_recommended_choices", f"""{RELIABLE}, {selected_sql(6, False)}, nr AS (SELECT * FROM up WHERE main UNION ALL SELECT u.* FROM up u JOIN tz USING (cell_id, shape)),
+    nk AS (SELECT *, concat('choice:{{{{"direction":"',CASE WHEN hx IS NULL THEN '' ELSE concat('h',CAST(round_even(round(CASE WHEN atan2(hx,hy)<0 THEN atan2(hx,hy)+2*pi() ELSE atan2(hx,hy) END/(pi()/4),9),0) AS BIGINT)%8) END,'","lines":[',CASE WHEN seg IS NULL THEN '' ELSE concat('"',replace(route,' > ','","'),'"') END,'],"branch":"',branch,'"}}}}') AS choice_key FROM nr)
+    SELECT cell_id, arg_min(choice_key, shape) FILTER (main) AS map_choice_key, max(r) AS typical_choice_key, max(b) AS scheduled_choice_key FROM (SELECT *, first_value(choice_key) OVER (PARTITION BY cell_id ORDER BY minutes+frag_min, {_RANK}) AS r, first_value(choice_key) OVER (PARTITION BY cell_id ORDER BY minutes, {_RANK}) AS b FROM nk) q GROUP BY cell_id""".replace("{{", "{").replace("}}", "}"))
+def _(n):
+    """What a cell's list recommends, by public key: the choice on the map, and the practical one if delays count and if they don't."""
+    return selection.recommended(alternatives(n))
