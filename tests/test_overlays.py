@@ -114,3 +114,15 @@ def test_options_take_fragility(spark):
     base = spark.createDataFrame([(1, 600, 7)], "cell_id long, raw_s long, stop_id long")
     frag = spark.createDataFrame([(1, "b", 4)], "cell_id long, shape string, frag long")
     assert {(r.shape, r.frag_min) for r in selection.options(branch, base, frag).collect()} == {("a", 0), ("b", 4)}
+
+
+def test_branches_by_a_deadline(spark):
+    tail = "stop_id long, v long, rides long, route string, shape string, pattern_id long, trip_id long, bpos long, ride_dep_s long, seg string, last_seg string, foot_s long, hop_s long, out_s long, ride_s long"
+    label = lambda stop, v, shape, rides=1: (stop, v, rides, "L", shape, 1, 1, 0, v, shape, shape, 0, 0, 60, 300)
+    tails = spark.createDataFrame([label(7, 8400, "1:0-2"), label(8, 8340, "1:0-2"), label(9, 7800, "2:0-2"), label(6, 9000, "", 0), label(5, 8100, "3:0-2", 2)], tail)
+    access = spark.createDataFrame([(1, 7, 60), (1, 8, 0), (1, 9, 0), (1, 6, 0), (1, 5, 0), (2, 7, 0)], "cell_id long, stop_id long, walk_to_s long")
+    afoot = spark.createDataFrame([(1, 700), (2, 500), (3, 900)], "cell_id long, walk_only_s long")
+    found, base = planned.branches_by(access, tails, afoot, 9000, 5)
+    # equal seconds: the shorter walk; stop 9 is ten minutes slower; a label without a ride is no branch; walking wins for cells 2 and 3
+    assert {(r.cell_id, r.shape, r.stop_id, r.total_s, r.transfers) for r in found.collect()} == {(1, "1:0-2", 8, 660, 0), (1, "3:0-2", 5, 900, 1), (2, "1:0-2", 7, 600, 0)}
+    assert {(r.cell_id, r.raw_s, r.stop_id) for r in base.collect()} == {(1, 660, 8), (2, 500, None), (3, 900, None)}

@@ -136,6 +136,25 @@ def line_alternatives(access: DataFrame, tail: DataFrame, window_min: int, cap_m
     return best.withColumn("lo", F.min("minutes").over(Window.partitionBy("cell_id"))).where(F.col("minutes") <= F.col("lo") + window_min).drop("lo")
 
 
+def branches_by(access: DataFrame, tail: DataFrame, purewalk: DataFrame, deadline: int, window_min: int, cap_min: int = 75) -> tuple[DataFrame, DataFrame]:
+    """Branches of arriving by one deadline, and the primary of every cell (cell_id, raw_s, stop_id; no stop where walking is quicker).
+
+    tail: tails() of that deadline. A branch is (cell_id, shape, route, seg, last_seg, total_s, access_s, transfers, hop_s, out_s, ride_s, dep_s) and how it is begun
+    (stop_id, board_s, foot_s, walk_to_s, pattern_id, bpos): the best of its shape, by seconds, then walk before boarding, then stop, within the window of the primary's minute.
+    """
+    own = access.join(tail.where("rides > 0").withColumnRenamed("v", "board_s"), "stop_id").withColumn("total_s", F.lit(deadline) - F.col("board_s") + F.col("walk_to_s"))
+    own = own.withColumn("access_s", F.col("walk_to_s") + F.col("foot_s"))
+    key = F.struct("total_s", "access_s", "stop_id", "route", "seg", "last_seg", (F.col("rides") - 1).alias("transfers"), "hop_s", "out_s", "ride_s", F.col("ride_dep_s").alias("dep_s"), "board_s", "foot_s", "walk_to_s", "pattern_id", "bpos")
+    each = own.groupBy("cell_id", "shape").agg(F.min(key).alias("x")).select("cell_id", "shape", "x.*")
+    ride = each.groupBy("cell_id").agg(F.min(F.struct("total_s", "access_s", "stop_id")).alias("y"))
+    both = ride.join(purewalk, "cell_id", "full_outer")
+    walks = F.col("walk_only_s").isNotNull() & (F.col("y.total_s").isNull() | (F.col("walk_only_s") < F.col("y.total_s")))
+    base = both.select("cell_id", F.when(walks, F.col("walk_only_s")).otherwise(F.col("y.total_s")).alias("raw_s"), F.when(~walks, F.col("y.stop_id")).alias("stop_id"))
+    minute = F.ceil(F.col("total_s") / 60)
+    found = each.join(base.select("cell_id", F.ceil(F.col("raw_s") / 60).alias("lo")), "cell_id").where((minute < cap_min) & (minute <= F.col("lo") + window_min)).drop("lo")
+    return found, base
+
+
 def planned_window(access: DataFrame, template: DataFrame, tail: DataFrame, base: DataFrame, window_min: int, cap_min: int = 75) -> DataFrame:
     """(cell_id, route, minutes, stop_id): the routes of the stops in reach that lie within the window of the planned minute.
 

@@ -90,13 +90,23 @@ def reliable(n):
 
 def _reliable(n):
     rows, base = closed(n)
+    frag = fragility(n, rows, lambda _: F.greatest(F.col("p90") - F.col("perfect"), F.lit(0)))
+    return counted(n, rows, base, frag)
+
+
+def fragility(n, rows, added):
+    """(cell_id, shape, real, frag) of branches, written: what their own draws say of each, joined by shape, never by position."""
     plan = _plan(n)
     apos = F.regexp_extract("seg", "-([0-9]+)$", 1).cast("long")
     commits = rows.select("cell_id", "shape", (F.col("board_s") - F.col("walk_to_s")).alias("home_s"), (F.col("walk_to_s") + F.col("foot_s")).alias("walk_s"), "pattern_id", "bpos", apos.alias("apos"))
     floors = rows.select("cell_id", "shape", F.ceil(F.col("total_s") / 60).cast("long").alias("perfect"))
     minutes = reliability.replayed_once(commits, plan.times, plan.retained, ("cell_id", "shape"))
     shown = reliability.published(minutes, floors, ["cell_id", "shape"], DRAWS).join(floors, ["cell_id", "shape"])
-    frag = settle(shown.select("cell_id", "shape", "real", F.greatest(F.col("p90") - F.col("perfect"), F.lit(0)).cast("long").alias("frag")), "fragility")
+    return settle(shown.select("cell_id", "shape", "real", added(shown).cast("long").alias("frag")), "fragility")
+
+
+def counted(n, rows, base, frag):
+    """Described options with frag_min and real, pruned; written."""
     options = selection.described(selection.options(rows, base, frag), n.pattern_stop, n.stop, n.line)
     options = options.join(frag.select("cell_id", "shape", "real"), ["cell_id", "shape"], "left").withColumn("real", F.coalesce("real", "minutes"))
     return settle(selection.pruned(settle(options, "options-frag")), "reliable")
@@ -107,9 +117,8 @@ _SLOTS = "SELECT cell_id, {slot} AS slot, shape, route, family, branch, minutes,
 _ALTS = f"{_SLOTS.format(slot='CAST(0 AS BIGINT)')} FROM up WHERE main UNION ALL {_SLOTS.format(slot='slot')} FROM tz"
 
 
-def alternatives(n):
+def alternatives(rows):
     """The primary, slot 0, and up to six alternatives of every cell."""
-    rows = reliable(n)
     slots = selection.select(rows, 6).unionByName(rows.where("primary").select("cell_id", "shape", F.lit(0).cast("long").alias("slot")))
     return slots.join(rows, ["cell_id", "shape"])
 
@@ -117,7 +126,7 @@ def alternatives(n):
 @query("n10_reliable_alternatives", f"{RELIABLE}, {selected_sql(6, False)} {_ALTS}")
 def _(n):
     """Alternatives ranked, pruned and chosen with their own fragility, each joined to its draws by its shape, never by position."""
-    return alternatives(n).select(*ALTERNATIVE)
+    return alternatives(reliable(n)).select(*ALTERNATIVE)
 
 
 _RANK = "walk_s, transfers, frag_min, total_s, dep_neg, shape"
@@ -128,4 +137,21 @@ _RANK = "walk_s, transfers, frag_min, total_s, dep_neg, shape"
     SELECT cell_id, arg_min(choice_key, shape) FILTER (main) AS map_choice_key, max(r) AS typical_choice_key, max(b) AS scheduled_choice_key FROM (SELECT *, first_value(choice_key) OVER (PARTITION BY cell_id ORDER BY minutes+frag_min, {_RANK}) AS r, first_value(choice_key) OVER (PARTITION BY cell_id ORDER BY minutes, {_RANK}) AS b FROM nk) q GROUP BY cell_id""".replace("{{", "{").replace("}}", "}"))
 def _(n):
     """What a cell's list recommends, by public key: the choice on the map, and the practical one if delays count and if they don't."""
-    return selection.recommended(alternatives(n))
+    return selection.recommended(alternatives(reliable(n)))
+
+
+BY_WINDOW_MIN = 5
+_BY_CLOSED = f"""by0 AS MATERIALIZED (SELECT a.cell_id, shape, route, seg, last_seg, {BY}-v+a.walk_s AS total_s, a.walk_s+foot_s AS access_s, rides-1 AS transfers, hop_s, out_s, ride_s, ride_dep_s AS dep_s, a.stop_id, v AS board_s, foot_s, a.walk_s AS walk_to_s, pattern_id, bpos FROM tn_access a JOIN ta ON ta.stop_id=a.stop_id AND ta.deadline_s={BY} WHERE rides>0
+        QUALIFY row_number() OVER (PARTITION BY a.cell_id, shape ORDER BY {BY}-v+a.walk_s, a.walk_s+foot_s, a.stop_id)=1), by1 AS (SELECT * FROM by0 QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY total_s, access_s, stop_id)=1),
+    pz AS MATERIALIZED (SELECT cell_id, CASE WHEN w THEN walk_only_s ELSE total_s END AS raw_s, CASE WHEN NOT w THEN stop_id END AS stop_id FROM (SELECT coalesce(b.cell_id, p.cell_id) AS cell_id, total_s, stop_id, walk_only_s, walk_only_s IS NOT NULL AND (total_s IS NULL OR walk_only_s<total_s) AS w FROM by1 b FULL JOIN pw p ON p.cell_id=b.cell_id) q),
+    cl AS MATERIALIZED (SELECT b.* FROM by0 b JOIN pz ON pz.cell_id=b.cell_id WHERE ceil(total_s/60.0)<75 AND ceil(total_s/60.0)<=ceil(raw_s/60.0)+{BY_WINDOW_MIN})"""
+RELIABLE_BY = RELIABLE.replace(_x(CLOSURE), _BY_CLOSED).replace("FROM pv WHERE stop_id IS NULL", "FROM pz WHERE stop_id IS NULL").replace("real, greatest(p90-perfect,0) AS frag FROM sm", "real, frag FROM sm")
+
+
+@query("n10_arrive_by_alternatives", f"{RELIABLE_BY}, {selected_sql(6, False)} {_ALTS}")
+def _(n):
+    """The same for arriving by the deadline: branches within five minutes of the primary; a bad day adds what lies between the median of a branch and its ninth decile."""
+    tail = tails(n).where(F.col("deadline_s") == BY).drop("deadline_s")
+    rows, base = planned.branches_by(access(n), tail, purewalk(n), BY, BY_WINDOW_MIN)
+    rows, base = settle(rows, "branches-by"), settle(base, "primary-by")
+    return alternatives(counted(n, rows, base, fragility(n, rows, lambda _: F.col("frag")))).select(*ALTERNATIVE)
