@@ -739,6 +739,29 @@ def test_language_by_joins_equals_by_arrays(spark, docs, odd):
     assert sorted(map(str, map(key, langid.identify(own, small).collect()))) == sorted(map(str, map(key, langid.identify(own, large).collect())))
 
 
+def test_language_calibrates_on_every_learning_row(spark):
+    prepare(spark)
+    rng = random.Random(9)
+    alike = {"x": "aaabbcdef  ", "y": "abbbccdef  "}  # so that languages are mistaken for each other
+    made = [(k, "".join(rng.choices(alike[lang], k=rng.randrange(3, 40))), lang) for k, lang in enumerate(rng.choices("xy", k=4000))]
+    made += [(4000 + k, "q" * k + "z#w", "x") for k in range(30)] + [(4100, None, "x"), (4101, "#1", "y"), (4102, None, "w")]
+    model = langid.learn(spark.createDataFrame(made, "doc_id long, text string, lang string"))
+    seen = [(text, lang) for k, text, lang in made if zlib.crc32(str(k).encode()) % 5 and any(map(str.isalpha, text or ""))]
+    own = np.array([model.langs.index(lang) for _, lang in seen])
+    total, n, _ = model.arrays.sums([text for text, _ in seen])
+    nats = -total / (langid.UNIT * n[:, None])
+    best = nats[np.arange(len(own)), own]
+    assert model.langs == ["x", "y"] and len(seen) > 3000 and model.limit == pytest.approx(np.quantile(best, langid.REJECT) * 1.05, rel=1e-12)
+    losses = [np.mean(np.log(np.exp(-(nats - best[:, None]) * s).sum(1))) for s in langid.SHARPNESS]
+    assert model.sharpness == langid.SHARPNESS[int(np.argmin(losses))]
+
+
+def test_language_scored_once_equals_scored_twice(docs, odd):
+    own = docs.select("doc_id", "text", "lang").union(odd.select("doc_id", "text", "lang"))
+    twice = sorted(map(str, langid.identify(own, langid.learn(own)).collect()))
+    assert sorted(map(str, langid.classify(own).collect())) == sorted(map(str, langid.classify(own, model_mb=0).collect())) == twice
+
+
 def test_language_without_letters(spark, docs):
     rows = spark.createDataFrame([(1, "\U0001f600\U0001f680"), (2, "\U0001d7ce\U0001d7cf 123"), (3, "..."), (4, "\U00010400"), (5, "\u4e2d")], "doc_id long, text string")
     got = {r.doc_id: r.lang_pred for r in langid.identify(rows, langid.learn(docs)).collect()}

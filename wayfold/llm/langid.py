@@ -11,9 +11,10 @@ name.
 While the tables take at most `model_mb`, tasks get them as sorted hash arrays. Beyond that nothing is sent around: the texts' own
 n-grams are joined to the tables, order by order. Both give the same sums.
 
-Rejection is calibrated on learning documents, about `calibration_rows` picked by hash (a documented bound): `rejected` marks
-texts whose best cross-entropy is above the `reject` quantile that such documents have in their own language. `score` is the
-winner's posterior at a calibrated sharpness.
+Rejection and sharpness are calibrated on all documents of the learning folds that have a language and a letter: `rejected`
+marks texts whose best cross-entropy is above the REJECT quantile (exact, by running counts) that such documents have in their
+own language, with a twentieth added. `score` is the winner's posterior at the SHARPNESS with the least log loss over them. Where
+the texts to name are those that the model is learned from, `classify` scores each once, for both.
 
 Texts are read in windows of BLOCK characters that carry the last three on, so memory doesn't grow with a text.
 Defined cases: a null text or one without letters is `und` with score 0; without learning rows everything is `und`;
@@ -31,13 +32,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import crc_remainder, loose_id, materialize, solid_id
+from wayfold.llm.common import crc_remainder, loose_id, materialize, solid_id, with_running
 
 ORDER = 4
 FOLDS = 5
 MODEL_MB = 48
-CALIBRATION_ROWS = 2_000
 REJECT = 0.999
+SHARPNESS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 DISCOUNT = 0.75
 UNIT = 65536.0
 SALTS = 8
@@ -262,9 +263,14 @@ def fetched(model: Tables) -> Arrays:
     return Arrays([level(g) for g in model.grams], [level(b) for b in model.backs], np.array(model.floor, np.int32))
 
 
-def learn(docs: DataFrame, model_mb: float = MODEL_MB, calibration_rows: int = CALIBRATION_ROWS) -> Tables | None:
-    """The model from all documents of the learning folds (crc32 of the id, mod 5, is not 0) that have a language."""
-    train = docs.select("doc_id", "text", "lang").where((crc_remainder(F.col("doc_id"), FOLDS) != 0) & F.col("lang").isNotNull())
+def is_learning() -> Column:
+    """Whether a row belongs to the learning folds (crc32 of the id, mod 5, is not 0) and has a language."""
+    return (crc_remainder(F.col("doc_id"), FOLDS) != 0) & F.col("lang").isNotNull()
+
+
+def uncalibrated(docs: DataFrame, model_mb: float = MODEL_MB) -> Tables | None:
+    """The model, not yet calibrated, from all documents of the learning folds that have a language."""
+    train = docs.where(is_learning()).select("text", "lang")
     counts = materialize(count_ngrams(train), "langid-ngrams")
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     if not langs:
@@ -273,54 +279,75 @@ def learn(docs: DataFrame, model_mb: float = MODEL_MB, calibration_rows: int = C
     rows = reduce(DataFrame.union, (df.select(F.lit(1)) for df in (*model.grams, *model.backs))).count()
     if rows * (8 + 4 * len(langs)) <= model_mb * (1 << 20):
         model.arrays = fetched(model)
-    share = min(1.0, calibration_rows / max(train.count(), 1))
-    seen = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < round(share * 1_000_000))
-    found = summed(seen.select(F.col("lang").alias("doc_id"), "text"), model, id_type="string").where("letters").select("doc_id", "total", "n").toPandas()
-    if len(found):
-        nats = -np.stack(found["total"].to_numpy()) / (UNIT * found["n"].to_numpy()[:, None])
-        own = np.searchsorted(langs, found["doc_id"])
-        best = nats[np.arange(len(own)), own]
-        model.limit = float(np.quantile(best, REJECT)) * 1.05
-        grid = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
-        losses = []
-        for s in grid:
-            z = -nats * s
-            z -= z.max(1, keepdims=True)
-            losses.append(-(z[np.arange(len(own)), own] - np.log(np.exp(z).sum(1))).mean())
-        model.sharpness = grid[int(np.argmin(losses))]
     return model
 
 
-def summed(docs: DataFrame, model: Tables, id_type: str = "long") -> DataFrame:
-    """(doc_id, total array<long> by language, n, letters) for every row of (doc_id, text)."""
+def numbered(docs: DataFrame, langs: list[str]) -> DataFrame:
+    """(doc_id, text, own): own is the language's number for learning rows, which calibrate, else -1; scores don't see it."""
+    number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1
+    return docs.select(solid_id(F.col("doc_id")).alias("doc_id"), "text", F.when(is_learning(), number).otherwise(-1).alias("own"))
+
+
+def calibrate(model: Tables, found: DataFrame) -> None:
+    """Set sharpness and limit from all learning rows with a letter among those of `summed`."""
+    seen = found.where("own >= 0 and letters").withColumn("top", F.array_max("total"))
+    own = F.get("total", F.col("own"))
+
+    def loss(sharp: float) -> Column:
+        z = lambda t: (t - F.col("top")) / (F.lit(UNIT) * F.col("n")) * F.lit(sharp)
+        return F.log(F.aggregate("total", F.lit(0.0), lambda a, t: a + F.exp(z(t)))) - z(own)
+
+    # decimals, so that the sums don't depend on the order of rows
+    sums = seen.agg(F.count(F.lit(1)).alias("rows"), *(F.sum(loss(x).cast("decimal(28,18)")).alias(f"s{k}") for k, x in enumerate(SHARPNESS))).first()
+    if not sums["rows"]:
+        return
+    model.sharpness = SHARPNESS[min(range(len(SHARPNESS)), key=lambda k: sums[f"s{k}"])]
+    nats = seen.groupBy((own / (-UNIT * F.col("n"))).alias("nats")).agg(F.count(F.lit(1)).alias("c"))
+    upto = with_running(nats, [F.col("nats")], {"upto": F.col("c")}, "langid-nats")
+    place = REJECT * (sums["rows"] - 1)
+    low = int(place)
+    at = upto.agg(*(F.min(F.when(F.col("upto") > k, F.col("nats"))).alias(a) for a, k in (("low", low), ("high", min(low + 1, sums["rows"] - 1))))).first()
+    model.limit = (at["low"] + (place - low) * (at["high"] - at["low"])) * 1.05
+
+
+def learn(docs: DataFrame, model_mb: float = MODEL_MB) -> Tables | None:
+    """The calibrated model from all documents of the learning folds that have a language."""
+    model = uncalibrated(docs, model_mb)
+    if model is not None:
+        calibrate(model, materialize(summed(numbered(docs, model.langs).where("own >= 0"), model), "langid-totals"))
+    return model
+
+
+def summed(docs: DataFrame, model: Tables) -> DataFrame:
+    """(doc_id, own, total array<long> by language, n, letters) for every row of (doc_id, text, own)."""
     if model.arrays is None:
-        return _joined(docs, model, id_type)
+        return _joined(docs, model)
     shared = docs.sparkSession.sparkContext.broadcast(model.arrays)  # at most model_mb
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         arrays = shared.value
         for part in parts:
             total, n, letters = arrays.sums(part["text"].fillna("").tolist())
-            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "total": list(total), "n": n, "letters": letters})
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "own": part["own"].to_numpy(), "total": list(total), "n": n, "letters": letters})
 
-    return docs.mapInPandas(run, f"doc_id {id_type}, total array<long>, n long, letters boolean")
+    return docs.mapInPandas(run, "doc_id long, own int, total array<long>, n long, letters boolean")
 
 
-def _joined(docs: DataFrame, model: Tables, id_type: str) -> DataFrame:
+def _joined(docs: DataFrame, model: Tables) -> DataFrame:
     """The same by joins: the n-grams of each text meet the tables of the highest order, what is left those of the next."""
     width = len(model.langs)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             ids = part["rid"].to_numpy()
-            names = part["doc_id"].to_numpy()
-            yield pd.DataFrame({"rid": ids, "doc_id": names, "gram": 0, "c": 0, "letter": False})  # a row even for an empty text
+            names, langs = part["doc_id"].to_numpy(), part["own"].to_numpy()
+            yield pd.DataFrame({"rid": ids, "doc_id": names, "own": langs, "gram": 0, "c": 0, "letter": False})  # a row even for an empty text
             for keys, owner in key_blocks(part["text"].fillna("").tolist()):
                 for at in np.unique(owner):
-                    own, c = np.unique(keys[np.searchsorted(owner, at) : np.searchsorted(owner, at, "right")], return_counts=True)
-                    yield pd.DataFrame({"rid": ids[at], "doc_id": names[at], "gram": own.view(np.int64), "c": c, "letter": (own & np.uint64(0xFFFF)) > 0})
+                    grams, c = np.unique(keys[np.searchsorted(owner, at) : np.searchsorted(owner, at, "right")], return_counts=True)
+                    yield pd.DataFrame({"rid": ids[at], "doc_id": names[at], "own": langs[at], "gram": grams.view(np.int64), "c": c, "letter": (grams & np.uint64(0xFFFF)) > 0})
 
-    rows = docs.withColumn("rid", F.monotonically_increasing_id()).mapInPandas(run, f"rid long, doc_id {id_type}, gram long, c long, letter boolean")
+    rows = docs.withColumn("rid", F.monotonically_increasing_id()).mapInPandas(run, "rid long, doc_id long, own int, gram long, c long, letter boolean")
     rows = materialize(rows, "langid-texts")
     left = rows.where("c > 0").select("rid", "gram", "c")
     given = []
@@ -336,26 +363,40 @@ def _joined(docs: DataFrame, model: Tables, id_type: str) -> DataFrame:
     given.append(left.select("rid", "c", F.array(*map(F.lit, model.floor)).alias("v")))
     every = reduce(DataFrame.union, given)
     total = every.groupBy("rid").agg(*(F.sum(F.col("c") * F.get("v", F.lit(i))).alias(f"t{i}") for i in range(width)))
-    own = rows.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.sum("c").alias("n"), F.bool_or("letter").alias("letters"))
+    texts = rows.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("own").alias("own"), F.sum("c").alias("n"), F.bool_or("letter").alias("letters"))
     none = F.lit(0).cast("long")
-    both = own.join(total, "rid", "left")
-    return both.select("doc_id", F.array(*(F.coalesce(f"t{i}", none) for i in range(width))).alias("total"), "n", "letters")
+    both = texts.join(total, "rid", "left")
+    return both.select("doc_id", "own", F.array(*(F.coalesce(f"t{i}", none) for i in range(width))).alias("total"), "n", "letters")
 
 
 def identify(docs: DataFrame, model: Tables | None) -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy and rejected for every row."""
-    rows = docs.select(solid_id(F.col("doc_id")).alias("doc_id"), "text")
-    none = F.lit(None).cast("double")
+    rows = docs.select(solid_id(F.col("doc_id")).alias("doc_id"), "text", F.lit(-1).alias("own"))
     if model is None:
+        none = F.lit(None).cast("double")
         return rows.select(loose_id(F.col("doc_id")).alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), none.alias("cross_entropy"), F.lit(True).alias("rejected"))
-    found = summed(rows, model)
+    return named(summed(rows, model), model)
+
+
+def classify(docs: DataFrame, model_mb: float = MODEL_MB) -> DataFrame:
+    """identify by what learn makes of the same documents; each text is scored once, to calibrate and to be named."""
+    model = uncalibrated(docs, model_mb)
+    if model is None:
+        return identify(docs, None)
+    found = materialize(summed(numbered(docs, model.langs), model), "langid-totals")
+    calibrate(model, found)
+    return named(found, model)
+
+
+def named(found: DataFrame, model: Tables) -> DataFrame:
+    """The columns of identify from those of summed."""
     top = F.array_max("total")
     nats = F.col("top") / (-UNIT * F.col("n"))
     spread = F.aggregate("total", F.lit(0.0), lambda a, t: a + F.exp((t - F.col("top")) / (F.lit(UNIT) * F.col("n")) * F.lit(model.sharpness)))
-    named = F.element_at(F.array(*map(F.lit, model.langs)), F.array_position("total", F.col("top")).cast("int"))
+    lang = F.element_at(F.array(*map(F.lit, model.langs)), F.array_position("total", F.col("top")).cast("int"))
     out = found.withColumn("top", top)
     return out.select(
-        loose_id(F.col("doc_id")).alias("doc_id"), F.when(F.col("letters"), named).otherwise("und").alias("lang_pred"),
+        loose_id(F.col("doc_id")).alias("doc_id"), F.when(F.col("letters"), lang).otherwise("und").alias("lang_pred"),
         F.when(F.col("letters"), F.round(1 / spread, 9)).otherwise(0.0).alias("score"), F.when(F.col("letters"), nats).alias("cross_entropy"),
         (~F.col("letters") | (nats > F.lit(model.limit))).alias("rejected"),
     )

@@ -55,8 +55,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    docs = table(spark, sf_dir, "documents")
-    out = langid.identify(docs, langid.learn(docs))
+    out = langid.classify(table(spark, sf_dir, "documents"))
     return out.select("doc_id", (crc_remainder(F.col("doc_id"), langid.FOLDS) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
