@@ -12,6 +12,10 @@ SOURCE = "/root/testdata/sf0.001"
 #: Stops are floor(part / 5) and points repeat every 6000 ids: so these shifts put every copy on the points of the first. Patterns hold trips of all copies.
 SHIFTS = {"o_orderkey": 100_000_003, "l_orderkey": 100_000_003, "o_custkey": 6000, "c_custkey": 6000, "l_partkey": 30_000, "p_partkey": 30_000, "s_suppkey": 10}
 COPIES = 3
+#: Queries that find things once for a place.
+QUERIES = (
+    "r10_arrive_by",
+)
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +50,17 @@ def agrees(spark, folder, name):
 def test_trip_of_a_large_id_as_in_the_sql(spark, copied):
     """j07: ids over a million count in dep_s * 1000000 + trip_id."""
     agrees(spark, copied, "j07_latest_trip")
+
+
+def test_pairs_do_not_grow_with_copies_on_one_point(spark, copied):
+    """What searches and cells join are pairs of places: as many as in one copy, whatever the number of rows on a point."""
+    one, three = Network(spark, SOURCE), Network(spark, copied)
+    assert three.stop.count() == COPIES * one.stop.count() and three.cell.count() == COPIES * one.cell.count()
+    assert three.reach.pairs.count() == one.reach.pairs.count() == one.access.count()
+    assert three.footpaths.pairs.count() == one.footpaths.pairs.count() == one.transfer.count() + one.stop.count()
+    assert three.access.count() == COPIES**2 * one.access.count()
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_agrees_with_its_sql_where_points_are_shared(spark, copied, name):
+    agrees(spark, copied, name)
