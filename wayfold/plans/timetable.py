@@ -206,8 +206,7 @@ def _(n):
 
 @query("w05_first_argmin", "SELECT cell_id, stop_id, walk_s FROM tn_access QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY walk_s, stop_id)=1")
 def _(n):
-    w = Window.partitionBy("cell_id").orderBy("walk_s", "stop_id")
-    return n.access.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+    return n.reach.spread(n.reach.nearest()).select("cell_id", "stop_id", "walk_s")
 
 
 @query("w06_trip_order", "SELECT pattern_id, trip_id, CAST(row_number() OVER (PARTITION BY pattern_id ORDER BY start_s, trip_id) AS BIGINT) AS trip_ix FROM tn_trip")
