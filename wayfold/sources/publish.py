@@ -75,10 +75,10 @@ def fingerprint(*sources: DataFrame, **parameters: object) -> DataFrame:
     return one
 
 
-def load_or_build(spark: SparkSession, path: str, sources: DataFrame, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table at `path` if it was built from these sources, else a new one. sources: rows that identify them, published with the table."""
+def load_or_build(spark: SparkSession, path: str, sources: DataFrame, build: Callable[[], DataFrame], beside: Callable[[], dict[str, DataFrame]] = dict) -> DataFrame:
+    """The table at `path` if it was built from these sources, else a new one. sources: rows that identify them, published with the table and those beside it."""
     if exists(spark, path):
         had = read(spark, path, "sources")
         if had.columns == sources.columns and had.exceptAll(sources).isEmpty() and sources.exceptAll(had).isEmpty():
             return read(spark, path)
-    return publish(build(), path, beside={"sources": sources})
+    return publish(build(), path, beside={"sources": sources, **beside()})
