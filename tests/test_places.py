@@ -14,6 +14,9 @@ SHIFTS = {"o_orderkey": 100_000_003, "l_orderkey": 100_000_003, "o_custkey": 600
 COPIES = 3
 #: Queries that find things once for a place.
 QUERIES = (
+    "g07_access_bake",
+    "g04_snap_argmin",
+    "g03_drawn_paths",
     "v07_readiness",
     "s12_access_archive",
     "j11_next_committed_trip",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfold.operators import transfers, walkgraph
+from wayfold.operators import spatial, transfers, walkgraph
 from wayfold.operators.rounds import settle
 from wayfold.plans.base import baked, query
 from wayfold.plans.journeys import edges
@@ -54,19 +54,37 @@ def _(n):
 
 
 def bake(n):
-    """The transfers, and the walks and pathways behind them, written."""
+    """Written: ways between places of stops over the graph, with whether they are near; the stops of each place; pathways and pair rules of known stops; and scoped rules."""
     return baked(n, ("transfers",), lambda: _bake(n))
 
 
 def _bake(n):
-    paths, snaps = stop_paths(n)
-    text = lambda c: F.col(c).cast("string")
-    walks = walkgraph.to_targets(paths, snaps, CAP).where("root <> id").select(text("root").alias("from_id"), text("id").alias("to_id"), F.col("sec").alias("walk_s"))
-    walks = settle(walks, "walks")
-    near = n.transfer.select(text("from_id").alias("from_id"), text("to_id").alias("to_id"))
+    paths, snaps, stops = stop_paths(n)
+    found = walkgraph.to_targets(paths, snaps, CAP).select(F.col("root").alias("from_at"), F.col("id").alias("to_at"), F.col("sec").alias("walk_s"))
+    near = n.footpaths.pairs.select("from_at", "to_at", F.lit(True).alias("near"))
+    found = settle(found.join(near, ["from_at", "to_at"], "left").withColumn("near", F.coalesce("near", F.lit(False))), "place-walks")
     ways = settle(known_stops(n, transfers.pathway_edges(n.view("gt_pathways"))), "pathways")
-    pair = known_stops(n, transfers.parsed_rules(n.view("gt_transfers"))[0])
-    return settle(transfers.baked(walks, near, pair, ways), "transfers"), walks, ways
+    pair, scoped = transfers.parsed_rules(n.view("gt_transfers"))
+    stops = settle(stops.select(F.col("stop_id").cast("string").alias("id"), "at"), "text-stops")
+    return found, stops, ways, settle(known_stops(n, pair), "pair-rules"), known_stops(n, scoped)
+
+
+def ends(stops, c):
+    return stops.select(F.col("id").alias(f"{c}_id"), F.col("at").alias(f"{c}_at"))
+
+
+def of_pairs(n, pairs):
+    """The transfers of pairs (from_id, to_id), and their walks."""
+    found, stops, ways, pair, _ = bake(n)
+    walks = pairs.distinct().join(ends(stops, "from"), "from_id").join(ends(stops, "to"), "to_id").join(found, ["from_at", "to_at"]).where("from_id <> to_id")
+    walks = settle(walks.select("from_id", "to_id", "walk_s", "near"), "walks")
+    return transfers.baked(walks.drop("near"), walks.where("near").select("from_id", "to_id"), pair, ways), walks.drop("near")
+
+
+def told(n):
+    """Pairs that a rule or a timed pathway speaks of."""
+    _, _, ways, pair, _ = bake(n)
+    return pair.select("from_id", "to_id").union(ways.where("seconds is not null").select("from_id", "to_id"))
 
 
 _LIMITED = BAKED.replace("FROM gs WHERE NOT scoped", f"FROM gs WHERE {_KNOWN} AND NOT scoped").replace("FROM gv UNION", f"FROM gv WHERE {_KNOWN} UNION").replace("FROM gv WHERE both", f"FROM gv WHERE {_KNOWN} AND both")
@@ -74,13 +92,21 @@ _LIMITED = BAKED.replace("FROM gs WHERE NOT scoped", f"FROM gs WHERE {_KNOWN} AN
 
 @query("g06_transfers_with_pathways", f"{_LIMITED} SELECT from_id, to_id, physical_s, fixed_s, greatest(physical_s, fixed_s) AS eff_s, indoor FROM bk")
 def _(n):
-    return bake(n)[0]
+    """Pairs that neither a rule nor a timed pathway speaks of cost their walk, if near; a stop brings the others it has, so such pairs are never dealt out."""
+    found, stops, *_ = bake(n)
+    some = of_pairs(n, told(n))[0]
+    others = told(n).groupBy("from_id").agg(F.collect_set("to_id").alias("told"))
+    start = ends(stops, "from").join(others, "from_id", "left")
+    rest = found.where("near").join(ends(stops, "to"), "to_at").join(start, "from_at").where("from_id <> to_id and not coalesce(array_contains(told, to_id), false)")
+    return some.unionByName(rest.select("from_id", "to_id", F.col("walk_s").alias("physical_s"), F.lit(0).cast("long").alias("fixed_s"), F.col("walk_s").alias("eff_s"), F.lit(False).alias("indoor")))
 
 
 @query("j18_scoped_enrichment", f"{_LIMITED} SELECT s.*, coalesce(b.physical_s, path_s, CASE WHEN known IS NULL THEN walk_s END) AS physical_s, CASE WHEN b.physical_s IS NOT NULL THEN b.indoor ELSE path_s IS NOT NULL END AS indoor FROM sr s LEFT JOIN bk b USING (from_id, to_id) LEFT JOIN pw USING (from_id, to_id) LEFT JOIN wl USING (from_id, to_id) WHERE {_KNOWN}")
 def _(n):
-    done, walks, ways = bake(n)
-    return transfers.enriched(known_stops(n, transfers.parsed_rules(n.view("gt_transfers"))[1]), done, walks, ways)
+    """Only the pairs that scoped rules name get their transfers and walks."""
+    scoped = settle(bake(n)[4], "scoped")
+    done, walks = of_pairs(n, told(n).union(scoped.select("from_id", "to_id")))
+    return transfers.enriched(scoped, done, walks, bake(n)[2])
 
 
 @query("g03_drawn_paths", f"""{GRAPH}, ch AS MATERIALIZED (SELECT c.id, d.root, c.node, d.sec+c.conn AS sec FROM gd d JOIN cs c ON c.node=d.node WHERE d.sec+c.conn<={CAP} QUALIFY row_number() OVER (PARTITION BY c.id, d.root ORDER BY d.sec+c.conn, c.node)=1),
@@ -89,11 +115,13 @@ def _(n):
     pl AS (SELECT w.root, w.id, -k AS k, concat(x_m,' ',y_m) AS p FROM wy w JOIN wg_node n ON n.node_id=w.node UNION ALL SELECT root, id, -1000000, concat(x_m,' ',y_m) FROM ch JOIN tn_stop s ON s.stop_id=root UNION ALL SELECT root, id, 1, concat(x_m,' ',y_m) FROM ch JOIN tn_cell c ON c.cell_id=id),
     pp AS (SELECT *, lag(p) OVER (PARTITION BY root, id ORDER BY k) AS was FROM pl) SELECT root AS stop_id, id AS cell_id, any_value(c.sec) AS walk_s, string_agg(p, ',' ORDER BY k) FILTER (was IS NULL OR was<>p) AS points FROM pp JOIN ch c USING (root, id) GROUP BY root, id""")
 def _(n):
-    paths, snaps = stop_paths(n)
-    paths = settle(paths, "stop-paths")
+    """Drawn once for each pair of places."""
+    paths, snaps, stops = stop_paths(n)
+    paths, cells = settle(paths, "stop-paths"), settle(spatial.placed(n.cell, "cell_id"), "cells")
     roots = snaps.select(F.col("id").alias("root"), "node", F.col("conn_s").alias("sec"))
-    chosen = settle(walkgraph.to_targets(paths, snapped(n, n.cell, "cell_id"), CAP), "chosen")
+    chosen = settle(walkgraph.to_targets(paths, snapped(n, cells.where("cell_id = at"), "cell_id"), CAP), "chosen")
     ways = walkgraph.node_paths(walkgraph.path_tree(edges(n), paths, roots))
     ways = chosen.join(ways, ["root", "node"]).select("root", "id", "sec", "path")
     out = walkgraph.drawn(ways, n.view("wg_node"), n.stop.withColumnRenamed("stop_id", "root"), n.cell.withColumnRenamed("cell_id", "id"))
-    return out.select(F.col("root").alias("stop_id"), F.col("id").alias("cell_id"), F.col("sec").alias("walk_s"), "points")
+    out = out.join(stops.withColumnRenamed("at", "root"), "root").join(cells.select("cell_id", F.col("at").alias("id")), "id")
+    return out.select("stop_id", "cell_id", F.col("sec").alias("walk_s"), "points")
