@@ -14,6 +14,8 @@ SHIFTS = {"o_orderkey": 100_000_003, "l_orderkey": 100_000_003, "o_custkey": 600
 COPIES = 3
 #: Queries that find things once for a place.
 QUERIES = (
+    "g08_offgrid_access",
+    "g06_transfer_bake",
     "k16_station_closure",
     "k05_itinerary_minutes",
     "k06_itinerary",
